@@ -22,9 +22,14 @@ def safe_div(a, b) -> Column:
     return as_col(a) / F.nullif(as_col(b), F.lit(0.0))
 
 
+#: rounding is shifted by this part of a unit, away from exact halves (prices
+#: such as 1.0000005 are common, and engines differ on halves)
+HALF_SHIFT = 0.0314159
+
+
 def rnd(c, digits: int = 6) -> Column:
-    """Round and turn -0.0 into 0.0 so results compare equal across engines."""
-    return F.round(as_col(c), digits) + F.lit(0.0)
+    """Round a reported number so that results compare equal across engines (no -0.0)."""
+    return F.round(as_col(c) + F.lit(HALF_SHIFT * 10.0 ** -digits), digits) + F.lit(0.0)
 
 
 def clip(c, lo, hi) -> Column:

@@ -57,12 +57,19 @@ def sequences(df: DataFrame, features: list[str], window: int, padding: str = "z
     elif padding == "repeat":
         fill = got[0]
     else:
-        fill = F.array(*[
-            F.aggregate(got, F.lit(0.0), lambda acc, v, i=i: acc + v[i]) / F.size(got) for i in range(len(features))])
+        fill = F.array(*[_mean_of(F.transform(got, _nth(i))) for i in range(len(features))])
     s = s.with_columns({name: F.concat(F.array_repeat(fill, F.lit(window) - F.size(got)), got)})
     return s.close().drop("_seq")
 
 
+def _nth(i: int):
+    return lambda v: v[i]
+
+
+def _mean_of(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / F.size(arr)
+
+
 def past_sequences(df: DataFrame, features: list[str], window: int, name: str = "seq") -> DataFrame:
     """Per row the `window` vectors before it; rows without a full window are dropped."""
     s = open_series(df, memory=window)

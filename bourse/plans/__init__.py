@@ -1 +1,13 @@
-"""Registered queries, the views they run on, and their SQL oracles."""
+"""Registered queries, the tables they run on, and their SQL oracles."""
+
+import importlib
+
+_MODULES = ("price_queries",)
+
+
+def load():
+    """(queries by key, oracle SQL by key)"""
+    from bourse.plans import registry
+    for m in _MODULES:
+        importlib.import_module(f"bourse.plans.{m}")
+    return dict(registry.QUERIES), dict(registry.ORACLES)
