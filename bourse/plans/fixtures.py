@@ -316,9 +316,9 @@ def ticker_details(spark, sf_dir) -> DataFrame:
 
 
 TICKER_DETAILS_CTE = f"""ticker_details AS (
-  SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS ticker, asof, e * 12 AS market_cap,
+  SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS ticker, "asof", e * 12 AS market_cap,
          ({_sql_sic2().replace('STRING', 'VARCHAR')}) || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS sic4
-  FROM (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS asof, round(sum(l_extendedprice), 2) AS e
+  FROM (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS "asof", round(sum(l_extendedprice), 2) AS e
         FROM lineitem GROUP BY ALL) JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
@@ -349,3 +349,116 @@ POSITIONS_CTE = r"""positions AS (
   SELECT ticker, 100.0 AS shares, arg_max(close, date) * 100 AS cost_basis FROM bars
   WHERE CAST(regexp_extract(ticker, '(\d+)', 1) AS INTEGER) % 3 = 0 GROUP BY ticker)"""
 ACCOUNT_CASH = 1_000_000.0
+
+
+# ---------------------------------------------------------------- sector thresholds
+_CLIPPED = "avg(least(greatest({c}, -1), 1))"
+#: sector value of each metric over the FY rows of its tickers (sums, so that a
+#: large sector is reduced before the shuffle)
+_SECTOR = {
+    "free_cash_flow_per_share": "sum(free_cash_flow) / nullif(sum(outstanding_shares), 0)",
+    "debt_to_equity": "sum(total_debt) / nullif(sum(shareholders_equity), 0)",
+    "current_ratio": "sum(current_assets) / nullif(sum(current_liabilities), 0)",
+    "book_value_per_share": "sum(book_value) / nullif(sum(outstanding_shares), 0)",
+    "gross_margin": "avg(gross_margin)",
+    "return_on_equity": "sum(net_income) / nullif(sum(shareholders_equity), 0)",
+    "net_margin": "sum(net_income) / nullif(sum(revenue), 0)",
+    "operating_margin": "sum(operating_income) / nullif(sum(revenue), 0)",
+    "price_to_fcf": "abs(sum(market_cap) / nullif(sum(free_cash_flow), 0))",
+    "price_to_book_ratio": "sum(market_cap) / nullif(sum(book_value), 0)",
+    "price_to_earning_ratio": "abs(sum(market_cap) / nullif(sum(net_income), 0))",
+    "price_to_sales_ratio": "sum(market_cap) / nullif(sum(revenue), 0)",
+    "ev_to_ebitda": "abs(sum(enterprise_value) / nullif(sum(ebitda), 0))",
+    "return_on_invested_capital": "avg(return_on_invested_capital)",
+    "revenue_growth_qoq": _CLIPPED.format(c="rev_g") + " * 0.5",
+    "bookValue_growth_qoq": _CLIPPED.format(c="book_g") + " * 0.5",
+    "eps_growth_qoq": _CLIPPED.format(c="eps_g") + " * 0.5",
+    "rd_intensity": "sum(research_and_development) / nullif(sum(revenue), 0)",
+}
+_HOLES = ("eps_growth_qoq", "price_to_fcf")
+
+
+def thresholds(fund: DataFrame) -> DataFrame:
+    """Sector matrix from the FY ratios of each sector.
+
+    Left out on purpose: every fifth two-digit sector, odd four-digit codes, and
+    some cells.  The default rows (99, 7399) hold the values of all sectors.
+    """
+    from pyspark.sql import Window
+
+    from bourse.functions.columns import growth
+    from bourse.sources.reference import sector_code
+    w = Window.partitionBy("ticker").orderBy("end_date")
+    fy = fund.where("fiscal_period = 'FY'").withColumns({
+        "code": sector_code(),
+        "rev_g": growth(F.col("revenue"), F.lag("revenue").over(w)),
+        "book_g": growth(F.col("book_value"), F.lag("book_value").over(w)),
+        "eps_g": growth(F.col("earnings_per_share"), F.lag("earnings_per_share").over(w))})
+    aggs = [F.round(F.expr(e), 4).alias(m) for m, e in _SECTOR.items()]
+    last2 = F.substring("code", -2, 2).cast("int")
+    keep = F.when(F.length("code") == 2, (F.col("code").cast("int") - 1) % 5 != 0).otherwise((last2 % 2 == 0) & (F.col("code") != "7399"))
+    rows = fy.groupBy("code").agg(*aggs).where(keep)
+    rows = rows.withColumns({m: F.when(last2 % 4 != 1, F.col(m)) for m in _HOLES})
+    base = fy.agg(*aggs).withColumn("code", F.explode(F.array(F.lit("99"), F.lit("7399"))))
+    both = rows.unionByName(base)
+    return both.select("code", F.concat(F.lit("sector "), "code").alias("name"), *_SECTOR)
+
+
+def _fund_cte() -> str:
+    flows = [i for i in ITEMS if i in FLOW_ITEMS or i == "basic_earnings_per_share"]
+    stocks = [i for i in ITEMS if i not in flows]
+    q4 = ", ".join([f"f.{i} - (a.{i} + b.{i} + c.{i}) AS {i}" for i in flows] + [f"f.{i}" for i in stocks])
+    return f"""q4rows AS (
+  SELECT f.ticker, f.cik, f.company_name, f.fiscal_year, 'Q4' AS fiscal_period, f.end_date, f.filing_date, f.sic2, f.sic4, f.market_cap, {q4}
+  FROM statements f JOIN statements a ON a.ticker = f.ticker AND a.fiscal_year = f.fiscal_year AND a.fiscal_period = 'Q1'
+       JOIN statements b ON b.ticker = f.ticker AND b.fiscal_year = f.fiscal_year AND b.fiscal_period = 'Q2'
+       JOIN statements c ON c.ticker = f.ticker AND c.fiscal_year = f.fiscal_year AND c.fiscal_period = 'Q3'
+  WHERE f.fiscal_period = 'FY'),
+full_statements AS MATERIALIZED (SELECT * FROM statements UNION ALL BY NAME SELECT * FROM q4rows),
+fund AS MATERIALIZED (
+  SELECT ticker, company_name, sic2, sic4, filing_date, end_date, fiscal_period, fiscal_year,
+    net_income_loss / nullif(equity, 0) AS return_on_equity,
+    operating_income_loss / nullif(revenues, 0) AS operating_margin,
+    liabilities / nullif(equity, 0) AS debt_to_equity, liabilities / nullif(assets, 0) AS debt_ratio,
+    current_assets / nullif(current_liabilities, 0) AS current_ratio,
+    market_cap + liabilities - cash AS enterprise_value,
+    net_income_loss + income_tax_expense_benefit + interest_and_debt_expense AS ebit,
+    net_income_loss + income_tax_expense_benefit + interest_and_debt_expense + depreciation_and_amortization AS ebitda,
+    net_cash_flow_from_operating_activities - net_cash_flow_from_investing_activities AS free_cash_flow,
+    (net_cash_flow_from_operating_activities - net_cash_flow_from_investing_activities) / nullif(basic_average_shares, 0) AS free_cash_flow_per_share,
+    net_income_loss / nullif(revenues, 0) AS net_margin, assets - liabilities AS book_value,
+    (assets - liabilities) / nullif(basic_average_shares, 0) AS book_value_per_share,
+    market_cap / nullif(assets - liabilities, 0) AS price_to_book_ratio,
+    (net_income_loss - common_stock_dividends) / nullif(equity + liabilities, 0) AS return_on_invested_capital,
+    (revenues - costs_and_expenses) / nullif(revenues, 0) AS gross_margin,
+    current_assets - current_liabilities AS working_capital,
+    basic_earnings_per_share AS earnings_per_share, revenues AS revenue, net_income_loss AS net_income,
+    assets AS total_assets, liabilities AS total_liabilities, liabilities AS total_debt, current_assets, current_liabilities,
+    preferred_stock_dividends_and_other_adjustments AS dividends_and_other_cash_distributions,
+    net_cash_flow_from_financing_activities AS issuance_or_purchase_of_equity_shares,
+    basic_average_shares AS outstanding_shares, net_cash_flow_from_investing_activities AS capital_expenditure,
+    operating_expenses AS operating_expense, cash AS cash_and_equivalents, equity AS shareholders_equity,
+    research_and_development, intangible_assets AS goodwill_and_intangible_assets, intangible_assets,
+    operating_income_loss AS operating_income, depreciation_and_amortization, market_cap
+  FROM full_statements)"""
+
+
+FUND_CTE = STATEMENTS_CTE + ",\n" + _fund_cte()
+
+
+def _thresholds_cte() -> str:
+    aggs = ", ".join(f"round({e}, 4) AS {m}" for m, e in _SECTOR.items())
+    cells = ", ".join(f"CASE WHEN CAST(right(code, 2) AS INTEGER) % 4 <> 1 THEN {m} END AS {m}" if m in _HOLES else m for m in _SECTOR)
+    g = lambda c, n: f"({c} - lag({c}) OVER y) / nullif(abs(lag({c}) OVER y), 0) AS {n}"
+    return f"""fy AS (SELECT *, CASE WHEN sic2 = '73' THEN sic4 ELSE sic2 END AS code,
+    {g('revenue', 'rev_g')}, {g('book_value', 'book_g')}, {g('earnings_per_share', 'eps_g')}
+  FROM fund WHERE fiscal_period = 'FY' WINDOW y AS (PARTITION BY ticker ORDER BY end_date)),
+thresholds AS MATERIALIZED (
+  SELECT code, 'sector ' || code AS name, {cells} FROM (SELECT code, {aggs} FROM fy GROUP BY code) s
+  WHERE CASE WHEN length(code) = 2 THEN (CAST(code AS INTEGER) - 1) % 5 <> 0
+             ELSE CAST(right(code, 2) AS INTEGER) % 2 = 0 AND code <> '7399' END
+  UNION ALL
+  SELECT c.code, 'sector ' || c.code AS name, {', '.join(_SECTOR)} FROM (SELECT {aggs} FROM fy) s, (SELECT unnest(['99', '7399']) AS code) c)"""
+
+
+THRESHOLDS_CTE = _thresholds_cte()
