@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bourse.functions.columns import growth, safe_div
+from bourse.functions.columns import growth
 from bourse.sources.filings import value_columns
 from bourse.sources.reference import DEFAULT_SIC2, DEFAULT_SIC4, METRICS, sector_code
 
@@ -15,10 +15,6 @@ BALANCES = ("balance_sheet.",)
 BALANCE_COLUMNS = ("income_statement.basic_average_shares.value",)
 
 
-def _item(section: str, name: str) -> Column:
-    return F.col(f"`{section}.{name}.value`")
-
-
 def statement_pivot(st: DataFrame, metrics: list[str], periods=("Q1", "Q2", "Q3", "FY")) -> DataFrame:
     """First filed value per (ticker, year) for each period x metric."""
     return st.groupBy("ticker", "fiscal_year").agg(*[
@@ -40,29 +36,27 @@ def missing_periods(st: DataFrame, required=("Q1", "Q2", "Q3", "FY")) -> DataFra
 def fourth_quarters(st: DataFrame, literal: bool = False) -> DataFrame:
     """Q4 = FY - (Q1 + Q2 + Q3) for years that have all four periods.
 
-    One aggregation per (ticker, year); header and market cap come from the FY
-    row.  Balances and average shares are those of FY; `literal=True` subtracts
-    them too, as the formula is written.
+    One aggregation per (ticker, year) picks the first filed row of each
+    period; header and market cap come from the FY row.  Balances and average
+    shares are those of FY; `literal=True` subtracts them too, as the formula
+    is written.
     """
     metrics = value_columns(st)
-    period = F.col("fiscal_period")
-    head = [c for c in st.columns if c not in metrics and c not in ("ticker", "fiscal_year", "fiscal_period")]
+    row = "struct(" + ", ".join(f"`{c}`" for c in st.columns if c not in ("ticker", "fiscal_year", "fiscal_period")) + ")"
+    picked = st.groupBy("ticker", "fiscal_year").agg(*[
+        F.expr(f"min_by({row}, CASE WHEN fiscal_period = '{p}' THEN filing_date END)").alias(p)
+        for p in ("Q1", "Q2", "Q3", "FY")])
 
-    def first(p, c):
-        v = F.col(f"`{c}`")
-        return F.min_by(v, F.when((period == p) & v.isNotNull(), F.col("filing_date")))
+    def column(c):
+        if c == "fiscal_period":
+            return "'Q4' AS fiscal_period"
+        if c in ("ticker", "fiscal_year"):
+            return c
+        flow = c in metrics and (literal or not (c.startswith(BALANCES) or c in BALANCE_COLUMNS))
+        return f"FY.`{c}` - (Q1.`{c}` + Q2.`{c}` + Q3.`{c}`) AS `{c}`" if flow else f"FY.`{c}` AS `{c}`"
 
-    def q4(m):
-        fy = first("FY", m)
-        if not literal and (m.startswith(BALANCES) or m in BALANCE_COLUMNS):
-            return fy
-        return fy - (first("Q1", m) + first("Q2", m) + first("Q3", m))
-
-    present = [F.count_if(period == p).alias(f"_{p}") for p in ("Q1", "Q2", "Q3", "FY")]
-    out = (st.groupBy("ticker", "fiscal_year")
-           .agg(*present, *[first("FY", c).alias(c) for c in head], *[q4(m).alias(m) for m in metrics])
-           .where("_Q1 > 0 AND _Q2 > 0 AND _Q3 > 0 AND _FY > 0"))
-    return out.withColumn("fiscal_period", F.lit("Q4")).select(*[F.col(f"`{c}`") for c in st.columns])
+    return (picked.where("Q1 IS NOT NULL AND Q2 IS NOT NULL AND Q3 IS NOT NULL AND FY IS NOT NULL")
+            .selectExpr(*[column(c) for c in st.columns]))
 
 
 def reconstruct_q4(st: DataFrame, literal: bool = False) -> DataFrame:
@@ -70,74 +64,77 @@ def reconstruct_q4(st: DataFrame, literal: bool = False) -> DataFrame:
     return st.unionByName(fourth_quarters(st, literal), allowMissingColumns=True)
 
 
+_HEAD = ["ticker", "company_name", "sic2", "sic4", "filing_date", "end_date", "fiscal_period", "fiscal_year"]
+
+# short names of the statement items used by the ratios
+_ITEMS = {
+    "net": "income_statement.net_income_loss", "rev": "income_statement.revenues",
+    "costs": "income_statement.costs_and_expenses", "opex": "income_statement.operating_expenses",
+    "op": "income_statement.operating_income_loss", "tax": "income_statement.income_tax_expense_benefit",
+    "interest": "income_statement.interest_and_debt_expense",
+    "depreciation": "income_statement.depreciation_and_amortization",
+    "rd": "income_statement.research_and_development", "eps": "income_statement.basic_earnings_per_share",
+    "shares": "income_statement.basic_average_shares", "common_div": "income_statement.common_stock_dividends",
+    "preferred_div": "income_statement.preferred_stock_dividends_and_other_adjustments",
+    "assets": "balance_sheet.assets", "debt": "balance_sheet.liabilities", "equity": "balance_sheet.equity",
+    "cur_assets": "balance_sheet.current_assets", "cur_debt": "balance_sheet.current_liabilities",
+    "cash": "balance_sheet.cash", "intangible": "balance_sheet.intangible_assets",
+    "cf_operating": "cash_flow_statement.net_cash_flow_from_operating_activities",
+    "cf_investing": "cash_flow_statement.net_cash_flow_from_investing_activities",
+    "cf_financing": "cash_flow_statement.net_cash_flow_from_financing_activities",
+}
+_EBIT = "net + tax + interest"
+_FCF = "cf_operating - cf_investing"
+
+#: fundamentals column -> formula over the short names
+RATIOS = {
+    "return_on_equity": "net / nullif(equity, 0)",
+    "operating_margin": "op / nullif(rev, 0)",
+    "debt_to_equity": "debt / nullif(equity, 0)",
+    "debt_ratio": "debt / nullif(assets, 0)",
+    "current_ratio": "cur_assets / nullif(cur_debt, 0)",
+    "enterprise_value": "market_cap + debt - cash",
+    "ebit": _EBIT,
+    "ebitda": f"{_EBIT} + depreciation",
+    "free_cash_flow": _FCF,
+    "free_cash_flow_per_share": f"({_FCF}) / nullif(shares, 0)",
+    "net_margin": "net / nullif(rev, 0)",
+    "book_value": "assets - debt",
+    "book_value_per_share": "(assets - debt) / nullif(shares, 0)",
+    "price_to_book_ratio": "market_cap / nullif(assets - debt, 0)",
+    "return_on_invested_capital": "(net - common_div) / nullif(equity + debt, 0)",
+    "gross_margin": "(rev - costs) / nullif(rev, 0)",
+    "working_capital": "cur_assets - cur_debt",
+    "earnings_per_share": "eps",
+    "revenue": "rev",
+    "net_income": "net",
+    "total_assets": "assets",
+    "total_liabilities": "debt",
+    "total_debt": "debt",
+    "current_assets": "cur_assets",
+    "current_liabilities": "cur_debt",
+    "dividends_and_other_cash_distributions": "preferred_div",
+    "issuance_or_purchase_of_equity_shares": "cf_financing",
+    "outstanding_shares": "shares",
+    "capital_expenditure": "cf_investing",
+    "operating_expense": "opex",
+    "cash_and_equivalents": "cash",
+    "shareholders_equity": "equity",
+    "research_and_development": "rd",
+    "goodwill_and_intangible_assets": "intangible",
+    "intangible_assets": "intangible",
+    "operating_income": "op",
+    "depreciation_and_amortization": "depreciation",
+    "market_cap": "market_cap",
+}
+RATIO_COLUMNS = list(RATIOS)
+
+
 def ratios(st: DataFrame) -> DataFrame:
     """The fundamentals table: one projection over flat statements."""
-    inc = lambda n: _item("income_statement", n)
-    bal = lambda n: _item("balance_sheet", n)
-    cf = lambda n: _item("cash_flow_statement", n)
-    net, rev, equity = inc("net_income_loss"), inc("revenues"), bal("equity")
-    assets, debt, shares = bal("assets"), bal("liabilities"), inc("basic_average_shares")
-    cap = F.col("market_cap")
-    operating, investing = cf("net_cash_flow_from_operating_activities"), cf("net_cash_flow_from_investing_activities")
-    ebit = net + inc("income_tax_expense_benefit") + inc("interest_and_debt_expense")
-    depreciation = inc("depreciation_and_amortization")
-    fcf = operating - investing
-    book = assets - debt
-    cols = {
-        "return_on_equity": safe_div(net, equity),
-        "operating_margin": safe_div(inc("operating_income_loss"), rev),
-        "debt_to_equity": safe_div(debt, equity),
-        "debt_ratio": safe_div(debt, assets),
-        "current_ratio": safe_div(bal("current_assets"), bal("current_liabilities")),
-        "enterprise_value": cap + debt - bal("cash"),
-        "ebit": ebit,
-        "ebitda": ebit + depreciation,
-        "free_cash_flow": fcf,
-        "free_cash_flow_per_share": safe_div(fcf, shares),
-        "net_margin": safe_div(net, rev),
-        "book_value": book,
-        "book_value_per_share": safe_div(book, shares),
-        "price_to_book_ratio": safe_div(cap, book),
-        "return_on_invested_capital": safe_div(net - inc("common_stock_dividends"), equity + debt),
-        "gross_margin": safe_div(rev - inc("costs_and_expenses"), rev),
-        "working_capital": bal("current_assets") - bal("current_liabilities"),
-        "earnings_per_share": inc("basic_earnings_per_share"),
-        "revenue": rev,
-        "net_income": net,
-        "total_assets": assets,
-        "total_liabilities": debt,
-        "total_debt": debt,
-        "current_assets": bal("current_assets"),
-        "current_liabilities": bal("current_liabilities"),
-        "dividends_and_other_cash_distributions": inc("preferred_stock_dividends_and_other_adjustments"),
-        "issuance_or_purchase_of_equity_shares": cf("net_cash_flow_from_financing_activities"),
-        "outstanding_shares": shares,
-        "capital_expenditure": investing,
-        "operating_expense": inc("operating_expenses"),
-        "cash_and_equivalents": bal("cash"),
-        "shareholders_equity": equity,
-        "research_and_development": inc("research_and_development"),
-        "goodwill_and_intangible_assets": bal("intangible_assets"),
-        "intangible_assets": bal("intangible_assets"),
-        "operating_income": inc("operating_income_loss"),
-        "depreciation_and_amortization": depreciation,
-        "market_cap": cap,
-    }
-    head = ["ticker", "company_name", "sic2", "sic4", "filing_date", "end_date", "fiscal_period", "fiscal_year"]
-    return st.select(*head, *[c.alias(n) for n, c in cols.items()])
-
-
-RATIO_COLUMNS = [
-    "return_on_equity", "operating_margin", "debt_to_equity", "debt_ratio", "current_ratio",
-    "enterprise_value", "ebit", "ebitda", "free_cash_flow", "free_cash_flow_per_share", "net_margin",
-    "book_value", "book_value_per_share", "price_to_book_ratio", "return_on_invested_capital",
-    "gross_margin", "working_capital", "earnings_per_share", "revenue", "net_income", "total_assets",
-    "total_liabilities", "total_debt", "current_assets", "current_liabilities",
-    "dividends_and_other_cash_distributions", "issuance_or_purchase_of_equity_shares",
-    "outstanding_shares", "capital_expenditure", "operating_expense", "cash_and_equivalents",
-    "shareholders_equity", "research_and_development", "goodwill_and_intangible_assets",
-    "intangible_assets", "operating_income", "depreciation_and_amortization", "market_cap",
-]
+    short = st.selectExpr(*_HEAD, "market_cap", *[f"`{c}.value` AS {n}" for n, c in _ITEMS.items()])
+    return short.selectExpr(*_HEAD, *[f"{e} AS {n}" for n, e in RATIOS.items()])
+
 
 PERIODS = {"Annual": ("FY", 10), "Quarterly": ("Q", 4)}
 
@@ -174,10 +171,6 @@ def period_growth(fund: DataFrame, metrics: list[str], period: str = "Annual") -
         *[growth(F.col(m), F.lead(m).over(w)).alias(f"{m}_growth") for m in metrics])
 
 
-#: largest threshold table that is sent to every executor (one row per sector code)
-MAX_SECTOR_ROWS = 10_000
-
-
 def attach_thresholds(df: DataFrame, thresholds: DataFrame, prefix: str = "t_") -> DataFrame:
     """Add the sector's thresholds as `t_<metric>`.
 
@@ -188,11 +181,11 @@ def attach_thresholds(df: DataFrame, thresholds: DataFrame, prefix: str = "t_")
     scalar aggregates.
     """
     t = thresholds.dropDuplicates(["code"])
-    rows = t.select(F.col("code").alias("_code"), *[F.col(m).alias(f"_c_{m}") for m in METRICS])
+    rows = t.selectExpr("code AS _code", *[f"{m} AS _c_{m}" for m in METRICS])
     defaults = (t.where(F.col("code").isin(DEFAULT_SIC2, DEFAULT_SIC4))
-                .select((F.length("code") == 4).alias("_four"), *[F.col(m).alias(f"_d_{m}") for m in METRICS]))
-    coded = df.withColumn("_code", sector_code()).withColumn("_four", F.length("_code") == 4)
+                .selectExpr("length(code) = 4 AS _four", *[f"{m} AS _d_{m}" for m in METRICS]))
+    coded = df.withColumns({"_code": sector_code(), "_four": F.length(sector_code()) == 4})
     # at most two default rows
     out = coded.join(rows, "_code", "left").join(F.broadcast(defaults), "_four", "left")
-    return (out.withColumns({f"{prefix}{m}": F.coalesce(f"_c_{m}", f"_d_{m}") for m in METRICS})
-            .drop("_code", "_four", *[f"_c_{m}" for m in METRICS], *[f"_d_{m}" for m in METRICS]))
+    return out.selectExpr(*[f"`{c}`" for c in df.columns],
+                          *[f"coalesce(_c_{m}, _d_{m}) AS {prefix}{m}" for m in METRICS])

@@ -12,6 +12,8 @@ from bourse.functions.rules import Rules
 from bourse.operators.scorers.snapshot import Snap
 
 PartsFn = Callable[[Snap, bool], dict[str, Rules]]
+#: block and value names by scorer, filled when its columns are first built
+_NAMES: dict[str, tuple[list[str], list[str]]] = {}
 
 
 @dataclass(frozen=True)
@@ -33,22 +35,27 @@ class Scorer:
 
     def part_columns(self, literal: bool) -> dict[str, Column]:
         s = Snap()
+        parts, values = self.parts(s, literal), self.values(s)
+        _NAMES[self.key] = (list(parts), list(values))
         out = {}
-        for name, rules in self.parts(s, literal).items():
+        for name, rules in parts.items():
             raw = rules.raw()
             out[f"{self.key}_{name}"] = self.scale[name](raw) if name in self.scale else raw
-        for name, col in self.values(s).items():
-            out[f"{self.key}_{name}"] = col
-        return out
+        return out | {f"{self.key}_{name}": col for name, col in values.items()}
 
     def reason_columns(self, literal: bool = True) -> dict[str, Column]:
         return {n: r.reasons() for n, r in self.parts(Snap(), literal).items()}
 
+    def _names(self) -> tuple[list[str], list[str]]:
+        if self.key not in _NAMES:
+            self.part_columns(True)
+        return _NAMES[self.key]
+
     def part_names(self) -> list[str]:
-        return list(self.parts(Snap(), True))
+        return self._names()[0]
 
     def value_names(self) -> list[str]:
-        return list(self.values(Snap()))
+        return self._names()[1]
 
     def col(self, name: str) -> Column:
         return F.col(f"{self.key}_{name}")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourse.functions.columns import safe_div
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -185,40 +183,33 @@ def statements(spark, sf_dir, with_q4: bool = False) -> DataFrame:
     only one row per supplier and quarter is shuffled.  Q4 rows are withheld
     unless `with_q4` is set; a year has an FY row only when all four quarters exist.
     """
-    line = table(spark, sf_dir, "lineitem")
-    q = (line.groupBy("l_suppkey", F.year("l_shipdate").alias("fiscal_year"),
-                      F.quarter("l_shipdate").alias("qtr"))
-         .agg(F.count(F.lit(1)).alias("n_lines"),
-              *[F.round(F.sum(F.expr(f"CAST({e} AS DOUBLE)")), 6).alias(n) for n, e in _QUARTER_SUMS.items()]))
+    q = (table(spark, sf_dir, "lineitem")
+         .selectExpr("l_suppkey AS _supp", "year(l_shipdate) AS fiscal_year", "quarter(l_shipdate) AS qtr", "*")
+         .groupBy("_supp", "fiscal_year", "qtr")
+         .agg(F.expr("count(1) AS n_lines"),
+              *[F.expr(f"round(sum(CAST({e} AS DOUBLE)), 6) AS {n}") for n, e in _QUARTER_SUMS.items()]))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    j = q.join(s, q.l_suppkey == s.s_suppkey)
-    quarter = j.select(
-        "s_suppkey", "s_name", "s_nationkey", "s_acctbal", "fiscal_year", "qtr",
-        *[F.round(F.expr(f"CAST({e} AS DOUBLE)"), 6).alias(n) for n, e in _QUARTER_ITEMS.items()])
-    quarter = quarter.withColumn("market_cap", F.round(F.expr("equity * (1 + s_acctbal / 10000) + 5 * revenues"), 6))
     head = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "fiscal_year"]
+    quarter = (q.join(s, q._supp == s.s_suppkey)
+               .selectExpr(*head, "qtr", *[f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _QUARTER_ITEMS.items()])
+               .selectExpr("*", "round(equity * (1 + s_acctbal / 10000) + 5 * revenues, 6) AS market_cap"))
     fy = (quarter.groupBy(*head)
-          .agg(F.count(F.lit(1)).alias("_n"),
-               *[F.round(F.sum(i), 6).alias(i) for i in FLOW_ITEMS],
-               *[F.max_by(i, "qtr").alias(i) for i in STOCK_ITEMS])
-          .where("_n = 4").drop("_n").withColumn("qtr", F.lit(0)))
+          .agg(F.expr("count(1) AS _n"),
+               *[F.expr(f"round(sum({i}), 6) AS {i}") for i in FLOW_ITEMS],
+               *[F.expr(f"max_by({i}, qtr) AS {i}") for i in STOCK_ITEMS])
+          .where("_n = 4").selectExpr("*", "0 AS qtr").drop("_n"))
     rows = quarter.unionByName(fy)
     if not with_q4:
         rows = rows.where("qtr <> 4")
-    end = F.last_day(F.make_date("fiscal_year", F.when(F.col("qtr") == 0, 12).otherwise(F.col("qtr") * 3), F.lit(1)))
-    sic2 = F.expr(_sql_sic2())
-    return rows.select(
-        F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("ticker"),
-        F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"),
-        F.col("s_name").alias("company_name"),
-        "fiscal_year",
-        F.when(F.col("qtr") == 0, F.lit("FY")).otherwise(F.concat(F.lit("Q"), F.col("qtr").cast("string"))).alias("fiscal_period"),
-        end.alias("end_date"), F.date_add(end, 45).alias("filing_date"),
-        sic2.alias("sic2"),
-        F.concat(sic2, F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0")).alias("sic4"),
-        *[F.col(i).alias(f"{sec}.{i}.value") if i != "basic_earnings_per_share"
-          else F.round(safe_div("net_income_loss", "basic_average_shares"), 6).alias(f"{sec}.{i}.value")
-          for sec, items in SECTIONS.items() for i in items],
+    end = "last_day(make_date(fiscal_year, CASE WHEN qtr = 0 THEN 12 ELSE qtr * 3 END, 1))"
+    eps = "round(net_income_loss / nullif(basic_average_shares, 0), 6)"
+    return rows.selectExpr(
+        "concat('S', lpad(CAST(s_suppkey AS STRING), 5, '0')) AS ticker",
+        "lpad(CAST(s_suppkey AS STRING), 10, '0') AS cik", "s_name AS company_name", "fiscal_year",
+        "CASE WHEN qtr = 0 THEN 'FY' ELSE concat('Q', CAST(qtr AS STRING)) END AS fiscal_period",
+        f"{end} AS end_date", f"date_add({end}, 45) AS filing_date", f"{_sql_sic2()} AS sic2",
+        f"concat({_sql_sic2()}, lpad(CAST(s_suppkey % 100 AS STRING), 2, '0')) AS sic4",
+        *[f"{eps if i == 'basic_earnings_per_share' else i} AS `{sec}.{i}.value`" for sec, items in SECTIONS.items() for i in items],
         "market_cap")
 
 
@@ -263,11 +254,10 @@ STATEMENTS_CTE = _statements_cte()
 def filings_json(spark, sf_dir) -> DataFrame:
     """The same statements as nested filings: header columns and a JSON text."""
     st = statements(spark, sf_dir)
-    nested = F.struct(*[
-        F.struct(*[F.struct(F.col(f"`{sec}.{i}.value`").alias("value"), F.lit("USD").alias("unit")).alias(i) for i in items]).alias(sec)
-        for sec, items in SECTIONS.items()])
-    return st.select("ticker", "cik", "company_name", "fiscal_year", "fiscal_period", "end_date",
-                     "filing_date", "sic2", "sic4", F.to_json(nested).alias("financials"), "market_cap")
+    item = lambda sec, i: f"'{i}', named_struct('value', `{sec}.{i}.value`, 'unit', 'USD')"
+    nested = ", ".join(f"'{sec}', named_struct({', '.join(item(sec, i) for i in items)})" for sec, items in SECTIONS.items())
+    return st.selectExpr("ticker", "cik", "company_name", "fiscal_year", "fiscal_period", "end_date",
+                         "filing_date", "sic2", "sic4", f"to_json(named_struct({nested})) AS financials", "market_cap")
 
 
 # ---------------------------------------------------------------- reference data
@@ -394,7 +384,7 @@ def thresholds(fund: DataFrame) -> DataFrame:
         "rev_g": growth(F.col("revenue"), F.lag("revenue").over(w)),
         "book_g": growth(F.col("book_value"), F.lag("book_value").over(w)),
         "eps_g": growth(F.col("earnings_per_share"), F.lag("earnings_per_share").over(w))})
-    aggs = [F.round(F.expr(e), 4).alias(m) for m, e in _SECTOR.items()]
+    aggs = [F.expr(f"round({e}, 4) AS {m}") for m, e in _SECTOR.items()]
     last2 = F.substring("code", -2, 2).cast("int")
     keep = F.when(F.length("code") == 2, (F.col("code").cast("int") - 1) % 5 != 0).otherwise((last2 % 2 == 0) & (F.col("code") != "7399"))
     rows = fy.groupBy("code").agg(*aggs).where(keep)

@@ -63,7 +63,8 @@ def compare(df, con, text):
 
 def session(cores=8):
     from pyspark.sql import SparkSession
-    s = (SparkSession.builder.master(f"local[{cores}]").appName("bourse-check")
+    from bourse.session import configured
+    s = (configured(SparkSession.builder).master(f"local[{cores}]").appName("bourse-check")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
