@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("price_queries", "statement_queries")
+_MODULES = ("price_queries", "statement_queries", "backtest_queries", "model_queries")
 
 
 def load():

@@ -46,6 +46,18 @@ bars AS MATERIALIZED (
 BARS_CTE = bars_cte()
 
 
+def calm_bars(spark, sf_dir, fine: bool = False) -> DataFrame:
+    """(ticker, date, close) with moves of a few percent, for backtests.
+
+    Prices per unit jump tenfold from week to week, which compounds past the
+    range where results can be compared; here they are a small part of the close.
+    """
+    return bars(spark, sf_dir, fine=fine).selectExpr("ticker", "date", "1000 + CAST(0.001 AS DOUBLE) * close AS close")
+
+
+CALM_CTE = "calm AS (SELECT ticker, date, 1000 + CAST(0.001 AS DOUBLE) * close AS close FROM bars)"
+
+
 # ---------------------------------------------------------------- news
 # event type -> sentiment of the derived news facts
 SENTIMENT_OF_EVENT = {
