@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import safe_div
-from bourse.operators.series import open_series, running
+from bourse.operators.series import open_series, require_daily, running
 
 SLIPPAGE, FEES = 0.001, 0.0
 
@@ -122,6 +122,6 @@ def equity_sized(sig: DataFrame, initial_cash: float = 1000.0, slippage: float =
         res.insert(0, "ticker", pdf["ticker"].to_numpy())
         return res
 
-    cols = sig.select("ticker", "date", "close", "entry_signal", "exit_signal",
+    cols = require_daily(sig).select("ticker", "date", "close", "entry_signal", "exit_signal",
                       F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     return cols.groupBy("ticker").applyInPandas(fold, _SIZED)

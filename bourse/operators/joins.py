@@ -16,17 +16,17 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "ticke
     carried forward, so there is no inequality join and nothing is broadcast.
     At equal times the right row counts as known.
     """
-    cols = [c for c in left.columns if c not in (key, left_time)]
     t = left.schema[left_time].dataType
-    val = F.struct(*[F.col(v) for v in values])
-    a = left.select(F.col(key), F.col(left_time).alias("_t"), F.struct(*[F.col(c) for c in [left_time] + cols]).alias("_row"))
-    # one entry per time: requests are grouped, the right value is the one row of that time
-    l1 = a.groupBy(key, "_t").agg(F.lit(True).alias("_asked"))
-    r1 = right.groupBy(key, F.col(right_time).cast(t).alias("_t")).agg(F.max(val).alias("_v"))
-    both = l1.join(r1, [key, "_t"], "full")
-    known = running(both, {"_known": ("last", F.col("_v"))}, key, "_t").where("_asked").select(key, "_t", "_known")
-    out = a.join(known, [key, "_t"], "left")
-    return out.select(key, "_row.*", *[F.col(f"_known.{v}").alias(v) for v in values])
+    rest = [c for c in left.columns if c not in (key, left_time)]
+    value = F.struct(*[F.col(v) for v in values])
+    asks = left.select(key, F.col(left_time).alias("_t"), F.lit(True).alias("_asked"),
+                       F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
+    known = right.select(key, F.col(right_time).cast(t).alias("_t"), F.lit(False).alias("_asked"), value.alias("_v"))
+    # one entry per key and time, however often it is asked for
+    both = asks.unionByName(known).groupBy(key, "_t").agg(F.max("_asked").alias("_asked"), F.max("_v").alias("_v"))
+    found = running(both, {"_known": ("last", F.col("_v"))}, key, "_t").where("_asked")
+    out = left.join(found.select(key, F.col("_t").alias(left_time), "_known"), [key, left_time], "left")
+    return out.select(key, left_time, *rest, *[F.col(f"_known.{v}").alias(v) for v in values])
 
 
 def predictions_with_prices(predictions: DataFrame, bars: DataFrame) -> DataFrame:

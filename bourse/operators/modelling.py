@@ -51,10 +51,10 @@ def clean(df: DataFrame, features: list[str]) -> DataFrame:
 def scale(df: DataFrame, features: list[str]) -> DataFrame:
     """(x - mean) / scale with the statistics of the train rows."""
     stats = scaler_stats(df.where(F.col("split") == "train"), features)
-    wide = stats.agg(*[F.max(F.when(F.col("feature") == c, F.struct("mean", "scale"))).alias(f"_s_{c}") for c in features])
-    out = df.crossJoin(F.broadcast(wide))  # one row
-    return (out.withColumns({c: (F.col(c) - F.col(f"_s_{c}.mean")) / F.col(f"_s_{c}.scale") for c in features})
-            .drop(*[f"_s_{c}" for c in features]))
+    wide = stats.agg(F.struct(*[F.max(F.when(F.col("feature") == c, F.struct("mean", "scale"))).alias(c)
+                                for c in features]).alias("s"))
+    out = df.withColumn("_s", wide.scalar())  # a scalar subquery, read once
+    return out.withColumns({c: (F.col(c) - F.col(f"_s.{c}.mean")) / F.col(f"_s.{c}.scale") for c in features}).drop("_s")
 
 
 def zero_scales(stats: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -112,8 +112,8 @@ def score_model(df: DataFrame, features: list[str], window: int,
 def linear_importance(df: DataFrame, model: dict) -> DataFrame:
     """Mean absolute contribution coef * (x - mean(x)) of each feature."""
     feats = list(model["coefficients"])
-    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in feats])
-    row = df.crossJoin(F.broadcast(means)).agg(*[  # one row
-        F.avg(F.abs(F.lit(w) * (F.col(f) - F.col(f"_m_{f}")))).alias(f) for f, w in model["coefficients"].items()])
+    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in feats]).alias("m"))
+    row = df.withColumn("_m", means.scalar()).agg(*[
+        F.avg(F.abs(F.lit(w) * (F.col(f) - F.col(f"_m.{f}")))).alias(f) for f, w in model["coefficients"].items()])
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance"))
                                           for f in feats])).alias("r")).select("r.*")

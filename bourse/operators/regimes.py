@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.operators.aggregates import exact_quantiles
+from bourse.operators.series import require_daily
 from bourse.operators.windows import returns_and_range
 
 FEATURES = ["ret", "range", "volume"]
@@ -111,19 +112,19 @@ _STATS = ["loglik", "n", *[f"start{k}" for k in range(K)], *[f"w{k}" for k in ra
           *[f"x{k}{i}" for k in range(K) for i in range(D)],
           *[f"xx{k}{i}{j}" for k in range(K) for i in range(D) for j in range(D)],
           *[f"t{k}{j}" for k in range(K) for j in range(K)]]
-_STATS_SCHEMA = ", ".join(f"{c} double" for c in _STATS)
 
 
 def _expectation(feats: DataFrame, m: Hmm) -> dict[str, float]:
+    """Expected counts and moments, added up over all tickers: one row per statistic."""
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         x = (pdf.sort_values("date")[FEATURES].to_numpy(dtype="float64") - m.shift) / m.scale
         ll, g, xi = forward_backward(x, m)
-        row = [ll, float(len(x)), *g[0], *g.sum(axis=0), *(g.T @ x).ravel(),
-               *np.einsum("tk,ti,tj->kij", g, x, x).ravel(), *xi.ravel()]
-        return pd.DataFrame([row], columns=_STATS)
+        values = [ll, float(len(x)), *g[0], *g.sum(axis=0), *(g.T @ x).ravel(),
+                  *np.einsum("tk,ti,tj->kij", g, x, x).ravel(), *xi.ravel()]
+        return pd.DataFrame({"stat": np.arange(len(values), dtype="int32"), "value": values})
 
-    sums = feats.groupBy("ticker").applyInPandas(step, _STATS_SCHEMA)
-    return sums.agg(*[F.sum(c).alias(c) for c in _STATS]).first().asDict()
+    parts = feats.groupBy("ticker").applyInPandas(step, "stat int, value double")
+    return {_STATS[r["stat"]]: r["value"] for r in parts.groupBy("stat").agg(F.sum("value").alias("value")).collect()}
 
 
 def _maximisation(s: dict[str, float], m: Hmm, floor: float) -> Hmm:
@@ -142,10 +143,11 @@ def _maximisation(s: dict[str, float], m: Hmm, floor: float) -> Hmm:
 def fit(feats: DataFrame, max_rounds: int = 100, tol: float = 1e-2, floor: float = 1e-6) -> Hmm:
     """Expectation-maximisation from a deterministic start (terciles of the return).
 
-    The feature table is kept (recomputed from its source if an executor is
-    lost) because every round reads it once.
+    Every round reads the feature table once, so it is kept, already grouped by
+    ticker: the rounds need no shuffle of the rows.  Lost blocks are recomputed
+    from the source.
     """
-    feats = feats.persist()
+    feats = require_daily(feats).repartition("ticker").persist()
     try:
         stats = feats.agg(*[f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in
                             (("avg", F.avg), ("sd", F.stddev_pop))]).first()
@@ -199,7 +201,7 @@ def decode(feats: DataFrame, m: Hmm) -> DataFrame:
         return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "state": states,
                              "regime": [names[int(k)] for k in states]})
 
-    return feats.groupBy("ticker").applyInPandas(path, "ticker string, date date, state int, regime string")
+    return require_daily(feats).groupBy("ticker").applyInPandas(path, "ticker string, date date, state int, regime string")
 
 
 def state_names(states: DataFrame) -> DataFrame:

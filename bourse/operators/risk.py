@@ -162,7 +162,7 @@ def position_limits(bars: DataFrame, positions: DataFrame, cash: float) -> DataF
     """How much more may be put into each ticker: 20 % of the portfolio less what is held, at most the cash."""
     held = positions.groupBy("ticker").agg(F.sum("cost_basis").alias("current_position"))
     df = (latest_prices(bars).join(held, "ticker", "left").fillna(0.0, ["current_position"])
-          .crossJoin(F.broadcast(portfolio_total(positions, cash))))  # one row
+          .withColumn("portfolio_value", portfolio_total(positions, cash).scalar()))
     limit = F.col("portfolio_value") * MAX_POSITION_SHARE
     return (df.withColumn("position_limit", limit)
             .withColumn("remaining_limit", F.col("position_limit") - F.col("current_position"))

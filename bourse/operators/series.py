@@ -62,6 +62,13 @@ def is_daily(df: DataFrame, time: str) -> bool:
     return isinstance(df.schema[time].dataType, T.DateType)
 
 
+def require_daily(df: DataFrame, time: str = "date") -> DataFrame:
+    """For operators that fold a whole series in one task: one row per day at most."""
+    if not is_daily(df, time):
+        raise ValueError(f"{time} must be a DATE: a longer series would not be a bounded group")
+    return df
+
+
 def with_position(df: DataFrame, key: str = "ticker", time: str = "date",
                   bucket: str = POSITION_BUCKET) -> DataFrame:
     """Add `_pos`, the 0-based index of each row in its series.

@@ -31,12 +31,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def append_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append bars under their storage names, partitioned by year.
 
-    Rows are shuffled by year and ticker before the write, so a year is written
-    by several tasks and a partition folder does not fill with tiny files.
+    The rebalance hint groups rows by year before the write; adaptive execution
+    splits a large year over several tasks and merges small ones, so neither
+    one slow task nor a folder of tiny files comes out.
     """
     out = to_storage_names(bars).select(*STORED).withColumn("Date", F.to_date("Date"))
     (out.withColumn("Year", F.year("Date"))
-     .repartition("Year", "Ticker")
+     .hint("rebalance", "Year")
      .write.mode("append").partitionBy("Year").format(fmt).save(path))
 
 
