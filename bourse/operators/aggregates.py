@@ -84,8 +84,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, direct_ro
     Small columns are answered by `percentile`.  Otherwise the value is
     bracketed with mergeable sketches: each pass counts the rows below the
     bracket and narrows it, until what is left inside is small enough for the
-    exact aggregate.  Only a few numbers per column reach the driver.
+    exact aggregate.  Only a few numbers per column reach the driver.  The
+    columns are kept for the passes (lost blocks are recomputed).
     """
+    kept = df.select(*columns).persist()
+    try:
+        return _narrow(kept, columns, q, direct_rows)
+    finally:
+        kept.unpersist()
+
+
+def _narrow(df: DataFrame, columns: list[str], q: float, direct_rows: int) -> dict[str, float | None]:
     n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     result: dict[str, float | None] = {}
     open_cols = {}

@@ -33,35 +33,48 @@ def missing_periods(st: DataFrame, required=("Q1", "Q2", "Q3", "FY")) -> DataFra
                     F.array_join(F.array_sort(F.array_except(req, "_have")), ",").alias("missing")))
 
 
-def fourth_quarters(st: DataFrame, literal: bool = False) -> DataFrame:
-    """Q4 = FY - (Q1 + Q2 + Q3) for years that have all four periods.
+def _with_fourth_quarter(st: DataFrame, literal: bool, keep_filed: bool) -> DataFrame:
+    """Per (ticker, year) the filed rows (optionally) and the reconstructed Q4 row.
 
-    One aggregation per (ticker, year) picks the first filed row of each
-    period; header and market cap come from the FY row.  Balances and average
-    shares are those of FY; `literal=True` subtracts them too, as the formula
-    is written.
+    The few filings of a year are gathered once, so the statements are read and
+    shuffled a single time.
     """
     metrics = value_columns(st)
-    row = "struct(" + ", ".join(f"`{c}`" for c in st.columns if c not in ("ticker", "fiscal_year", "fiscal_period")) + ")"
-    picked = st.groupBy("ticker", "fiscal_year").agg(*[
-        F.expr(f"min_by({row}, CASE WHEN fiscal_period = '{p}' THEN filing_date END)").alias(p)
-        for p in ("Q1", "Q2", "Q3", "FY")])
-
-    def column(c):
+    rest = [c for c in st.columns if c not in ("ticker", "fiscal_year")]
+    row = "struct(" + ", ".join(f"`{c}`" for c in rest) + ")"
+    year = st.groupBy("ticker", "fiscal_year").agg(
+        F.expr(f"array_sort(collect_list(struct(filing_date AS _o, {row} AS r))) AS f"))
+    # the first filed row of each period
+    year = year.selectExpr("ticker", "fiscal_year", "transform(f, x -> x.r) AS f").selectExpr(
+        "*", *[f"get(filter(f, x -> x.fiscal_period = '{p}'), 0) AS {p}" for p in ("Q1", "Q2", "Q3", "FY")])
+
+    def field(c):
         if c == "fiscal_period":
-            return "'Q4' AS fiscal_period"
-        if c in ("ticker", "fiscal_year"):
-            return c
+            return f"'{c}', 'Q4'"
         flow = c in metrics and (literal or not (c.startswith(BALANCES) or c in BALANCE_COLUMNS))
-        return f"FY.`{c}` - (Q1.`{c}` + Q2.`{c}` + Q3.`{c}`) AS `{c}`" if flow else f"FY.`{c}` AS `{c}`"
+        return f"'{c}', " + (f"FY.`{c}` - (Q1.`{c}` + Q2.`{c}` + Q3.`{c}`)" if flow else f"FY.`{c}`")
+
+    q4 = f"named_struct({', '.join(field(c) for c in rest)})"
+    complete = "Q1 IS NOT NULL AND Q2 IS NOT NULL AND Q3 IS NOT NULL AND FY IS NOT NULL"
+    if keep_filed:
+        out = year.selectExpr("ticker", "fiscal_year", f"inline(CASE WHEN {complete} THEN array_append(f, {q4}) ELSE f END)")
+    else:
+        out = year.where(complete).selectExpr("ticker", "fiscal_year", f"inline(array({q4}))")
+    return out.select(*[F.col(f"`{c}`") for c in st.columns])
 
-    return (picked.where("Q1 IS NOT NULL AND Q2 IS NOT NULL AND Q3 IS NOT NULL AND FY IS NOT NULL")
-            .selectExpr(*[column(c) for c in st.columns]))
+
+def fourth_quarters(st: DataFrame, literal: bool = False) -> DataFrame:
+    """Q4 = FY - (Q1 + Q2 + Q3) for years that have all four periods.
+
+    Header and market cap come from the FY row.  Balances and average shares
+    are those of FY; `literal=True` subtracts them too, as the formula is written.
+    """
+    return _with_fourth_quarter(st, literal, keep_filed=False)
 
 
 def reconstruct_q4(st: DataFrame, literal: bool = False) -> DataFrame:
     """Statements with the reconstructed Q4 rows appended."""
-    return st.unionByName(fourth_quarters(st, literal), allowMissingColumns=True)
+    return _with_fourth_quarter(st, literal, keep_filed=True)
 
 
 _HEAD = ["ticker", "company_name", "sic2", "sic4", "filing_date", "end_date", "fiscal_period", "fiscal_year"]

@@ -33,8 +33,8 @@ class Scorer:
     values: Callable[[Snap], dict[str, Column]] = field(default=lambda s: {})
     confidence: Callable[[Callable[[str], Column]], Column] | None = None
 
-    def part_columns(self, literal: bool) -> dict[str, Column]:
-        s = Snap()
+    def part_columns(self, literal: bool, snap: Snap | None = None) -> dict[str, Column]:
+        s = snap or Snap()
         parts, values = self.parts(s, literal), self.values(s)
         _NAMES[self.key] = (list(parts), list(values))
         out = {}
@@ -86,7 +86,8 @@ def apply(snapshot: DataFrame, scorers: Iterable[Scorer], literal: bool = True)
     many scorers run.
     """
     scorers = list(scorers)
-    df = snapshot.withColumns({n: c for s in scorers for n, c in s.part_columns(literal).items()})
+    snap = Snap()
+    df = snapshot.withColumns({n: c for s in scorers for n, c in s.part_columns(literal, snap).items()})
     df = df.withColumns({f"{s.key}_score": s.score(s.col) for s in scorers if s.score})
     df = df.withColumns({f"{s.key}_signal": s.signal(s.col) for s in scorers})
     conf = {f"{s.key}_confidence": s.confidence(s.col) for s in scorers if s.confidence}

@@ -45,46 +45,50 @@ def with_side_inputs(snap: DataFrame, insiders: DataFrame | None = None,
 
 
 class Snap:
-    """Accessors on a snapshot row."""
-
-    n: Column
+    """Accessors on a snapshot row; repeated requests share one expression."""
 
     def __init__(self):
-        self.p = F.col("p")
+        self._memo: dict[tuple, Column] = {}
         self.n = F.size("p")
 
+    def _once(self, *key, make: Callable[[], Column]) -> Column:
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
+
     def x(self, item: str, i: int = 0) -> Column:
         """Value of the i-th newest period, NULL if there is none."""
-        return F.get(self.p, F.lit(i))[item]
+        return self._once("x", item, i, make=lambda: F.expr(f"get(p, {i}).{item}"))
 
     def oldest(self, item: str) -> Column:
-        return F.get(self.p, self.n - 1)[item]
+        return self._once("oldest", item, make=lambda: F.expr(f"get(p, size(p) - 1).{item}"))
 
     def all(self, item: str) -> Column:
-        return self.p[item]
+        return self._once("all", item, make=lambda: F.expr(f"p.{item}"))
 
     def t(self, metric: str) -> Column:
-        return F.col(f"t_{metric}")
+        return self._once("t", metric, make=lambda: F.col(f"t_{metric}"))
 
     def count(self, item: str, pred: Callable[[Column], Column]) -> Column:
         return F.size(F.filter(self.all(item), pred))
 
     def any_nonzero(self, item: str) -> Column:
-        return F.exists(self.all(item), lambda v: v != 0)
+        return self._once("any", item, make=lambda: F.expr(f"exists(p.{item}, v -> v <> 0)"))
 
     def majority(self, item: str, pred) -> Column:
         return self.count(item, pred) >= F.floor(self.n / 2) + 1
 
     def sum(self, item: str) -> Column:
-        return add_up(self.all(item))
+        return self._once("sum", item, make=lambda: add_up(self.all(item)))
 
     def mean(self, item: str) -> Column:
-        return self.sum(item) / self.n
+        return self._once("mean", item, make=lambda: self.sum(item) / self.n)
 
     def pairs(self, item: str, fn: Callable[[Column, Column], Column]) -> Column:
         """fn(newer, older) over neighbouring periods, newest pair first."""
-        a = self.all(item)
-        return F.zip_with(F.slice(a, F.lit(1), self.n - 1), F.slice(a, F.lit(2), self.n - 1), fn)
+        newer = self._once("newer", item, make=lambda: F.expr(f"slice(p.{item}, 1, size(p) - 1)"))
+        older = self._once("older", item, make=lambda: F.expr(f"slice(p.{item}, 2, size(p) - 1)"))
+        return F.zip_with(newer, older, fn)
 
 
 def add_up(arr: Column) -> Column:

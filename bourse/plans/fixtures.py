@@ -16,18 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bars
 def bars(spark, sf_dir, span: str = "week", fine: bool = False) -> DataFrame:
-    """OHLCV bars: ticker = part brand (or brand-type), px = price per unit."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity",
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"))
+    """OHLCV bars: ticker = part brand (or brand-type), px = price per unit.
+
+    Lines of a bar are ordered by day, order, line and a mix of part and
+    supplier, packed into one BIGINT (order keys below 2^38): with a fixed-width
+    order the partial aggregation hashes the rows, with a struct it would sort
+    them first.
+    """
     name = F.concat_ws("-", "p_brand", "p_type") if fine else F.col("p_brand")
     part = table(spark, sf_dir, "part").select("p_partkey", name.alias("ticker"))
-    k = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return (line.join(part, line.l_partkey == part.p_partkey)
-            .groupBy("ticker", F.date_trunc(span, "l_shipdate").cast("date").alias("date"))
-            .agg(F.min_by("px", k).alias("open"), F.max("px").alias("high"),
-                 F.min("px").alias("low"), F.max_by("px", k).alias("close"),
-                 F.sum("l_quantity").alias("volume")))
+    day = "CAST(l_shipdate AS DATE)"
+    first = day if span == "day" else f"trunc({day}, '{span}')"
+    line = (table(spark, sf_dir, "lineitem")
+            .selectExpr("l_partkey", f"{first} AS date", "l_extendedprice / l_quantity AS px", "l_quantity",
+                        f"datediff({day}, {first}) * (1L << 54) + l_orderkey * 65536 + l_linenumber * 8192"
+                        " + (l_partkey * 31 + l_suppkey) % 8192 AS k"))
+    return (line.join(part, line.l_partkey == part.p_partkey).groupBy("ticker", "date")
+            .agg(F.expr("min_by(px, k) AS open"), F.expr("max(px) AS high"), F.expr("min(px) AS low"),
+                 F.expr("max_by(px, k) AS close"), F.expr("sum(l_quantity) AS volume")))
 
 
 def bars_cte(span: str = "week", fine: bool = False) -> str:
@@ -35,7 +41,8 @@ def bars_cte(span: str = "week", fine: bool = False) -> str:
     return f"""px AS (
   SELECT {name} AS ticker, CAST(date_trunc('{span}', l_shipdate) AS DATE) AS date,
          l_extendedprice / l_quantity AS px, l_quantity AS qty,
-         struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, d := l_partkey, e := l_suppkey) AS k
+         struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, m := (l_partkey * 31 + l_suppkey) % 8192,
+           d := l_partkey, e := l_suppkey) AS k
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 bars AS MATERIALIZED (
   SELECT ticker, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low,
@@ -205,12 +212,13 @@ def statements(spark, sf_dir, with_q4: bool = False) -> DataFrame:
     quarter = (q.join(s, q._supp == s.s_suppkey)
                .selectExpr(*head, "qtr", *[f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _QUARTER_ITEMS.items()])
                .selectExpr("*", "round(equity * (1 + s_acctbal / 10000) + 5 * revenues, 6) AS market_cap"))
-    fy = (quarter.groupBy(*head)
-          .agg(F.expr("count(1) AS _n"),
-               *[F.expr(f"round(sum({i}), 6) AS {i}") for i in FLOW_ITEMS],
-               *[F.expr(f"max_by({i}, qtr) AS {i}") for i in STOCK_ITEMS])
-          .where("_n = 4").selectExpr("*", "0 AS qtr").drop("_n"))
-    rows = quarter.unionByName(fy)
+    # each quarter row counts for itself and for the year (qtr 0): one pass gives both
+    rows = (quarter.selectExpr("*", "explode(array(qtr, 0)) AS period")
+            .groupBy(*head, F.col("period").alias("_p"))
+            .agg(F.expr("count(1) AS _n"),
+                 *[F.expr(f"round(sum({i}), 6) AS {i}") for i in FLOW_ITEMS],
+                 *[F.expr(f"max_by({i}, qtr) AS {i}") for i in STOCK_ITEMS])
+            .where("_p > 0 OR _n = 4").withColumnRenamed("_p", "qtr").drop("_n"))
     if not with_q4:
         rows = rows.where("qtr <> 4")
     end = "last_day(make_date(fiscal_year, CASE WHEN qtr = 0 THEN 12 ELSE qtr * 3 END, 1))"
@@ -397,13 +405,16 @@ def thresholds(fund: DataFrame) -> DataFrame:
         "book_g": growth(F.col("book_value"), F.lag("book_value").over(w)),
         "eps_g": growth(F.col("earnings_per_share"), F.lag("earnings_per_share").over(w))})
     aggs = [F.expr(f"round({e}, 4) AS {m}") for m, e in _SECTOR.items()]
+    # the sectors and, in the same pass, all of them together (code NULL)
+    sums = fy.rollup("code").agg(*aggs)
     last2 = F.substring("code", -2, 2).cast("int")
-    keep = F.when(F.length("code") == 2, (F.col("code").cast("int") - 1) % 5 != 0).otherwise((last2 % 2 == 0) & (F.col("code") != "7399"))
-    rows = fy.groupBy("code").agg(*aggs).where(keep)
-    rows = rows.withColumns({m: F.when(last2 % 4 != 1, F.col(m)) for m in _HOLES})
-    base = fy.agg(*aggs).withColumn("code", F.explode(F.array(F.lit("99"), F.lit("7399"))))
-    both = rows.unionByName(base)
-    return both.select("code", F.concat(F.lit("sector "), "code").alias("name"), *_SECTOR)
+    keep = (F.when(F.col("code").isNull(), F.lit(True))
+            .when(F.length("code") == 2, (F.col("code").cast("int") - 1) % 5 != 0)
+            .otherwise((last2 % 2 == 0) & (F.col("code") != "7399")))
+    holes = {m: F.when(F.col("code").isNull() | (last2 % 4 != 1), F.col(m)) for m in _HOLES}
+    codes = F.when(F.col("code").isNull(), F.array(F.lit("99"), F.lit("7399"))).otherwise(F.array("code"))
+    rows = sums.where(keep).withColumns(holes).withColumn("code", F.explode(codes))
+    return rows.select("code", F.concat(F.lit("sector "), "code").alias("name"), *_SECTOR)
 
 
 def _fund_cte() -> str:

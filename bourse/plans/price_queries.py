@@ -242,8 +242,8 @@ ema(ticker, date, rn, close, {', '.join(f'e{n}' for n in spans)}) AS (
 def indicator(key: str, names: list[str], select: str, ctes: list[str] | None = None):
     """A query adding indicators to the bars; `select` gives ticker, date and the columns."""
     doubles = " ".join(n for n in names if not n.startswith(("trend", "bull", "bear")))
-    query(key, sql([B] + (ctes or []), select, doubles))(
-        lambda spark, d: out(add_indicators(fx.bars(spark, d), names).select("ticker", "date", *names)))
+    query(key, sql([B] + (ctes or []), select, doubles, 4))(
+        lambda spark, d: out(add_indicators(fx.bars(spark, d), names).select("ticker", "date", *names), 4))
 
 
 indicator("ind_ema", ["ema_20", "ema_50", "ema_200"],
@@ -295,22 +295,22 @@ SELECT z.ticker, z.date, z.z_score, z.b_percent, z.volume_momentum, e.e20 AS ema
   SELECT ticker, date, (close - ({sroll('avg', 'close', 50)})) / nullif({sroll('stddev_samp', 'close', 50)}, 0) AS z_score,
     (close - (({sroll('avg', 'close', 20)}) - 2 * ({sroll('stddev_samp', 'close', 20)}))) / nullif(4 * ({sroll('stddev_samp', 'close', 20)}), 0) AS b_percent,
     volume / nullif({sroll('avg', 'volume', 21)}, 0) AS volume_momentum FROM bars) z
-JOIN ema e ON z.ticker = e.ticker AND z.date = e.date""", "z_score b_percent volume_momentum ema_20"))
+JOIN ema e ON z.ticker = e.ticker AND z.date = e.date""", "z_score b_percent volume_momentum ema_20", 4))
 def ind_intraday_chunked(spark, d):
     """Hourly bars: a TIMESTAMP series, cut into row chunks with copied history."""
     b = bar_src.resample(fx.ticks(spark, d), "hour")
     names = ["z_score", "b_percent", "volume_momentum", "ema_20"]
     df = add_indicators(b, names, chunk_rows=500)
-    return out(df.select("ticker", F.col("date").cast("timestamp_ntz").alias("date"), *names))
+    return out(df.select("ticker", F.col("date").cast("timestamp_ntz").alias("date"), *names), 4)
 
 
 @query("ind_all", sql([B, STOCH14, TR], f"""
 SELECT t.ticker, t.date, t.atr, s.stoch_rsi14 FROM (SELECT ticker, date, {sroll('avg', 'tr', 14)} AS atr FROM tr) t
-JOIN stoch s ON t.ticker = s.ticker AND t.date = s.date""", "atr stoch_rsi14"))
+JOIN stoch s ON t.ticker = s.ticker AND t.date = s.date""", "atr stoch_rsi14", 4))
 def ind_all(spark, d):
     """All indicators requested in one plan (two of them compared here; each has its own query)."""
     from bourse.operators.indicators import INDICATORS
-    return out(add_indicators(fx.bars(spark, d), list(INDICATORS)).select("ticker", "date", "atr", "stoch_rsi14"))
+    return out(add_indicators(fx.bars(spark, d), list(INDICATORS)).select("ticker", "date", "atr", "stoch_rsi14"), 4)
 
 
 # ------------------------------------------------------------------ windows
@@ -339,10 +339,10 @@ def win_sentiment_ratios(spark, d):
 
 @query("win_cum_return", sql([B, RET], """
 SELECT ticker, date, (product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) - 1) * 100 AS cumulative_return FROM rt WHERE ret IS NOT NULL""",
-                             "cumulative_return"))
+                             "cumulative_return", 3))
 def win_cum_return(spark, d):
     r = windows.returns_and_range(fx.bars(spark, d))
-    return out(windows.cumulative_return(r).select("ticker", "date", "cumulative_return"))
+    return out(windows.cumulative_return(r).select("ticker", "date", "cumulative_return"), 3)
 
 
 @query("win_cum_return_intraday", sql([fx.TICKS_CTE, HOURLY, RET], """
@@ -374,8 +374,8 @@ OSEQ = f"""o AS MATERIALIZED (SELECT ticker, date, close, volume, row_number() {
   avg(close) OVER c AS mc, avg(volume) OVER c AS mv, first_value(close) OVER c AS fc, first_value(volume) OVER c AS fv
   FROM bars WINDOW c AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING))"""
 for _pad, _c, _v in (("zero", "0.0", "0.0"), ("mean", "o.mc", "o.mv"), ("repeat", "o.fc", "o.fv")):
-    query("win_seq" if _pad == "zero" else f"win_seq_{_pad}", sql([B, OSEQ], seq_sql(_c, _v), "close volume"))(
-        lambda spark, d, pad=_pad: out(_steps(windows.sequences(fx.bars(spark, d), ["close", "volume"], 5, pad))))
+    query("win_seq" if _pad == "zero" else f"win_seq_{_pad}", sql([B, OSEQ], seq_sql(_c, _v), "close volume", 4))(
+        lambda spark, d, pad=_pad: out(_steps(windows.sequences(fx.bars(spark, d), ["close", "volume"], 5, pad)), 4))
 
 
 @query("win_seq_exclusive", sql([B, OSEQ], """
@@ -388,9 +388,9 @@ def win_seq_exclusive(spark, d):
 
 @query("win_downsample", sql([B, OSEQ], """
 SELECT ticker, CAST(floor((rn - 1) / 4) AS BIGINT) AS step, min(date) AS start, sum(close) / 4 AS close, sum(volume) / 4 AS volume
-FROM o GROUP BY ALL""", "close volume"))
+FROM o GROUP BY ALL""", "close volume", 4))
 def win_downsample(spark, d):
-    return out(windows.downsample(fx.bars(spark, d), ["close", "volume"], 4))
+    return out(windows.downsample(fx.bars(spark, d), ["close", "volume"], 4), 4)
 
 
 # ------------------------------------------------------------------ sorts, sets
