@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import safe_div
-from bourse.operators.series import open_series, running
+from bourse.operators.series import is_daily, open_series, running
 
 PERIODS = 252.0
 Z95 = 1.645
@@ -45,19 +45,14 @@ def total_return(r: Column) -> Column:
     return F.when(F.min(r) <= -1.0, F.lit(-1.0)).otherwise(grown)
 
 
-def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
-    """sharpe, sortino, volatility, cagr, cumulative return and VaR per ticker.
-
-    Plain aggregates: partial sums are made before the shuffle.
-    """
+def _return_aggregates(rf_pct: float) -> list[Column]:
     r = F.col("ret")
-    rf = period_rate(rf_pct)
-    e = r - F.lit(rf)
+    e = r - F.lit(period_rate(rf_pct))
     down = F.least(e, F.lit(0.0))
     root = F.lit(math.sqrt(PERIODS))
     total = total_return(r)
     days = F.datediff(F.max("date"), F.min("date"))
-    return returns.where(r.isNotNull()).groupBy("ticker").agg(
+    return [
         F.count(r).alias("n"),
         (safe_div(F.avg(e), F.stddev_samp(r)) * root).alias("sharpe"),
         (safe_div(F.avg(e), F.sqrt(F.avg(down * down))) * root).alias("sortino"),
@@ -65,7 +60,15 @@ def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
         (F.pow(1.0 + total, F.lit(365.25) / F.nullif(days, F.lit(0))) - 1.0).alias("cagr"),
         total.alias("cumulative_return"),
         F.percentile(r, F.lit(0.05)).alias("var_hist"),
-        (F.avg(r) - Z95 * F.stddev_samp(r)).alias("var_normal"))
+        (F.avg(r) - Z95 * F.stddev_samp(r)).alias("var_normal")]
+
+
+def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
+    """sharpe, sortino, volatility, cagr, cumulative return and VaR per ticker.
+
+    Plain aggregates: partial sums are made before the shuffle.
+    """
+    return returns.where(F.col("ret").isNotNull()).groupBy("ticker").agg(*_return_aggregates(rf_pct))
 
 
 def drawdowns(returns: DataFrame) -> DataFrame:
@@ -96,19 +99,33 @@ def drawdown_metrics(returns: DataFrame) -> DataFrame:
             .fillna({"max_drawdown": 0.0, "avg_drawdown": 0.0, "longest_days": 0}))
 
 
+def _serenity(rf_pct: float, cvar: Column) -> Column:
+    """The ratio from aggregates over `ret` and `drawdown`; `cvar` is the mean of the tail."""
+    x, r = F.col("drawdown"), F.col("ret")
+    ulcer = F.sqrt(safe_div(F.sum(x * x), F.count(x) - 1.0))
+    return safe_div(F.sum(r) - rf_pct / 100.0, ulcer * safe_div(-cvar, F.stddev_samp(r)))
+
+
+def _tail_cut(x: Column, over=None) -> Column:
+    if over is None:
+        return F.avg(x) - Z95 * F.stddev_samp(x)
+    return F.avg(x).over(over) - Z95 * F.stddev_samp(x).over(over)
+
+
 def serenity(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
-    """Serenity ratio per ticker: two aggregations over the drawdown column."""
+    """Serenity ratio per ticker.
+
+    Daily series: the cut of the tail is a window column over the partitioning
+    the drawdown already has.  Longer series: the cut is aggregated and joined
+    back, so that no task holds a whole ticker.
+    """
     dd = drawdowns(returns).select("ticker", "ret", "drawdown")
     x = F.col("drawdown")
-    stats = dd.groupBy("ticker").agg(
-        F.sum("ret").alias("_sum"), F.stddev_samp("ret").alias("_sd"), F.sum(x * x).alias("_sq"),
-        F.count(x).alias("_n"), (F.avg(x) - Z95 * F.stddev_samp(x)).alias("_cut"))
-    tail = (dd.join(stats.select("ticker", "_cut"), "ticker").where(x < F.col("_cut"))
-            .groupBy("ticker").agg(F.avg(x).alias("_cvar")))
-    ulcer = F.sqrt(safe_div(F.col("_sq"), F.col("_n") - 1.0))
-    pitfall = safe_div(-F.col("_cvar"), F.col("_sd"))
-    return stats.join(tail, "ticker", "left").select(
-        "ticker", safe_div(F.col("_sum") - rf_pct / 100.0, ulcer * pitfall).alias("serenity"))
+    if is_daily(returns, "date"):
+        cut = dd.withColumn("_cut", _tail_cut(x, Window.partitionBy("ticker")))
+    else:
+        cut = dd.join(dd.groupBy("ticker").agg(_tail_cut(x).alias("_cut")), "ticker")
+    return cut.groupBy("ticker").agg(_serenity(rf_pct, F.avg(F.when(x < F.col("_cut"), x))).alias("serenity"))
 
 
 TEARSHEET = {
@@ -126,8 +143,31 @@ TEARSHEET = {
 
 
 def all_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
-    return (return_metrics(returns, rf_pct).join(drawdown_metrics(returns), "ticker")
-            .join(serenity(returns, rf_pct), "ticker"))
+    """All measures, one row per ticker.
+
+    Daily series need a single exchange: drawdown, episodes and the tail cut
+    are window columns over (ticker), the measures one aggregation of them.
+    """
+    if not is_daily(returns, "date"):
+        return (return_metrics(returns, rf_pct).join(drawdown_metrics(returns), "ticker")
+                .join(serenity(returns, rf_pct), "ticker"))
+    x = F.col("drawdown")
+    under = F.when(x < -1e-12, x)
+    df = running(drawdowns(returns), {"_episode": ("sum", F.when(x >= -1e-12, 1).otherwise(0))})
+    one, ticker = Window.partitionBy("ticker", "_episode"), Window.partitionBy("ticker")
+    day = F.when(under.isNotNull(), F.col("date"))
+    df = df.withColumns({"_depth": F.min(under).over(one), "_from": F.min(day).over(one), "_to": F.max(day).over(one)})
+    # one row of each episode speaks for it
+    speaks = F.col("date") == F.col("_from")
+    df = df.withColumns({"_depth": F.when(speaks, F.col("_depth")),
+                         "_days": F.when(speaks, F.datediff("_to", "_from") + 1),
+                         "_cut": _tail_cut(x, ticker)})
+    return df.groupBy("ticker").agg(
+        *_return_aggregates(rf_pct),
+        F.coalesce(F.min("_depth"), F.lit(0.0)).alias("max_drawdown"),
+        F.coalesce(F.avg("_depth"), F.lit(0.0)).alias("avg_drawdown"),
+        F.coalesce(F.max("_days"), F.lit(0)).alias("longest_days"),
+        _serenity(rf_pct, F.avg(F.when(x < F.col("_cut"), x))).alias("serenity"))
 
 
 def tearsheet(strategy: DataFrame, benchmark: DataFrame, rf_pct: float = 0.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from bourse.operators import aggregates as agg
@@ -10,7 +12,7 @@ from bourse.operators import modelling as ml
 from bourse.operators import regimes, windows
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
-from bourse.plans.price_queries import W, frame, sroll
+from bourse.plans.price_queries import W, sroll
 from bourse.plans.registry import out, query, sql
 
 B = fx.BARS_CTE
@@ -79,11 +81,27 @@ def fitted(spark, d):
     return m, ml.fit_linear(m, cols), cols
 
 
-@query("ml_fit_baseline")
+def _det(a: str, b: str, c: str) -> str:
+    """Determinant of the 3 x 3 matrix whose columns are named a, b, c (rows 1..3)."""
+    return (f"({a}1 * ({b}2 * {c}3 - {b}3 * {c}2) - {b}1 * ({a}2 * {c}3 - {a}3 * {c}2) + {c}1 * ({a}2 * {b}3 - {a}3 * {b}2))")
+
+
+# least squares by Cramer's rule over the covariances of features and label
+OLS = f"""wm AS (SELECT * FROM (SELECT split, shifted_prices AS y, {', '.join(f'avg({c}) OVER p AS f{i + 1}' for i, c in enumerate(FEATS))}, count(*) OVER p AS full_n
+  FROM cleaned WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) x WHERE full_n = 5 AND split = 'train' AND y IS NOT NULL),
+cv AS (SELECT {', '.join(f'covar_pop(f{i}, f{j}) AS m{j}{i}' for i in (1, 2, 3) for j in (1, 2, 3))}, {', '.join(f'covar_pop(f{i}, y) AS r{i}' for i in (1, 2, 3))},
+  avg(f1) AS a1, avg(f2) AS a2, avg(f3) AS a3, avg(y) AS ay FROM wm),
+sol AS (SELECT {_det('r', 'm2', 'm3')} / {_det('m1', 'm2', 'm3')} AS b1, {_det('m1', 'r', 'm3')} / {_det('m1', 'm2', 'm3')} AS b2,
+  {_det('m1', 'm2', 'r')} / {_det('m1', 'm2', 'm3')} AS b3, a1, a2, a3, ay FROM cv)"""
+
+
+@query("ml_fit_baseline", sql([B, FEAT_SQL, SPLIT, CLEAN, OLS], " UNION ALL ".join(
+    ["SELECT 'intercept' AS feature, ay - b1 * a1 - b2 * a2 - b3 * a3 AS coefficient FROM sol"]
+    + [f"SELECT '{c}_mean', b{i + 1} FROM sol" for i, c in enumerate(FEATS)]), "coefficient", 2))
 def ml_fit_baseline(spark, d):
     _, model, _ = fitted(spark, d)
     rows = [("intercept", model["intercept"])] + list(model["coefficients"].items())
-    return out(spark.createDataFrame(rows, "feature string, coefficient double"))
+    return out(spark.createDataFrame(rows, "feature string, coefficient double"), 2)
 
 
 LINEAR = {"intercept": 10.0, "coefficients": {"close_mean": 0.9, "high_mean": 0.05, "low_mean": 0.04}}
@@ -150,6 +168,38 @@ def reg_decode(spark, d):
     return regimes.decode(feats, regimes.fit(feats, max_rounds=5))
 
 
+def _given_model() -> regimes.Hmm:
+    """A model in round numbers: independent features, states by range of the bar."""
+    means = np.array([[0.5, 15000.0, 100.0], [1.0, 25000.0, 150.0], [1.5, 40000.0, 220.0]])
+    sd = np.array([1.0, 8000.0, 60.0])
+    trans = np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]])
+    return regimes.Hmm(np.full(3, 1 / 3), trans, means, np.array([np.diag(sd ** 2)] * 3), np.zeros(3), np.ones(3))
+
+
+def _viterbi_sql() -> list[str]:
+    m = _given_model()
+    dens = lambda k: " + ".join(f"-0.5 * pow(({c} - {m.means[k][i]}) / {math.sqrt(m.covs[k][i][i])}, 2)" for i, c in enumerate(("ret", "rng", "volume")))
+    lt = lambda j, k: f"ln(CAST({m.trans[j][k]} AS DOUBLE))"
+    cand = lambda k: [f"v.s{j} + {lt(j, k)}" for j in range(3)]
+    best = ", ".join(f"greatest({', '.join(cand(k))}) + o.d{k}" for k in range(3))
+    back = ", ".join("CASE WHEN {0} >= {1} AND {0} >= {2} THEN 0 WHEN {1} >= {2} THEN 1 ELSE 2 END".format(*[f"({c})" for c in cand(k)]) for k in range(3))
+    return [f"""obs AS MATERIALIZED (SELECT ticker, date, row_number() {W} AS rn, {', '.join(f'{dens(k)} AS d{k}' for k in range(3))} FROM reg),
+vit(ticker, rn, s0, s1, s2, p0, p1, p2) AS (
+  SELECT ticker, rn, CAST(d0 AS DOUBLE), CAST(d1 AS DOUBLE), CAST(d2 AS DOUBLE), 0, 0, 0 FROM obs WHERE rn = 1
+  UNION ALL SELECT o.ticker, o.rn, {best}, {back} FROM vit v JOIN obs o ON o.ticker = v.ticker AND o.rn = v.rn + 1),
+vm AS MATERIALIZED (SELECT * FROM vit),
+path(ticker, rn, state) AS (
+  SELECT ticker, rn, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END FROM vm v WHERE rn = (SELECT max(rn) FROM vm x WHERE x.ticker = v.ticker)
+  UNION ALL SELECT v.ticker, p.rn - 1, CASE p.state WHEN 0 THEN v.p0 WHEN 1 THEN v.p1 ELSE v.p2 END FROM path p JOIN vm v ON v.ticker = p.ticker AND v.rn = p.rn WHERE p.rn > 1)"""]
+
+
+@query("reg_decode_given", sql([B, REG, *_viterbi_sql()], """
+SELECT o.ticker, o.date, p.state, (['Bearish', 'Neutral', 'Bullish'])[p.state + 1] AS regime FROM path p JOIN obs o ON o.ticker = p.ticker AND o.rn = p.rn"""))
+def reg_decode_given(spark, d):
+    """State paths under a given model, so that they can be compared state by state."""
+    return regimes.decode(regimes.features(fx.bars(spark, d)), _given_model())
+
+
 @query("srt_state_order", sql([B, REG, LABELS], "SELECT state, mean_return, regime FROM nm", "mean_return"))
 def srt_state_order(spark, d):
     return out(regimes.state_names(states(spark, d)))

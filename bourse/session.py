@@ -16,7 +16,16 @@ SETTINGS = {
 }
 
 
-def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
+def configured(builder: SparkSession.Builder, shuffle_bytes: int | None = None) -> SparkSession.Builder:
+    """The settings above; `shuffle_bytes`, the largest expected shuffle, sizes its partitions.
+
+    Adaptive execution starts from that many partitions of about 128 MB and
+    merges those that turn out small.
+    """
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
+    if shuffle_bytes:
+        n = max(200, shuffle_bytes // (128 << 20))
+        builder = (builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+                   .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m"))
     return builder
