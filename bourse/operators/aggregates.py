@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,71 +77,98 @@ def distinct_tickers(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ exact quantiles
+#: so many rows may be answered by the exact aggregate in one task
 DIRECT_ROWS = 1_000_000
+SKETCH_ROUNDS = 3
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
     """Exact interpolated quantile of each column over the whole table.
 
-    Small columns are answered by `percentile`.  Otherwise the value is
-    bracketed with mergeable sketches: each pass counts the rows below the
-    bracket and narrows it, until what is left inside is small enough for the
-    exact aggregate.  Only a few numbers per column reach the driver.  The
-    columns are kept for the passes (lost blocks are recomputed).
+    The value is bracketed: mergeable sketches propose a narrow range of
+    values, one aggregation counts the rows below and inside it, and so on
+    until the range holds few enough rows for the exact aggregate or a single
+    value.  Where sketches stop narrowing (one value may hold a third of the
+    rows) the range is halved instead, which always ends.  Only a few numbers
+    per column reach the driver; the columns are kept for the passes (lost
+    blocks are recomputed).
     """
     kept = df.select(*columns).persist()
     try:
-        return _narrow(kept, columns, q, direct_rows)
+        return _bracket(kept, columns, q, direct_rows)
     finally:
         kept.unpersist()
 
 
-def _narrow(df: DataFrame, columns: list[str], q: float, direct_rows: int) -> dict[str, float | None]:
-    n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+def _bracket(df: DataFrame, columns: list[str], q: float, direct_rows: int) -> dict[str, float | None]:
+    first = _row(df, {c: {"n": F.count(c), "lo": F.min(c), "hi": F.max(c)} for c in columns})
     result: dict[str, float | None] = {}
-    open_cols = {}
+    state = {}
     for c in columns:
-        if n[c] == 0:
+        n = first[c]["n"]
+        if n == 0:
             result[c] = None
         else:
-            open_cols[c] = (None, None, 0, n[c])  # low, high, rows below low, rows inside
-    while open_cols:
-        aggs, small = [], []
-        for c, (lo, hi, below, inside) in open_cols.items():
-            x = _inside(c, lo, hi)
-            rank = q * (n[c] - 1) - below
-            if inside <= direct_rows or lo == hi and lo is not None:
-                small.append(c)
-                f = 0.0 if inside <= 1 else min(max(rank / (inside - 1), 0.0), 1.0)
-                aggs.append(F.min(x).alias(c) if lo == hi and lo is not None else F.percentile(x, F.lit(f)).alias(c))
-            else:
-                f = rank / max(inside - 1, 1)
-                aggs.append(F.percentile_approx(x, [max(f - 0.001, 0.0), min(f + 0.001, 1.0)], 10_000).alias(c))
-        row = df.agg(*aggs).first()
-        for c in small:
-            result[c] = row[c]
-        bounds = {c: row[c] for c in open_cols if c not in small}
-        open_cols = {c: open_cols[c] for c in bounds}
-        if not bounds:
-            break
-        counts = df.agg(*[e for c, (a, b) in bounds.items() for e in (
-            F.count_if(F.col(c) < a).alias(f"{c}_below"),
-            F.count(_inside(c, a, b)).alias(f"{c}_in"))]).first()
-        for c, (a, b) in bounds.items():
-            rank = q * (n[c] - 1)
-            below, inside = counts[f"{c}_below"], counts[f"{c}_in"]
-            if below <= rank and rank <= below + inside - 1 and inside < open_cols[c][3]:
-                open_cols[c] = (a, b, below, inside)
-            else:  # the bracket missed or did not shrink: finish exactly
-                lo, hi, bl, ins = open_cols[c]
-                f = (rank - bl) / max(ins - 1, 1)
-                result[c] = df.agg(F.percentile(_inside(c, lo, hi), F.lit(f))).first()[0]
-                del open_cols[c]
+            state[c] = {"lo": first[c]["lo"], "hi": first[c]["hi"], "below": 0, "inside": n, "rank": q * (n - 1), "rounds": 0}
+    while state:
+        asks = {c: _step(c, s, direct_rows) for c, s in state.items()}
+        got = _row(df, asks)
+        # sketches only propose a range: count it
+        proposed = {c: got[c]["range"] for c in state if "range" in got[c]}
+        counted = _row(df, {c: {"below": F.count_if(F.col(c) < a), "inside": F.count_if(F.col(c).between(a, b))}
+                            for c, (a, b) in proposed.items()}) if proposed else {}
+        for c, s in list(state.items()):
+            answer = _narrowed(s, got[c], counted.get(c))
+            if answer is not None:
+                result[c] = answer
+                del state[c]
     return result
 
 
-def _inside(c: str, lo, hi) -> Column:
-    return F.col(c) if lo is None else F.when(F.col(c).between(lo, hi), F.col(c))
+def _row(df: DataFrame, aggs: dict[str, dict[str, Column]]) -> dict[str, dict]:
+    """One aggregation for several named expressions of several columns."""
+    r = df.agg(*[F.struct(*[e.alias(k) for k, e in named.items()]).alias(c) for c, named in aggs.items()]).first()
+    return {c: r[c].asDict() for c in aggs}
+
+
+def _step(c: str, s: dict, direct_rows: int) -> dict[str, Column]:
+    x = F.col(c)
+    inside = F.when(x.between(s["lo"], s["hi"]), x)
+    f = min(max((s["rank"] - s["below"]) / max(s["inside"] - 1, 1), 0.0), 1.0)
+    if s["lo"] == s["hi"]:
+        return {"answer": F.min(inside)}
+    if s["inside"] <= direct_rows:
+        return {"answer": F.percentile(inside, F.lit(f))}
+    if s["rounds"] < SKETCH_ROUNDS:
+        return {"range": F.percentile_approx(inside, [max(f - 0.001, 0.0), min(f + 0.001, 1.0)], 10_000)}
+    mid = s["lo"] + (s["hi"] - s["lo"]) / 2
+    return {"left": F.count_if(inside <= mid), "left_hi": F.max(F.when(inside <= mid, x)),
+            "right_lo": F.min(F.when(inside > mid, x))}
+
+
+def _narrowed(s: dict, got: dict, counted: dict | None) -> float | None:
+    """Update one column's range; its quantile once that is known."""
+    if "answer" in got:
+        return got["answer"]
+    low_rank, high_rank = math.floor(s["rank"]), math.ceil(s["rank"])
+    s["rounds"] += 1
+    if counted is not None:
+        a, b = got["range"]
+        holds = counted["below"] <= low_rank and high_rank < counted["below"] + counted["inside"]
+        if holds and counted["inside"] < s["inside"]:
+            s.update(lo=a, hi=b, below=counted["below"], inside=counted["inside"])
+        else:
+            s["rounds"] = SKETCH_ROUNDS
+        return None
+    split = s["below"] + got["left"]  # first rank of the right half
+    if high_rank < split:
+        s.update(hi=got["left_hi"], inside=got["left"])
+    elif low_rank >= split:
+        s.update(lo=got["right_lo"], below=split, inside=s["inside"] - got["left"])
+    else:
+        share = s["rank"] - low_rank
+        return got["left_hi"] + (got["right_lo"] - got["left_hi"]) * share
+    return None
 
 
 def medians(df: DataFrame, columns: list[str], spark: SparkSession | None = None) -> DataFrame:

@@ -30,7 +30,8 @@ def chrono_split(df: DataFrame, val: float = 0.1, test: float = 0.1, date: str =
     older = F.coalesce(F.sum("_n").over(before), F.lit(0))
     cut = per_day.select("_day", F.when(older < n - n_test - n_val, "train")
                          .when(older < n - n_test, "val").otherwise("test").alias("split"))
-    return df.withColumn("_day", day).join(cut, "_day").drop("_day")
+    # one row per calendar day: a century is under a megabyte
+    return df.withColumn("_day", day).join(F.broadcast(cut), "_day").drop("_day")
 
 
 def finite(df: DataFrame, features: list[str]) -> DataFrame:

@@ -6,9 +6,12 @@ Each function has a DataFrame form (used by `queries()`) and an SQL form (the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bourse.functions.columns import growth
+from bourse.sources.reference import sector_code
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -295,7 +298,6 @@ def index_members(spark, sf_dir) -> DataFrame:
               .join(nat, sup.s_nationkey == nat.n_nationkey).join(reg, nat.n_regionkey == reg.r_regionkey)
               .groupBy(F.col("r_name").alias("index_name"), F.col("p_brand").alias("brand"))
               .agg(F.sum("n").alias("n")))
-    from pyspark.sql import Window
     pos = F.row_number().over(Window.partitionBy("index_name").orderBy(F.desc("n"), "brand"))
     return counts.select("index_name", pos.alias("pos"),
                          F.when(F.col("n") % 11 != 0, F.col("brand")).alias("ticker"))
@@ -394,10 +396,6 @@ def thresholds(fund: DataFrame) -> DataFrame:
     Left out on purpose: every fifth two-digit sector, odd four-digit codes, and
     some cells.  The default rows (99, 7399) hold the values of all sectors.
     """
-    from pyspark.sql import Window
-
-    from bourse.functions.columns import growth
-    from bourse.sources.reference import sector_code
     w = Window.partitionBy("ticker").orderBy("end_date")
     fy = fund.where("fiscal_period = 'FY'").withColumns({
         "code": sector_code(),

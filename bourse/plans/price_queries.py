@@ -9,7 +9,6 @@ from bourse.operators import aggregates as agg
 from bourse.operators import calendar as cal
 from bourse.operators import joins, windows
 from bourse.operators.backtest import sma_predictions
-from bourse.operators.fundamentals import ratios
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
 from bourse.plans.registry import out, query, sql, sql_round

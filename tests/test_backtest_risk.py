@@ -142,8 +142,10 @@ def test_exact_quantiles_by_narrowing(spark, q):
     rng = np.random.default_rng(1)
     x = rng.normal(size=5000)
     y = np.where(rng.random(5000) < 0.4, 3.0, rng.integers(0, 10, 5000).astype(float))  # one value holds a third of the rows
-    df = spark.createDataFrame(pd.DataFrame(dict(x=x, y=y)))
-    got = agg.exact_quantiles(df, ["x", "y"], q, direct_rows=50)
-    assert math.isclose(got["x"], np.quantile(x, q), rel_tol=1e-12, abs_tol=1e-12)
-    assert math.isclose(got["y"], np.quantile(y, q))
+    z = np.where(rng.random(5000) < 0.4, 0.25, x)  # the same amid distinct values
+    data = dict(x=x, y=y, z=z)
+    got = agg.exact_quantiles(spark.createDataFrame(pd.DataFrame(data)), list(data), q, direct_rows=50)
+    for c, v in data.items():
+        assert math.isclose(got[c], np.quantile(v, q), rel_tol=1e-12, abs_tol=1e-12), c
+    df = spark.createDataFrame(pd.DataFrame(data))
     assert agg.exact_quantiles(df.where("x > 100"), ["x"])["x"] is None
