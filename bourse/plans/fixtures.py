@@ -194,6 +194,15 @@ _QUARTER_ITEMS = {
 }
 
 
+def _snap(expr: str) -> str:
+    """Nearest multiple of 1e-6, by the same arithmetic in both engines.
+
+    Sums over differently ordered lines differ in their last bits; the items
+    have at most six decimals, so this gives every engine the same number.
+    """
+    return f"CAST(floor(({expr}) * 1000000 + 0.5) AS DOUBLE) / 1000000"
+
+
 def _sql_sic2(pre=""):
     return f"CASE WHEN {pre}s_nationkey = 24 THEN '73' ELSE lpad(CAST({pre}s_nationkey + 1 AS STRING), 2, '0') END"
 
@@ -209,23 +218,23 @@ def statements(spark, sf_dir, with_q4: bool = False) -> DataFrame:
          .selectExpr("l_suppkey AS _supp", "year(l_shipdate) AS fiscal_year", "quarter(l_shipdate) AS qtr", "*")
          .groupBy("_supp", "fiscal_year", "qtr")
          .agg(F.expr("count(1) AS n_lines"),
-              *[F.expr(f"round(sum(CAST({e} AS DOUBLE)), 6) AS {n}") for n, e in _QUARTER_SUMS.items()]))
+              *[F.expr(f"{_snap(f'sum(CAST({e} AS DOUBLE))')} AS {n}") for n, e in _QUARTER_SUMS.items()]))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     head = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "fiscal_year"]
     quarter = (q.join(s, q._supp == s.s_suppkey)
-               .selectExpr(*head, "qtr", *[f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _QUARTER_ITEMS.items()])
-               .selectExpr("*", "round(equity * (1 + s_acctbal / 10000) + 5 * revenues, 6) AS market_cap"))
+               .selectExpr(*head, "qtr", *[f"{_snap(f'CAST({e} AS DOUBLE)')} AS {n}" for n, e in _QUARTER_ITEMS.items()])
+               .selectExpr("*", f"{_snap('equity * (1 + s_acctbal / 10000) + 5 * revenues')} AS market_cap"))
     # each quarter row counts for itself and for the year (qtr 0): one pass gives both
     rows = (quarter.selectExpr("*", "explode(array(qtr, 0)) AS period")
             .groupBy(*head, F.col("period").alias("_p"))
             .agg(F.expr("count(1) AS _n"),
-                 *[F.expr(f"round(sum({i}), 6) AS {i}") for i in FLOW_ITEMS],
+                 *[F.expr(f"{_snap(f'sum({i})')} AS {i}") for i in FLOW_ITEMS],
                  *[F.expr(f"max_by({i}, qtr) AS {i}") for i in STOCK_ITEMS])
             .where("_p > 0 OR _n = 4").withColumnRenamed("_p", "qtr").drop("_n"))
     if not with_q4:
         rows = rows.where("qtr <> 4")
     end = "last_day(make_date(fiscal_year, CASE WHEN qtr = 0 THEN 12 ELSE qtr * 3 END, 1))"
-    eps = "round(net_income_loss / nullif(basic_average_shares, 0), 6)"
+    eps = _snap("net_income_loss / nullif(basic_average_shares, 0)")
     return rows.selectExpr(
         "concat('S', lpad(CAST(s_suppkey AS STRING), 5, '0')) AS ticker",
         "lpad(CAST(s_suppkey AS STRING), 10, '0') AS cik", "s_name AS company_name", "fiscal_year",
@@ -237,9 +246,9 @@ def statements(spark, sf_dir, with_q4: bool = False) -> DataFrame:
 
 
 def _statements_cte() -> str:
-    sums = ",\n         ".join(f"round(sum(CAST({e} AS DOUBLE)), 6) AS {n}" for n, e in _QUARTER_SUMS.items())
-    items = ",\n         ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _QUARTER_ITEMS.items())
-    flows = ", ".join(f"round(sum({i}), 6) AS {i}" for i in FLOW_ITEMS)
+    sums = ",\n         ".join(f"{_snap(f'sum(CAST({e} AS DOUBLE))')} AS {n}" for n, e in _QUARTER_SUMS.items())
+    items = ",\n         ".join(f"{_snap(f'CAST({e} AS DOUBLE)')} AS {n}" for n, e in _QUARTER_ITEMS.items())
+    flows = ", ".join(f"{_snap(f'sum({i})')} AS {i}" for i in FLOW_ITEMS)
     stocks = ", ".join(f"arg_max({i}, qtr) AS {i}" for i in STOCK_ITEMS)
     cols = ", ".join(i for i in ITEMS if i != "basic_earnings_per_share")
     sic2 = _sql_sic2().replace("STRING", "VARCHAR")
@@ -253,7 +262,7 @@ qitem AS (
          {items}
   FROM qsum JOIN supplier ON l_suppkey = s_suppkey),
 quarters AS (
-  SELECT *, round(equity * (1 + s_acctbal / 10000) + 5 * revenues, 6) AS market_cap FROM qitem),
+  SELECT *, {_snap('equity * (1 + s_acctbal / 10000) + 5 * revenues')} AS market_cap FROM qitem),
 years AS (
   SELECT s_suppkey, s_name, s_nationkey, s_acctbal, fiscal_year, 0 AS qtr, {flows}, {stocks}
   FROM quarters GROUP BY s_suppkey, s_name, s_nationkey, s_acctbal, fiscal_year HAVING count(*) = 4),
@@ -266,7 +275,7 @@ all_statements AS MATERIALIZED (
          last_day(make_date(fiscal_year, CASE WHEN qtr = 0 THEN 12 ELSE qtr * 3 END, 1)) + 45 AS filing_date,
          {sic2} AS sic2,
          ({sic2}) || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS sic4,
-         {cols}, round(net_income_loss / nullif(basic_average_shares, 0), 6) AS basic_earnings_per_share, market_cap
+         {cols}, {_snap('net_income_loss / nullif(basic_average_shares, 0)')} AS basic_earnings_per_share, market_cap
   FROM st_rows),
 statements AS (SELECT * FROM all_statements WHERE fiscal_period <> 'Q4')"""
 
