@@ -63,7 +63,7 @@ SELECT CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE) A
 FROM events GROUP BY ALL""")
 def src_ts_to_date(spark, d):
     ev = fx.table(spark, d, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return (ev.groupBy(bar_src.trading_date(ms).alias("ny_date"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event")))
 

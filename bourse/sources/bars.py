@@ -88,9 +88,12 @@ def bar_time(ts: Column, timespan: str, multiplier: int = 1) -> Column:
 
 
 def trading_date(epoch_ms: Column, zone: str = "America/New_York") -> Column:
-    """UTC epoch milliseconds -> calendar date in the exchange's zone."""
-    wall = F.timestamp_millis(epoch_ms).cast("timestamp_ntz")
-    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(zone), wall))
+    """UTC epoch milliseconds -> calendar date in the exchange's zone.
+
+    Works on zone-less times throughout, so the session's zone does not matter.
+    """
+    utc = F.timestamp_add("MILLISECOND", epoch_ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
 
 
 def index_bars(bars: DataFrame, index_ticker: str) -> DataFrame:

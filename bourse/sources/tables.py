@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourse.sources.bars import to_storage_names
+from bourse.sources.bars import to_engine_names, to_storage_names
 
 STORED = ["Date", "Ticker", "Open", "High", "Low", "Close", "Volume"]
 _local_base: str | None = None
@@ -33,11 +33,13 @@ def append_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
 
     The rebalance hint groups rows by year before the write; adaptive execution
     splits a large year over several tasks and merges small ones, so neither
-    one slow task nor a folder of tiny files comes out.
+    one slow task nor a folder of tiny files comes out.  Rows of a file are
+    sorted by ticker, which lets a reader skip row groups of other tickers.
     """
     out = to_storage_names(bars).select(*STORED).withColumn("Date", F.to_date("Date"))
     (out.withColumn("Year", F.year("Date"))
      .hint("rebalance", "Year")
+     .sortWithinPartitions("Year", "Ticker", "Date")
      .write.mode("append").partitionBy("Year").format(fmt).save(path))
 
 
@@ -52,6 +54,27 @@ def scan_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def scan_bars(spark: SparkSession, path: str, tickers=None, start=None, end=None, fmt: str = "parquet") -> DataFrame:
+    """Stored bars of some tickers and dates, under the engine's column names.
+
+    The date range also prunes the year folders.
+    """
+    df = scan_table(spark, path, fmt)
+    if tickers is not None:
+        df = df.where(F.col("Ticker").isin([tickers] if isinstance(tickers, str) else list(tickers)))
+    if start is not None:
+        df = df.where((F.col("Year") >= F.year(F.lit(start).cast("date"))) & (F.col("Date") >= F.lit(start).cast("date")))
+    if end is not None:
+        df = df.where((F.col("Year") <= F.year(F.lit(end).cast("date"))) & (F.col("Date") <= F.lit(end).cast("date")))
+    return to_engine_names(df.select(*STORED))
+
+
+def save_bucketed(bars: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """A catalog table bucketed by ticker: window operators on it need no shuffle."""
+    w = bars.repartition(buckets, "ticker").write.mode("overwrite").bucketBy(buckets, "ticker").sortBy("ticker", "date")
+    (w.option("path", path) if path else w).saveAsTable(table)
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, **properties: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **properties).load()
 

@@ -44,6 +44,28 @@ def test_append_scan_clone(spark, tmp_path):
         tables.clone_table(spark, path, str(tmp_path / "d"))
 
 
+def test_stored_bars_prune_folders_columns_and_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append_bars(daily(spark, price_frame({"A": 800, "B": 800})), path)
+    df = tables.scan_bars(spark, path, "A", "2002-01-10", "2002-02-10").select("date", "close")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Year" in plan and "GreaterThanOrEqual(Date,2002-01-10)" in plan and "EqualTo(Ticker,A)" in plan
+    assert "Open" not in plan.split("ReadSchema")[1]
+    assert df.count() == 32
+
+
+def test_indicators_on_a_bucketed_table_need_no_shuffle(spark, tmp_path):
+    from bourse.operators.indicators import add_indicators
+    pdf = price_frame({"A": 60, "B": 60, "C": 30})
+    tables.save_bucketed(daily(spark, pdf), "bucketed_bars", 4, str(tmp_path / "b"))
+    try:
+        df = add_indicators(spark.table("bucketed_bars"), ["z_score", "macd", "adx"])
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 150
+    finally:
+        spark.sql("DROP TABLE bucketed_bars")
+
+
 def test_work_folder_is_below_the_shared_folder():
     class Conf:
         def __init__(self, value):
