@@ -195,6 +195,8 @@ def add_indicators(bars: DataFrame, names: Iterable[str], key: str = "ticker", t
     unknown = [n for n in names if n not in INDICATORS]
     if unknown:
         raise ValueError(f"unknown indicator(s) {unknown}; known: {sorted(INDICATORS)}")
+    if not names:
+        return bars
     lv = Levels()
     for n in names:
         INDICATORS[n](lv, n)

@@ -17,9 +17,12 @@ SCORERS: dict[str, Scorer] = {m.SCORER.key: m.SCORER for m in (
 
 
 def choose(agents: Iterable[str] | None = None) -> list[Scorer]:
+    """Scorers by key or display name; all of them by default."""
     if agents is None:
         return list(SCORERS.values())
+    by_name = {s.name: k for k, s in SCORERS.items()}
     agents = [agents] if isinstance(agents, str) else list(agents)
+    agents = [by_name.get(a, a) for a in agents]
     unknown = [a for a in agents if a not in SCORERS]
     if unknown:
         raise ValueError(f"unknown scorer(s) {unknown}; known: {sorted(SCORERS)}")

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_ROWS = 65_536
-POSITION_BUCKET = "day"
+#: a TIMESTAMP series is counted and summed by the hour: few rows per bucket, few buckets per ticker
+POSITION_BUCKET = "hour"
 
 _HELPERS = ("_chunk", "_copy")
 

@@ -9,6 +9,7 @@ from bourse.operators import aggregates as agg
 from bourse.operators import calendar as cal
 from bourse.operators import joins, windows
 from bourse.operators.backtest import sma_predictions
+from bourse.operators.features import feature_table
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
 from bourse.plans.registry import out, query, sql, sql_round
@@ -146,6 +147,10 @@ def chk_primary_key(spark, d):
     return tables.duplicate_keys(fx.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
+DAILY = f"""daily AS (SELECT ticker, date, {', '.join(f"CAST(count(*) FILTER (sentiment = '{s}') AS BIGINT) AS {s}" for s in news_src.SENTIMENTS)}
+FROM news GROUP BY ticker, date)"""
+
+
 # ------------------------------------------------------------------ projections and filters
 @query("prj_rename_ohlcv", sql(B, "SELECT ticker AS \"Ticker\", date AS \"Date\", open AS \"Open\", high AS \"High\", low AS \"Low\", close AS \"Close\", volume AS \"Volume\" FROM bars",
                                "Open High Low Close Volume"))
@@ -165,21 +170,25 @@ def prj_select_indicators(spark, d):
     return out(feats.select("ticker", "shifted_prices", "z_score", "williams_r").dropna("any"))
 
 
+@query("prj_feature_table", sql([fx.NEWS_CTE, DAILY, B], f"""
+SELECT f.ticker, f.date, f.shifted_prices, f.z_score, f.williams_r, f.close, coalesce(n.positive, 0) AS positive, coalesce(n.mixed, 0) AS mixed FROM (
+  SELECT ticker, date, close, lead(close, 5) {W} AS shifted_prices,
+         (close - ({sroll('avg', 'close', 50)})) / nullif({sroll('stddev_samp', 'close', 50)}, 0) AS z_score,
+         -(({sroll('max', 'high', 14)}) - close) / nullif(({sroll('max', 'high', 14)}) - ({sroll('min', 'low', 14)}), 0) AS williams_r
+  FROM bars) f LEFT JOIN (SELECT *, CAST(date - 8400 AS DATE) AS bar_date FROM daily) n ON n.ticker = f.ticker AND n.bar_date = f.date
+WHERE shifted_prices IS NOT NULL AND z_score IS NOT NULL AND williams_r IS NOT NULL""", "shifted_prices z_score williams_r close", 5))
+def prj_feature_table(spark, d):
+    """Bars, indicators, news and label in one frame (news shifted onto the bars as in join_news_left)."""
+    daily = news_src.daily_sentiment(fx.news(spark, d)).withColumn("date", F.date_sub("date", 8400))
+    return out(feature_table(fx.bars(spark, d), ["z_score", "williams_r", "close", "positive", "mixed"], daily), 5)
+
+
 @query("flt_ticker", sql(B, "SELECT * FROM bars WHERE ticker = 'Brand#7'", "open high low close volume"))
 def flt_ticker(spark, d):
     return out(bar_src.select_bars(fx.bars(spark, d), "Brand#7"))
 
 
 # ------------------------------------------------------------------ joins
-DAILY = f"""daily AS (SELECT ticker, date, {', '.join(f"CAST(count(*) FILTER (sentiment = '{s}') AS BIGINT) AS {s}" for s in news_src.SENTIMENTS)}
-FROM news GROUP BY ticker, date)"""
-EV_BARS = """day_bars AS (SELECT ticker, CAST(ts AS DATE) AS date, arg_max(px, struct_pack(a := ts, b := id)) AS close FROM ticks GROUP BY ALL)"""
-
-
-def _event_bars(spark, d):
-    return bar_src.resample(fx.ticks(spark, d), "day").select("ticker", "date", "close")
-
-
 @query("agg_sentiment_pivot", sql([fx.NEWS_CTE, DAILY], "SELECT * FROM daily"))
 def agg_sentiment_pivot(spark, d):
     return news_src.daily_sentiment(fx.news(spark, d))

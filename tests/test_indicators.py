@@ -133,3 +133,16 @@ def test_unrequested_window_columns_are_not_computed(spark, prices):
     df = add_indicators(daily(spark, prices), ["z_score"])
     assert "stddev_samp" in df._jdf.queryExecution().optimizedPlan().toString()
     assert "stddev_samp" not in df.select("ticker", "close")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_feature_table_columns_and_modes(spark, prices):
+    from bourse.operators.features import feature_table
+    bars = daily(spark, prices)
+    states = bars.selectExpr("ticker", "date", "1 AS state", "'Neutral' AS regime")
+    full = feature_table(bars, ["z_score", "state", "close"], states=states, horizon=3)
+    assert full.columns == ["ticker", "date", "shifted_prices", "z_score", "state", "close"]
+    assert full.count() == (1300 - 49 - 3) + (140 - 49 - 3)
+    assert feature_table(bars, ["z_score"], prediction_mode=True).count() == (1300 - 49) + (140 - 49)
+    for bad in (["positive"], ["regime"], ["ema_100"]):
+        with pytest.raises(ValueError):
+            feature_table(bars, bad)

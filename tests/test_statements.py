@@ -79,7 +79,7 @@ def test_scores_stay_in_range_and_votes_add_up(snap):
 
 
 def test_chosen_scorers(snap):
-    two = scorers.score_all(snap, ["graham", "buffett"])
+    two = scorers.score_all(snap, ["graham", "Warren Buffett"])
     assert {r.agent for r in two.select("agent").distinct().collect()} == {"graham", "buffett"}
     with pytest.raises(ValueError, match="soros"):
         scorers.score_all(snap, ["soros"])
