@@ -92,6 +92,8 @@ def episodes(dd: DataFrame) -> DataFrame:
 
 def drawdown_metrics(returns: DataFrame) -> DataFrame:
     """Worst and average drawdown and the longest time under water, per ticker."""
+    if is_daily(returns, "date"):
+        return _daily_metrics(returns, 0.0).select("ticker", "max_drawdown", "avg_drawdown", "longest_days")
     dd = drawdowns(returns)
     e = episodes(dd).groupBy("ticker").agg(
         F.min("depth").alias("max_drawdown"), F.avg("depth").alias("avg_drawdown"), F.max("days").alias("longest_days"))
@@ -143,14 +145,16 @@ TEARSHEET = {
 
 
 def all_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
-    """All measures, one row per ticker.
+    """All measures, one row per ticker."""
+    if is_daily(returns, "date"):
+        return _daily_metrics(returns, rf_pct)
+    return (return_metrics(returns, rf_pct).join(drawdown_metrics(returns), "ticker")
+            .join(serenity(returns, rf_pct), "ticker"))
 
-    Daily series need a single exchange: drawdown, episodes and the tail cut
-    are window columns over (ticker), the measures one aggregation of them.
-    """
-    if not is_daily(returns, "date"):
-        return (return_metrics(returns, rf_pct).join(drawdown_metrics(returns), "ticker")
-                .join(serenity(returns, rf_pct), "ticker"))
+
+def _daily_metrics(returns: DataFrame, rf_pct: float) -> DataFrame:
+    """Daily series need a single exchange: drawdown, episodes and the tail cut
+    are window columns over (ticker), the measures one aggregation of them."""
     x = F.col("drawdown")
     under = F.when(x < -1e-12, x)
     df = running(drawdowns(returns), {"_episode": ("sum", F.when(x >= -1e-12, 1).otherwise(0))})

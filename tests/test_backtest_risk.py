@@ -110,6 +110,16 @@ def test_metrics_against_numpy(curve):
         assert math.isclose(m.serenity, (r.sum() - 0.04) / (ulcer * pitfall), rel_tol=1e-7)
 
 
+def test_longer_series_give_the_same_measures(spark, curve):
+    """TIMESTAMP dates take the aggregate-and-join route."""
+    daily_r = curve.select("ticker", "date", "ret")
+    stamped = daily_r.withColumn("date", F.col("date").cast("timestamp"))
+    a = risk.all_metrics(daily_r, 4.0).toPandas().set_index("ticker").sort_index()
+    b = risk.all_metrics(stamped, 4.0).toPandas().set_index("ticker").sort_index()
+    for c in a.columns:
+        close_to(a[c], b[c], 1e-9)
+
+
 def test_never_negative_run_has_no_drawdown(spark):
     pdf = pd.DataFrame(dict(ticker="U", date=pd.date_range("2020-01-01", periods=5), ret=[0.0, 0.1, 0.2, 0.0, 0.1]))
     m = risk.drawdown_metrics(daily(spark, pdf)).first()
