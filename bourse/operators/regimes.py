@@ -147,7 +147,10 @@ def fit(feats: DataFrame, max_rounds: int = 100, tol: float = 1e-2, floor: float
     ticker: the rounds need no shuffle of the rows.  Lost blocks are recomputed
     from the source.
     """
-    feats = require_daily(feats).repartition("ticker").persist()
+    # a fixed number of partitions: the rows are few but each costs much
+    # computing, so they must not be merged into one task
+    cores = feats.sparkSession.sparkContext.defaultParallelism
+    feats = require_daily(feats).repartition(cores, "ticker").persist()
     try:
         stats = feats.agg(*[f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in
                             (("avg", F.avg), ("sd", F.stddev_pop))]).first()
