@@ -89,7 +89,7 @@ def test_every_indicator_has_an_expectation():
 @pytest.mark.parametrize("name", sorted(EXPECTED))
 def test_matches_pandas(prices, computed, name):
     want = pd.concat([EXPECTED[name](g) for _, g in prices.groupby("ticker")])
-    close_to(computed[name], want.to_numpy(), 1e-7)
+    close_to(computed[name], want.to_numpy(), 1e-9)
 
 
 def test_chunks_give_the_same_values(spark, prices):
