@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import bpe, token_counts
+from bourse.llm import bpe, exact_dedup, quality, token_counts
 from bourse.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(key: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
 @query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -32,3 +38,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_exact_dedup", exact_dedup.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.index(documents(spark, sf_dir))
