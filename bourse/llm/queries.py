@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import bpe, exact_dedup, quality, token_counts
+from bourse.llm import bpe, exact_dedup, near_dedup, quality, token_counts
 from bourse.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_exact_dedup", exact_dedup.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.index(documents(spark, sf_dir))
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
