@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import bpe, exact_dedup, near_dedup, quality, token_counts
+from bourse.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts
 from bourse.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
+@query("op2_mix_sources", mixing.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("text")
+
+
 @query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
