@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts
-from bourse.llm.common import documents
+from bourse.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts, warc
+from bourse.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+@query("op5_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,3 +58,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
+@query("op10_warc", warc.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write_archives(documents(spark, sf_dir, "pages")), "warc")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
