@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -207,11 +208,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids_sha.append(digest.hexdigest())
                 out_sha.append(hashlib.sha256(utf8(raw)).hexdigest())
                 if with_ids:
-                    ids.append(array("I", b"".join(blocks)))
+                    ids += blocks
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.array([list(x) for x in ids], pa.list_(pa.int32())))
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                cols.append(pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), flat))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bourse.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts, warc
+import corpus_pipeline
+from bourse.llm import bpe, exact_dedup, knn, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
 from bourse.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("text")
 
 
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 @query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -60,7 +66,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+@query("op9_top_k", knn.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(documents(spark, sf_dir, "embeddings"))
+
+
 @query("op10_warc", warc.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stored(warc.write_archives(documents(spark, sf_dir, "pages")), "warc")
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
