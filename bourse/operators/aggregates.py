@@ -77,98 +77,78 @@ def distinct_tickers(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ exact quantiles
-#: so many rows may be answered by the exact aggregate in one task
-DIRECT_ROWS = 1_000_000
-SKETCH_ROUNDS = 3
+#: half the share of the rows that the sketched range is meant to hold
+MARGIN = 0.0005
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
+def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, float | None]:
     """Exact interpolated quantile of each column over the whole table.
 
-    The value is bracketed: mergeable sketches propose a narrow range of
-    values, one aggregation counts the rows below and inside it, and so on
-    until the range holds few enough rows for the exact aggregate or a single
-    value.  Where sketches stop narrowing (one value may hold a third of the
-    rows) the range is halved instead, which always ends.  Only a few numbers
-    per column reach the driver; the columns are kept for the passes (lost
-    blocks are recomputed).
+    A quantile lies between the values at two ranks.  Each is searched by the
+    same steps at every size: a mergeable sketch proposes two values around the
+    rank, one aggregation counts the rows below, at, between and above them, and
+    the search goes on in the part that holds the rank.  The proposed values
+    themselves leave the search, so it ends on any data (ties, neighbouring
+    doubles, infinities); a sketch leaves about a thousandth of the rows, so it
+    ends after a few rounds.  Only a few numbers per column reach the driver; the
+    columns are kept for the passes (lost blocks are recomputed).
     """
     kept = df.select(*columns).persist()
     try:
-        return _bracket(kept, columns, q, direct_rows)
+        n = kept.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        asked = {c: q * (k - 1) for c, k in zip(columns, n, strict=True) if k}
+        wanted = sorted({(c, r) for c, x in asked.items() for r in (math.floor(x), math.ceil(x))})
+        at = _order_statistics(kept, wanted, dict(zip(columns, n, strict=True)))
+        return {c: _between(at[c, math.floor(asked[c])], at[c, math.ceil(asked[c])], asked[c] % 1) if c in asked else None for c in columns}
     finally:
         kept.unpersist()
 
 
-def _bracket(df: DataFrame, columns: list[str], q: float, direct_rows: int) -> dict[str, float | None]:
-    first = _row(df, {c: {"n": F.count(c), "lo": F.min(c), "hi": F.max(c)} for c in columns})
-    result: dict[str, float | None] = {}
-    state = {}
-    for c in columns:
-        n = first[c]["n"]
-        if n == 0:
-            result[c] = None
-        else:
-            state[c] = {"lo": first[c]["lo"], "hi": first[c]["hi"], "below": 0, "inside": n, "rank": q * (n - 1), "rounds": 0}
+def _between(low: float, high: float, share: float) -> float:
+    return low if low == high or share == 0 else low * (1 - share) + high * share
+
+
+def _order_statistics(df: DataFrame, wanted: list[tuple[str, int]], rows: dict[str, int]) -> dict[tuple[str, int], float]:
+    """{(column, rank from 0): value}"""
+    found = {}
+    # open range of values, rows below it, rows in it
+    state = {w: (None, None, 0, rows[w[0]]) for w in wanted}
     while state:
-        asks = {c: _step(c, s, direct_rows) for c, s in state.items()}
-        got = _row(df, asks)
-        # sketches only propose a range: count it
-        proposed = {c: got[c]["range"] for c in state if "range" in got[c]}
-        counted = _row(df, {c: {"below": F.count_if(F.col(c) < a), "inside": F.count_if(F.col(c).between(a, b))}
-                            for c, (a, b) in proposed.items()}) if proposed else {}
-        for c, s in list(state.items()):
-            answer = _narrowed(s, got[c], counted.get(c))
-            if answer is not None:
-                result[c] = answer
-                del state[c]
-    return result
-
-
-def _row(df: DataFrame, aggs: dict[str, dict[str, Column]]) -> dict[str, dict]:
-    """One aggregation for several named expressions of several columns."""
-    r = df.agg(*[F.struct(*[e.alias(k) for k, e in named.items()]).alias(c) for c, named in aggs.items()]).first()
-    return {c: r[c].asDict() for c in aggs}
-
-
-def _step(c: str, s: dict, direct_rows: int) -> dict[str, Column]:
-    x = F.col(c)
-    inside = F.when(x.between(s["lo"], s["hi"]), x)
-    f = min(max((s["rank"] - s["below"]) / max(s["inside"] - 1, 1), 0.0), 1.0)
-    if s["lo"] == s["hi"]:
-        return {"answer": F.min(inside)}
-    if s["inside"] <= direct_rows:
-        return {"answer": F.percentile(inside, F.lit(f))}
-    if s["rounds"] < SKETCH_ROUNDS:
-        return {"range": F.percentile_approx(inside, [max(f - 0.001, 0.0), min(f + 0.001, 1.0)], 10_000)}
-    mid = s["lo"] + (s["hi"] - s["lo"]) / 2
-    return {"left": F.count_if(inside <= mid), "left_hi": F.max(F.when(inside <= mid, x)),
-            "right_lo": F.min(F.when(inside > mid, x))}
-
-
-def _narrowed(s: dict, got: dict, counted: dict | None) -> float | None:
-    """Update one column's range; its quantile once that is known."""
-    if "answer" in got:
-        return got["answer"]
-    low_rank, high_rank = math.floor(s["rank"]), math.ceil(s["rank"])
-    s["rounds"] += 1
-    if counted is not None:
-        a, b = got["range"]
-        holds = counted["below"] <= low_rank and high_rank < counted["below"] + counted["inside"]
-        if holds and counted["inside"] < s["inside"]:
-            s.update(lo=a, hi=b, below=counted["below"], inside=counted["inside"])
-        else:
-            s["rounds"] = SKETCH_ROUNDS
-        return None
-    split = s["below"] + got["left"]  # first rank of the right half
-    if high_rank < split:
-        s.update(hi=got["left_hi"], inside=got["left"])
-    elif low_rank >= split:
-        s.update(lo=got["right_lo"], below=split, inside=s["inside"] - got["left"])
-    else:
-        share = s["rank"] - low_rank
-        return got["left_hi"] + (got["right_lo"] - got["left_hi"]) * share
-    return None
+        asks = list(state.items())
+        inside = [_inside(c, lo, hi) for (c, _), (lo, hi, _, _) in asks]
+        shares = [(rank - below) / max(n - 1, 1) for (_, rank), (_, _, below, n) in asks]
+        sketched = df.agg(*[F.percentile_approx(x, [max(s - MARGIN, 0.0), min(s + MARGIN, 1.0)], 10_000).alias(f"r{i}")
+                            for i, (x, s) in enumerate(zip(inside, shares, strict=True))]).first()
+        counts = df.agg(*[F.struct(*[F.count_if(e).alias(k) for k, e in (
+            ("below", x < a), ("at_a", x == a), ("between", (x > a) & (x < b)), ("at_b", x == b))]).alias(f"c{i}")
+            for i, (x, (a, b)) in enumerate(zip(inside, sketched, strict=True))]).first()
+        for (key, (lo, hi, below, n)), (a, b), c in zip(asks, sketched, counts, strict=True):
+            rank = key[1] - below
+            ends = [c["below"], c["below"] + c["at_a"], c["below"] + c["at_a"] + c["between"]]
+            last = ends[2] + (c["at_b"] if b != a else 0)
+            if rank < ends[0]:
+                state[key] = (lo, a, below, ends[0])
+            elif rank < ends[1]:
+                found[key] = a
+            elif rank < ends[2]:
+                state[key] = (a, b, below + ends[1], c["between"])
+            elif rank < last:
+                found[key] = b
+            else:
+                state[key] = (b, hi, below + last, n - last)
+            if key in found:
+                del state[key]
+    return found
+
+
+def _inside(c: str, lo: float | None, hi: float | None) -> Column:
+    x = F.col(c).cast("double")
+    on = F.lit(True)
+    if lo is not None:
+        on = on & (x > lo)
+    if hi is not None:
+        on = on & (x < hi)
+    return F.when(on, x)
 
 
 def medians(df: DataFrame, columns: list[str], spark: SparkSession | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ window columns over (ticker, date) and no per-ticker loop.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +50,11 @@ def equity(pos: DataFrame, initial_cash: float = 1000.0, slippage: float = SLIPP
               .when(F.col("closed"), move * (1.0 - slippage) * (1.0 - fees))
               .when(F.col("position") == 1, move).otherwise(F.lit(1.0)))
     df = pos.withColumn("growth", factor)
-    df = running(df, {"_log": ("sum", F.ln("growth"))})
-    return (df.withColumn("equity", F.exp("_log") * initial_cash)
-            .withColumn("ret", F.col("growth") - 1.0).drop("_log", "_prev_close"))
+    df = running(df, {"_log": ("sum", F.ln(F.when(F.col("growth") > 0, F.col("growth")))),
+                      "_lost": ("max", (F.col("growth") <= 0).cast("int"))})
+    # what is lost at a price of 0 stays lost
+    return (df.withColumn("equity", F.when(F.col("_lost") == 1, F.lit(0.0)).otherwise(F.exp(F.coalesce("_log", F.lit(0.0))) * initial_cash))
+            .withColumn("ret", F.col("growth") - 1.0).drop("_log", "_lost", "_prev_close"))
 
 
 def run(predicted: DataFrame, entry_pct: float = 0.05, exit_pct: float = 0.05, initial_cash: float = 1000.0,
@@ -91,37 +92,29 @@ def cumulative(curve: DataFrame, initial_cash: float = 1000.0) -> DataFrame:
     return curve.select("ticker", "date", "ret", ((F.col("equity") / initial_cash - 1.0) * 100.0).alias("cumulative_return"))
 
 
-_SIZED = "ticker string, date date, cash double, shares double, equity double"
-
-
 def equity_sized(sig: DataFrame, initial_cash: float = 1000.0, slippage: float = SLIPPAGE, fees: float = FEES) -> DataFrame:
     """Portfolio value when each signal trades only a `confidence` share.
 
     An entry spends that share of the cash, an exit sells that share of the
     holding; the state depends on all earlier bars, so one ticker's daily bars
-    (a bounded group, see `series`) are folded in order.
+    (a bounded group, see `series`) are folded in order by one expression.
     """
     buy, sell = (1.0 + slippage) * (1.0 + fees), (1.0 - slippage) * (1.0 - fees)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        cash, shares = float(initial_cash), 0.0
-        out = []
-        for close, enter, leave, size in zip(pdf["close"], pdf["entry_signal"], pdf["exit_signal"], pdf["confidence"]):
-            if enter and not leave:
-                spend = cash * size
-                shares += spend / (close * buy)
-                cash -= spend
-            elif leave and not enter:
-                sold = shares * size
-                cash += sold * close * sell
-                shares -= sold
-            out.append((cash, shares, cash + shares * close))
-        res = pd.DataFrame(out, columns=["cash", "shares", "equity"])
-        res.insert(0, "date", pdf["date"].to_numpy())
-        res.insert(0, "ticker", pdf["ticker"].to_numpy())
-        return res
-
-    cols = require_daily(sig).select("ticker", "date", "close", "entry_signal", "exit_signal",
-                      F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    return cols.groupBy("ticker").applyInPandas(fold, _SIZED)
+    bar = F.struct("date", "close", "entry_signal", "exit_signal", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    bars = require_daily(sig).groupBy("ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    state = "struct<date:date,cash:double,shares:double,equity:double>"
+
+    def step(done, b):
+        old = F.element_at(done, -1)
+        cash, shares, close, size = old["cash"], old["shares"], b["close"], b["confidence"]
+        enter = F.coalesce(b["entry_signal"], F.lit(False)) & ~F.coalesce(b["exit_signal"], F.lit(False))
+        leave = F.coalesce(b["exit_signal"], F.lit(False)) & ~F.coalesce(b["entry_signal"], F.lit(False))
+        cash_now = F.when(enter, cash - cash * size).when(leave, cash + shares * size * close * sell).otherwise(cash)
+        shares_now = F.when(enter, shares + cash * size / (close * buy)).when(leave, shares - shares * size).otherwise(shares)
+        return F.array_append(done, F.struct(b["date"].alias("date"), cash_now.alias("cash"), shares_now.alias("shares"),
+                                             (cash_now + shares_now * close).alias("equity")))
+
+    first = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(float(initial_cash)).alias("cash"),
+                             F.lit(0.0).alias("shares"), F.lit(None).cast("double").alias("equity")))
+    folded = bars.select("ticker", F.explode(F.slice(F.aggregate("bars", first.cast(f"array<{state}>"), step), 2, F.size("bars"))).alias("s"))
+    return folded.select("ticker", "s.*")

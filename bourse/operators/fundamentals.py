@@ -162,16 +162,18 @@ def latest_periods(fund: DataFrame, period: str = "Annual", limit: int | None =
     """The newest periods of each ticker, ranked newest first in `rn`.
 
     Annual: FY rows by period end, 10 of them.  Quarterly: Q1-Q4 rows by filing
-    date, 4 of them.  Rank and filter sit next to each other so that Spark
+    date, 4 of them; `limit` asks for another number.  Rank and filter sit next to each other so that Spark
     trims each ticker before the shuffle (WindowGroupLimit).
     """
     code, default = check_period(period)
     if code == "Q":
         rows, order = fund.where(F.col("fiscal_period").isin(QUARTERS)), [F.desc("filing_date"), F.desc("end_date")]
-        n = default
+        n = limit or default
     else:
         rows, order = fund.where(F.col("fiscal_period") == code), [F.desc("end_date"), F.desc("filing_date")]
         n = limit or default
+    if n < 1:
+        raise ValueError("limit must be at least 1")
     w = Window.partitionBy("ticker").orderBy(*order)
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
@@ -193,11 +195,12 @@ def attach_thresholds(df: DataFrame, thresholds: DataFrame, prefix: str = "t_")
     size check to broadcast.  The default rows (one per matrix) ride along as
     scalar aggregates.
     """
-    t = thresholds.dropDuplicates(["code"])
+    t = (thresholds.withColumn("_first", F.row_number().over(Window.partitionBy("code").orderBy("name", *METRICS)))
+         .where("_first = 1").drop("_first"))  # of a repeated code the first row by name
     rows = t.selectExpr("code AS _code", *[f"{m} AS _c_{m}" for m in METRICS])
     defaults = (t.where(F.col("code").isin(DEFAULT_SIC2, DEFAULT_SIC4))
                 .selectExpr("length(code) = 4 AS _four", *[f"{m} AS _d_{m}" for m in METRICS]))
-    coded = df.withColumns({"_code": sector_code(), "_four": F.length(sector_code()) == 4})
+    coded = df.withColumns({"_code": sector_code(), "_four": F.coalesce(F.length(sector_code()) == 4, F.col("sic2") == "73", F.lit(False))})
     # at most two default rows
     out = coded.join(rows, "_code", "left").join(F.broadcast(defaults), "_four", "left")
     return out.selectExpr(*[f"`{c}`" for c in df.columns],

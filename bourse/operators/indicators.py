@@ -221,37 +221,72 @@ def _add_ewm(s: Series, specs: dict[str, tuple[str, int, bool]]) -> Series:
     x_i q^-i, which overflows on long series.  The series is therefore cut into
     segments of SEGMENT rows; the running sum is taken inside a segment and the
     weighted ends of the few earlier segments that still matter are added.
-    `adjust=False` starts from y_0 = x_0; `adjust=True` divides by the summed weights.
+    `adjust=False` starts from the first value; `adjust=True` divides by the summed weights.
+
+    A NULL has no weight, ages the values before it, and repeats the last
+    average.  With `adjust=False` a value x that comes d rows after the value
+    before it gives (q^d y + alpha x) / (q^d + alpha): the divisor is 1 unless
+    rows are missing, and the product of all divisors is carried as a running
+    sum of logarithms (`_age`).
     """
     seg_w = Window.partitionBy(*s.keys, "_seg").orderBy(s.time)
     inside = seg_w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*s.keys, "_seg")
     by_seg = Window.partitionBy(*s.keys).orderBy("_seg")
     pos = F.row_number().over(s.w()) - 1
     s = s.with_columns({"_i": pos})
     s = s.with_columns({"_seg": F.floor(F.col("_i") / SEGMENT), "_j": (F.col("_i") % SEGMENT).cast("double")})
+    inputs = sorted({col for col, _, _ in specs.values()})
+    before = s.w().rowsBetween(Window.unboundedPreceding, -1)
+    # rows since the value before; NULL at the first value
+    s = s.with_columns({f"_gap_{c}": F.col("_i") - F.max(F.when(F.col(c).isNotNull(), F.col("_i"))).over(before) for c in inputs})
+
+    ages = {n: (c, span) for n, (c, span, adjust) in specs.items() if not adjust}
+
+    def divisor(c, span):
+        a = alpha(span)
+        # exactly 0 where no row is missing
+        return F.when(F.col(c).isNotNull() & (F.col(f"_gap_{c}") > 1), F.ln(F.pow(F.lit(1.0 - a), F.col(f"_gap_{c}")) + a)).otherwise(F.lit(0.0))
+
+    s = s.with_columns({f"{n}_step": divisor(c, span) for n, (c, span) in ages.items()})
+    s = s.with_columns({f"{n}_age": F.sum(f"{n}_step").over(s.upto()) for n in ages})
+    s = s.with_columns({f"{n}_age0": F.max(f"{n}_age").over(whole) for n in ages})
 
-    sums: dict[str, tuple[Column, float]] = {}
+    sums: dict[str, tuple[Column, float, str | None]] = {}
     for name, (col, span, adjust) in specs.items():
         a = alpha(span)
         x = F.col(col)
-        start = F.lit(1.0) if adjust else F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        sums[f"{name}_n"] = (x * start, 1.0 - a)
         if adjust:
-            sums[f"{name}_d"] = (F.lit(1.0), 1.0 - a)
+            sums[f"{name}_n"] = (x, 1.0 - a, None)
+            sums[f"{name}_d"] = (F.when(x.isNotNull(), F.lit(1.0)), 1.0 - a, None)
+        else:
+            start = F.when(F.col(f"_gap_{col}").isNull(), F.lit(1.0)).otherwise(F.lit(a))
+            early = F.col(f"{name}_age") - F.col(f"{name}_step") - F.col(f"{name}_age0")
+            sums[f"{name}_n"] = (x * start * F.exp(early), 1.0 - a, name)
     s = s.with_columns({n: F.pow(F.lit(q), F.col("_j")) * F.sum(v * F.pow(F.lit(1.0 / q), F.col("_j"))).over(inside)
-                        for n, (v, q) in sums.items()})
+                        for n, (v, q, _) in sums.items()})
+    s = s.with_columns({f"{name}_n": F.col(f"{name}_n") * F.exp(F.col(f"{name}_age0") - F.col(f"{name}_age")) for name in ages})
 
-    def carried(n, q):
-        full = F.when(F.col("_j") == SEGMENT - 1, F.col(n))
+    def carried(n, q, aged):
+        last = F.col("_j") == SEGMENT - 1
         back = math.ceil(FORGET / (-math.log(q) * SEGMENT))
-        old = F.lit(0.0)
+        out, seen = F.coalesce(F.col(n), F.lit(0.0)), F.col(n).isNotNull()
         for m in range(1, back + 1):
-            end = F.max(full).over(by_seg.rangeBetween(-m, -m))
-            old = old + F.coalesce(end, F.lit(0.0)) * F.lit(q ** ((m - 1) * SEGMENT))
-        return F.col(n) + old * F.pow(F.lit(q), F.col("_j") + 1.0)
-
-    s = s.with_columns({f"{n}_t": carried(n, q) for n, (_, q) in sums.items()})
-    s = s.with_columns({name: (F.col(f"{name}_n_t") / F.col(f"{name}_d_t")) if adjust else F.col(f"{name}_n_t")
-                        for name, (_, _, adjust) in specs.items()})
-    drop = ["_i", "_seg", "_j"] + [c for n in sums for c in (n, f"{n}_t")]
+            there = by_seg.rangeBetween(-m, -m)
+            end = F.max(F.when(last, F.col(n))).over(there)
+            old = end * F.lit(q ** ((m - 1) * SEGMENT)) * F.pow(F.lit(q), F.col("_j") + 1.0)
+            if aged:
+                old = old * F.exp(F.max(F.when(last, F.col(f"{aged}_age"))).over(there) - F.col(f"{aged}_age"))
+            out, seen = out + F.coalesce(old, F.lit(0.0)), seen | end.isNotNull()
+        return F.when(seen, out)
+
+    s = s.with_columns({f"{n}_t": carried(n, q, aged) for n, (_, q, aged) in sums.items()})
+
+    def average(name, col, adjust):
+        y = F.col(f"{name}_n_t") / F.col(f"{name}_d_t") if adjust else F.col(f"{name}_n_t")
+        return F.last(F.when(F.col(col).isNotNull(), y), ignorenulls=True).over(s.upto())
+
+    s = s.with_columns({name: average(name, col, adjust) for name, (col, _, adjust) in specs.items()})
+    drop = ["_i", "_seg", "_j"] + [f"_gap_{c}" for c in inputs] + [f"{n}_{x}" for n in ages for x in ("step", "age", "age0")]
+    drop += [c for n in sums for c in (n, f"{n}_t")]
     return Series(s.df.drop(*drop), s.keys, s.time, s.chunked)

@@ -14,16 +14,19 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "ticke
 
     Both sides are stacked into one series per key and the latest right row is
     carried forward, so there is no inequality join and nothing is broadcast.
-    At equal times the right row counts as known.
+    At equal times the right row counts as known.  A DATE asked of TIMESTAMP
+    rows covers the whole day: its last row counts.  Of several right rows at
+    one time the one with the largest values counts.
     """
     t = left.schema[left_time].dataType
     rest = [c for c in left.columns if c not in (key, left_time)]
     value = F.struct(*[F.col(v) for v in values])
     asks = left.select(key, F.col(left_time).alias("_t"), F.lit(True).alias("_asked"),
-                       F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"))
-    known = right.select(key, F.col(right_time).cast(t).alias("_t"), F.lit(False).alias("_asked"), value.alias("_v"))
+                       F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"),
+                       F.lit(None).cast(right.schema[right_time].dataType).alias("_at"))
+    known = right.select(key, F.col(right_time).cast(t).alias("_t"), F.lit(False).alias("_asked"), value.alias("_v"), F.col(right_time).alias("_at"))
     # one entry per key and time, however often it is asked for
-    both = asks.unionByName(known).groupBy(key, "_t").agg(F.max("_asked").alias("_asked"), F.max("_v").alias("_v"))
+    both = asks.unionByName(known).groupBy(key, "_t").agg(F.max("_asked").alias("_asked"), F.max(F.when(F.col("_v").isNotNull(), F.struct("_at", "_v")))["_v"].alias("_v"))
     found = running(both, {"_known": ("last", F.col("_v"))}, key, "_t").where("_asked")
     out = left.join(found.select(key, F.col("_t").alias(left_time), "_known"), [key, left_time], "left")
     return out.select(key, left_time, *rest, *[F.col(f"_known.{v}").alias(v) for v in values])

@@ -73,8 +73,9 @@ def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
 
 def drawdowns(returns: DataFrame) -> DataFrame:
     """Per bar: growth of 1, its running peak, and the drawdown (never positive)."""
-    g = running(returns.where(F.col("ret").isNotNull()), {"_log": ("sum", F.ln(1.0 + F.when(F.col("ret") > -1.0, F.col("ret"))))})
-    g = g.withColumn("value", F.exp(F.coalesce("_log", F.lit(0.0)))).drop("_log")
+    g = running(returns.where(F.col("ret").isNotNull()), {
+        "_log": ("sum", F.log1p(F.when(F.col("ret") > -1.0, F.col("ret")))), "_lost": ("max", (F.col("ret") <= -1.0).cast("int"))})
+    g = g.withColumn("value", F.when(F.col("_lost") == 1, F.lit(0.0)).otherwise(F.exp(F.coalesce("_log", F.lit(0.0))))).drop("_log", "_lost")
     g = running(g, {"_peak": ("max", F.col("value"))})
     return (g.withColumn("peak", F.greatest(F.col("_peak"), F.lit(1.0))).drop("_peak")
             .withColumn("drawdown", F.col("value") / F.col("peak") - 1.0))

@@ -58,6 +58,24 @@ def bt_equity(spark, d):
     return out(curve(spark, d).select("ticker", "date", "equity", "ret"), 4)
 
 
+RUIN = "ruin AS (SELECT * REPLACE (CASE WHEN date >= DATE '1997-06-01' AND ticker LIKE '%2' THEN 0 ELSE close END AS close) FROM calm)"
+
+
+@query("bt_equity_ruin", sql([B, fx.CALM_CTE, RUIN, """held AS (SELECT ticker, date, close, lag(close) OVER w AS pc, row_number() OVER w AS rn FROM ruin WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+steps AS (SELECT *, CASE WHEN rn = 1 THEN 1 / CAST(1.001 AS DOUBLE) ELSE close / nullif(pc, 0) END AS growth FROM held),
+runs AS (SELECT *, max((growth <= 0)::INT) OVER w AS lost, sum(CASE WHEN growth > 0 THEN ln(growth) END) OVER w AS lg FROM steps WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+val AS (SELECT ticker, date, growth - 1 AS ret, CASE WHEN lost = 1 THEN 0 ELSE exp(lg) END AS value FROM runs)"""], """
+SELECT ticker, date, value * 1000 AS equity, ret,
+  CASE WHEN ret IS NOT NULL THEN value / greatest(max(value) OVER (PARTITION BY ticker ORDER BY date), 1) - 1 END AS drawdown FROM val""", "equity ret drawdown", 6, equity=3))
+def bt_equity_ruin(spark, d):
+    """Bought on the first bar and held; some prices fall to 0 and stay there."""
+    calm = fx.calm_bars(spark, d).withColumn("close", F.expr("CASE WHEN date >= DATE'1997-06-01' AND ticker LIKE '%2' THEN 0 ELSE close END"))
+    sig = calm.withColumns({"entry_signal": F.lit(True), "exit_signal": F.lit(False)})
+    c = bt.equity(bt.position(sig)).select("ticker", "date", "equity", "ret")
+    dd = risk.drawdowns(c.select("ticker", "date", "ret")).select("ticker", "date", "drawdown")
+    return out(c.join(dd, ["ticker", "date"], "left"), 6, equity=3)
+
+
 CONF = "least(abs(coalesce(gap_pct, 0)) / 5, 1)"
 
 
@@ -119,9 +137,9 @@ def bt_final_returns(spark, d):
     return out(f, 4).orderBy(F.desc("final_return"))
 
 
-@query("srt_final_return", sql([*CURVE, FINALS], "SELECT ticker, final_return FROM finals ORDER BY final_return DESC LIMIT 5", "final_return", 4))
+@query("srt_final_return", sql([*CURVE, FINALS], "SELECT ticker, final_return FROM finals ORDER BY final_return DESC", "final_return", 4))
 def srt_final_return(spark, d):
-    return out(finals(spark, d).orderBy(F.desc("final_return")).limit(5), 4)
+    return out(finals(spark, d).orderBy(F.desc("final_return")), 4)
 
 
 @query("agg_pos_neg_count", sql([*CURVE, FINALS], """SELECT count(*) FILTER (final_return > 0) AS positive, count(*) FILTER (final_return <= 0) AS negative,

@@ -22,9 +22,9 @@ def bars(spark, sf_dir, span: str = "week", fine: bool = False) -> DataFrame:
     """OHLCV bars: ticker = part brand (or brand-type), px = price per unit.
 
     Lines of a bar are ordered by day, order, line and a mix of part and
-    supplier, packed into one BIGINT (order keys below 2^38): with a fixed-width
-    order the partial aggregation hashes the rows, with a struct it would sort
-    them first.
+    supplier, written as one DECIMAL (any BIGINT order key and INT line number
+    fit): with a fixed-width order the partial aggregation hashes the rows, with a
+    struct it would sort them first.
     """
     name = F.concat_ws("-", "p_brand", "p_type") if fine else F.col("p_brand")
     part = table(spark, sf_dir, "part").select("p_partkey", name.alias("ticker"))
@@ -32,8 +32,9 @@ def bars(spark, sf_dir, span: str = "week", fine: bool = False) -> DataFrame:
     first = day if span == "day" else f"trunc({day}, '{span}')"
     line = (table(spark, sf_dir, "lineitem")
             .selectExpr("l_partkey", f"{first} AS date", "l_extendedprice / l_quantity AS px", "l_quantity",
-                        f"datediff({day}, {first}) * (1L << 54) + l_orderkey * 65536 + l_linenumber * 8192"
-                        " + (l_partkey * 31 + l_suppkey) % 8192 AS k"))
+                        f"CAST(CAST(datediff({day}, {first}) AS DECIMAL(5)) * CAST(1e33 AS DECIMAL(34)) AS DECIMAL(38))"
+                        " + CAST(l_orderkey AS DECIMAL(19)) * 100000000000000"
+                        " + CAST(l_linenumber AS BIGINT) * 10000 + (l_partkey * 31 + l_suppkey) % 8192 AS k"))
     return (line.join(part, line.l_partkey == part.p_partkey).groupBy("ticker", "date")
             .agg(F.expr("min_by(px, k) AS open"), F.expr("max(px) AS high"), F.expr("min(px) AS low"),
                  F.expr("max_by(px, k) AS close"), F.expr("sum(l_quantity) AS volume")))

@@ -165,7 +165,7 @@ def reg_fit(spark, d):
 @query("reg_decode")
 def reg_decode(spark, d):
     feats = regimes.features(fx.bars(spark, d))
-    return regimes.decode(feats, regimes.fit(feats, max_rounds=5))
+    return regimes.decode(feats, regimes.fit(feats))
 
 
 def _given_model() -> regimes.Hmm:

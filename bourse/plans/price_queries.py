@@ -10,9 +10,9 @@ from bourse.operators import calendar as cal
 from bourse.operators import joins, windows
 from bourse.operators.backtest import sma_predictions
 from bourse.operators.features import feature_table
-from bourse.operators.indicators import add_indicators
+from bourse.operators.indicators import INDICATORS, add_indicators
 from bourse.plans import fixtures as fx
-from bourse.plans.registry import out, query, sql, sql_round
+from bourse.plans.registry import ORACLES, out, query, sql, sql_round
 from bourse.sources import bars as bar_src
 from bourse.sources import news as news_src
 from bourse.sources import reference as ref
@@ -116,6 +116,14 @@ def src_sample_tickers(spark, d):
 STORED_SQL = "SELECT date AS \"Date\", ticker AS \"Ticker\", open AS \"Open\", high AS \"High\", low AS \"Low\", close AS \"Close\", volume AS \"Volume\" FROM bars"
 
 
+@query("src_bars_stored", sql(B, "SELECT ticker, date, close, volume FROM bars WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-02-28' AND ticker IN ('Brand#11', 'Brand#32')", "close volume"))
+def src_bars_stored(spark, d):
+    """Bars stored by year and read back: year folders and tickers are pruned."""
+    path = tables.work_folder(spark, "bars")
+    tables.append_bars(fx.bars(spark, d), path)
+    return out(tables.scan_bars(spark, path, ["Brand#11", "Brand#32"], "1996-03-01", "1997-02-28").select("ticker", "date", "close", "volume"))
+
+
 @query("snk_table_append", sql(B, "SELECT CAST(year(\"Date\") AS INTEGER) AS \"Year\", count(*) AS n, min(\"Date\") AS first_date, max(\"Date\") AS last_date FROM (" + STORED_SQL + ") s GROUP BY ALL"))
 def snk_table_append(spark, d):
     """Two appends (before and from 1998), then a read of the stored table."""
@@ -227,6 +235,15 @@ def join_asof_close(spark, d):
     return out(joins.asof(asks, b, ["date", "close"]))
 
 
+@query("join_asof_day", sql(fx.TICKS_CTE, """
+SELECT t.ticker, CAST(t.ts AS DATE) AS day, arg_max(t.px, struct_pack(a := t.ts, b := t.px)) AS px
+FROM ticks t GROUP BY ALL""", "px"))
+def join_asof_day(spark, d):
+    """Days asked of trades: the last trade of the day counts."""
+    t = fx.ticks(spark, d)
+    return out(joins.asof(t.select("ticker", F.to_date("ts").alias("day")).distinct(), t.select("ticker", "ts", "px"), ["px"], left_time="day", right_time="ts"))
+
+
 @query("join_positions_left", sql([B, fx.POSITIONS_CTE], """
 SELECT t.ticker, coalesce(p.cost_basis, 0) AS cost_basis FROM (SELECT DISTINCT ticker FROM bars) t
 LEFT JOIN positions p ON t.ticker = p.ticker""", "cost_basis"))
@@ -312,13 +329,40 @@ def ind_intraday_chunked(spark, d):
     return out(df.select("ticker", F.col("date").cast("timestamp_ntz").alias("date"), *names), 4)
 
 
-@query("ind_all", sql([B, STOCH14, TR], f"""
-SELECT t.ticker, t.date, t.atr, s.stoch_rsi14 FROM (SELECT ticker, date, {sroll('avg', 'tr', 14)} AS atr FROM tr) t
-JOIN stoch s ON t.ticker = s.ticker AND t.date = s.date""", "atr stoch_rsi14", 4))
+GAP = "(CAST(date AS DATE) - DATE '1990-01-01') // 7 % 5 = length(ticker) % 5"
+STEPS = {n: f"2.0 / ({n} + 1)" for n in (20, 200)}
+
+
+@query("ind_ema_gaps", sql([B, f"""
+ord AS MATERIALIZED (SELECT ticker, date, CASE WHEN NOT ({GAP}) THEN CAST(close AS DOUBLE) END AS close, row_number() {W} AS rn FROM bars),
+ema(ticker, date, rn, gap, {', '.join(f'e{n}' for n in STEPS)}, num, den) AS (
+  SELECT ticker, date, rn, CAST(0 AS BIGINT), {', '.join('close' for _ in STEPS)}, coalesce(close, CAST(0 AS DOUBLE)), CASE WHEN close IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END FROM ord WHERE rn = 1
+  UNION ALL
+  SELECT o.ticker, o.date, o.rn, CASE WHEN o.close IS NULL THEN r.gap + 1 ELSE 0 END,
+    {', '.join(f"CASE WHEN o.close IS NULL THEN r.e{n} WHEN r.e{n} IS NULL THEN o.close ELSE (pow(1 - {a}, r.gap + 1) * r.e{n} + {a} * o.close) / (pow(1 - {a}, r.gap + 1) + {a}) END" for n, a in STEPS.items())},
+    coalesce(o.close, 0) + (1 - {STEPS[20]}) * r.num, (o.close IS NOT NULL)::INT + (1 - {STEPS[20]}) * r.den
+  FROM ema r JOIN ord o ON o.ticker = r.ticker AND o.rn = r.rn + 1)"""], f"""
+SELECT a.ticker, a.date, e20 AS ema_20, e200 AS ema_200, num / nullif(den, 0) + 2 * r AS keltner_upper FROM ema a
+JOIN (SELECT ticker, date, {sroll('avg', 'high - low', 10)} AS r FROM bars) b ON a.ticker = b.ticker AND a.date = b.date""",
+                           "ema_20 ema_200 keltner_upper", 4))
+def ind_ema_gaps(spark, d):
+    """Bars of which every fifth has no close."""
+    b = fx.bars(spark, d)
+    gap = F.floor(F.datediff("date", F.lit("1990-01-01")) / 7) % 5 == F.length("ticker") % 5
+    b = b.withColumn("close", F.when(~gap, F.col("close").cast("double")))
+    names = ["ema_20", "ema_200", "keltner_upper"]
+    return out(add_indicators(b, names).select("ticker", "date", *names), 4)
+
+
+SINGLE = ["ind_trend", "ind_macd", "ind_zscore", "ind_stoch_rsi", "ind_atr", "ind_adx", "ind_momentum", "ind_volume_momentum", "ind_bollinger_b",
+          "ind_williams_r", "ind_engulfing", "ind_keltner"]
+
+
+@query("ind_all", "SELECT * FROM (" + ORACLES["ind_ema"] + ") ema " + " ".join(f"JOIN ({ORACLES[k]}) {k} USING (ticker, date)" for k in SINGLE))
 def ind_all(spark, d):
-    """All indicators requested in one plan (two of them compared here; each has its own query)."""
-    from bourse.operators.indicators import INDICATORS
-    return out(add_indicators(fx.bars(spark, d), list(INDICATORS)).select("ticker", "date", "atr", "stoch_rsi14"), 4)
+    """All indicators in one plan; the oracle joins the oracles of the single ones."""
+    return out(add_indicators(fx.bars(spark, d), list(INDICATORS)).select("ticker", "date", *INDICATORS), 4)
+
 
 
 # ------------------------------------------------------------------ windows

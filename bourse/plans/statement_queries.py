@@ -183,6 +183,20 @@ def join_threshold_lookup(spark, d):
     return out(fund_ops.attach_thresholds(keys, fx.thresholds(f)).select("ticker", "code", *[f"t_{m}" for m in ref.METRICS]))
 
 
+GAPPY = "CASE WHEN ascii(right(ticker, 1)) % 3 = 0 THEN NULL ELSE sic2 END AS sic2, CASE WHEN ascii(right(ticker, 1)) % 3 < 2 THEN NULL ELSE sic4 END AS sic4"
+
+
+@query("join_threshold_gaps", sql([FU, TH], f"""
+SELECT s.ticker, s.code, {T_COLS} FROM (SELECT *, CASE WHEN sic2 = '73' THEN sic4 ELSE sic2 END AS code FROM (SELECT DISTINCT ticker, {GAPPY} FROM fund) g) s
+LEFT JOIN thresholds t ON t.code = s.code JOIN thresholds d ON d.code = CASE WHEN sic2 = '73' THEN '7399' ELSE '99' END""",
+                                  " ".join(f"t_{m}" for m in ref.METRICS)))
+def join_threshold_gaps(spark, d):
+    """Some tickers have no sector code: they get the default row."""
+    f = fund(spark, d)
+    keys = f.selectExpr("ticker", GAPPY.split(", CASE")[0], "CASE" + GAPPY.split(", CASE")[1]).distinct().withColumn("code", ref.sector_code())
+    return out(fund_ops.attach_thresholds(keys, fx.thresholds(f)).select("ticker", "code", *[f"t_{m}" for m in ref.METRICS]))
+
+
 @query("join_asof_market_cap", sql([ST, fx.TICKER_DETAILS_CTE], """
 SELECT s.ticker, s.fiscal_year, s.fiscal_period, s.end_date, t."asof", t.market_cap, t.sic4
 FROM (SELECT ticker, fiscal_year, fiscal_period, end_date FROM statements) s

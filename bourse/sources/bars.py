@@ -18,7 +18,6 @@ BAR_SCHEMA = T.StructType([
     T.StructField("volume", T.DoubleType()),
 ])
 OHLCV = ["open", "high", "low", "close", "volume"]
-MAX_YEARS = 5
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -26,12 +25,6 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", **options) -
     return spark.read.format(fmt).schema(BAR_SCHEMA).options(**options).load(path)
 
 
-def check_years(years: int) -> int:
-    if years > MAX_YEARS:
-        raise ValueError(f"at most {MAX_YEARS} years of bars can be requested, got {years}")
-    return years
-
-
 def select_bars(bars: DataFrame, tickers: str | Iterable[str] | None = None, start=None, end=None,
                 years: int | None = None) -> DataFrame:
     """Bars of some tickers in a date range; `years` counts 365-day years back from `end`."""
@@ -39,7 +32,7 @@ def select_bars(bars: DataFrame, tickers: str | Iterable[str] | None = None, sta
         bars = bars.where(F.col("ticker").isin([tickers] if isinstance(tickers, str) else list(tickers)))
     if years is not None:
         stop = F.lit(end).cast("date") if end is not None else F.current_date()
-        bars = bars.where(F.col("date") >= F.date_sub(stop, 365 * check_years(years)))
+        bars = bars.where(F.col("date") >= F.date_sub(stop, 365 * years))
     if start is not None:
         bars = bars.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:

@@ -83,8 +83,13 @@ def save_bucketed(bars: DataFrame, table: str, buckets: int, path: str | None =
     (w.option("path", path) if path else w).saveAsTable(table)
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, **properties: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **properties).load()
+def scan_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low=None, high=None,
+              partitions: int = 1, **properties: str) -> DataFrame:
+    """A relational table; with a numeric or date `column` and its range, read by `partitions` tasks."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **properties)
+    if column is not None:
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+    return reader.load()
 
 
 def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
@@ -94,8 +99,15 @@ def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
 
 def clone_table(spark: SparkSession, source: str, target: str, key=("Ticker", "Date"),
                 fmt: str = "parquet") -> None:
-    """Create a table like `source`, copy its rows, and require `key` to be unique."""
+    """Create a table like `source`, copy its rows, and require `key` to be unique.
+
+    A table with year folders keeps them.
+    """
     df = scan_table(spark, source, fmt)
     if not duplicate_keys(df, *key).isEmpty():
         raise ValueError(f"{source}: {key} is not unique, not cloned")
-    df.write.mode("errorifexists").format(fmt).save(target)
+    if "Year" not in df.columns:
+        df.write.mode("errorifexists").format(fmt).save(target)
+        return
+    (df.hint("rebalance", "Year").sortWithinPartitions("Year", *key)
+     .write.mode("errorifexists").partitionBy("Year").format(fmt).save(target))

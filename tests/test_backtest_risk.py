@@ -154,8 +154,37 @@ def test_exact_quantiles_by_narrowing(spark, q):
     y = np.where(rng.random(5000) < 0.4, 3.0, rng.integers(0, 10, 5000).astype(float))  # one value holds a third of the rows
     z = np.where(rng.random(5000) < 0.4, 0.25, x)  # the same amid distinct values
     data = dict(x=x, y=y, z=z)
-    got = agg.exact_quantiles(spark.createDataFrame(pd.DataFrame(data)), list(data), q, direct_rows=50)
+    got = agg.exact_quantiles(spark.createDataFrame(pd.DataFrame(data)), list(data), q)
     for c, v in data.items():
         assert math.isclose(got[c], np.quantile(v, q), rel_tol=1e-12, abs_tol=1e-12), c
     df = spark.createDataFrame(pd.DataFrame(data))
     assert agg.exact_quantiles(df.where("x > 100"), ["x"])["x"] is None
+
+
+@pytest.mark.parametrize("values", [[1.0000000000000002, 1.0000000000000004] * 3, [float("-inf"), 1.0, float("inf")], [-1.7e308, 1.7e308, 0.0],
+                                    [5e-324, 0.0, -5e-324, -0.0], [7.0], [3.0] * 40 + list(range(80))])
+def test_exact_quantiles_end_on_any_values(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for q in (0.0, 0.25, 0.5, 1.0):
+        rank = q * (len(values) - 1)
+        low, high = sorted(values)[math.floor(rank)], sorted(values)[math.ceil(rank)]
+        assert low <= agg.exact_quantiles(df, ["x"], q)["x"] <= high
+
+
+def test_a_total_loss_stays_lost(spark):
+    rows = [("a", f"2001-01-0{i + 1}", c, i == 0) for i, c in enumerate([10.0, 10.0, 0.0, 5.0])]
+    sig = spark.createDataFrame(rows, "ticker string, date string, close double, entry_signal boolean").selectExpr(
+        "ticker", "CAST(date AS date) date", "close", "entry_signal", "false AS exit_signal")
+    got = [r.equity for r in bt.equity(bt.position(sig)).orderBy("date").collect()]
+    assert got[1] > 990 and got[2:] == [0.0, 0.0]
+    ret = spark.createDataFrame([("a", f"2001-01-0{i + 1}", r) for i, r in enumerate([0.1, -1.0, 0.05])], "ticker string, date string, ret double")
+    m = risk.all_metrics(ret.selectExpr("ticker", "CAST(date AS date) date", "ret")).first()
+    assert m.cumulative_return == -1.0 and m.max_drawdown == -1.0
+
+
+def test_sized_orders_without_bars_and_with_null_signals(spark):
+    kind = "ticker string, date date, close double, entry_signal boolean, exit_signal boolean, confidence double"
+    assert bt.equity_sized(spark.createDataFrame([], kind)).count() == 0
+    import datetime as dt
+    df = spark.createDataFrame([("a", dt.date(2001, 1, 1), 10.0, None, None, None), ("a", dt.date(2001, 1, 2), 10.0, True, None, 1.0)], kind)
+    assert [round(r.equity, 6) for r in bt.equity_sized(df, slippage=0.0, fees=0.0).orderBy("date").collect()] == [1000.0, 1000.0]

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import close_to, daily, ordered, price_frame
+from pyspark.sql import functions as F
 
 from bourse.operators.indicators import INDICATORS, add_indicators
 
@@ -146,3 +147,23 @@ def test_feature_table_columns_and_modes(spark, prices):
     for bad in (["positive"], ["regime"], ["ema_100"]):
         with pytest.raises(ValueError):
             feature_table(bars, bad)
+
+
+@pytest.mark.parametrize("pattern", ["gaps", "first", "long", "all"])
+def test_averages_over_missing_values_equal_pandas(spark, pattern):
+    """A NULL ages what came before it; chunks and segments must not show."""
+    pdf = price_frame({"A": 1500}, seed=4)
+    rng = np.random.default_rng(0)
+    gone = {"gaps": rng.random(1500) < 0.4, "first": np.arange(1500) < 7, "long": (np.arange(1500) > 300) & (np.arange(1500) < 1100),
+            "all": np.full(1500, True)}[pattern]
+    pdf.loc[gone, "close"] = np.nan
+    df = daily(spark, pdf).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    got = ordered(add_indicators(df, ["ema_20", "ema_200", "macd"]))
+    e = lambda n: pdf["close"].ewm(span=n, adjust=False).mean().ffill()
+    close_to(got["ema_20"], e(20))
+    close_to(got["ema_200"], e(200))
+    close_to(got["macd"], e(12) - e(26))
+    k = ordered(add_indicators(df, ["keltner_upper", "keltner_lower"]))
+    middle = pdf["close"].ewm(span=20).mean().ffill()
+    seen = k["keltner_upper"].notna()
+    close_to(((k["keltner_upper"] + k["keltner_lower"]) / 2)[seen], middle[seen])

@@ -1,21 +1,17 @@
 """Registered queries against DuckDB on the smallest tables.
 
-By default a sample of every family; BOURSE_ALL_ORACLES=1 runs all of them
-(`python tests/check_oracles.py` does the same with timings).
+`python tests/check_oracles.py` does the same with timings.  The corpus
+operators have their own tests in tests/llm.
 """
 
-import os
-
 import check_oracles as co
 import pytest
 
 import __spark_entry__ as entry
+from bourse.plans import load
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
-SAMPLE = ["src_bars", "src_news_flatten", "join_news_left", "join_asof_close", "ind_ema", "ind_adx", "ind_intraday_chunked",
-          "win_seq_mean", "dt_holidays", "fund_ratios", "val_weighted_gap", "score_graham", "agg_vote_summary", "bt_trades",
-          "risk_serenity", "risk_max_shares", "ml_clean", "reg_summary"]
+ORACLES = load()[1]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +19,7 @@ def con():
     return co.duck(SF)
 
 
-@pytest.mark.parametrize("key", sorted(ORACLES) if os.environ.get("BOURSE_ALL_ORACLES") else SAMPLE)
+@pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, key):
     assert co.compare(entry.queries()[key](spark, SF), con, ORACLES[key]) is None
 

@@ -28,8 +28,7 @@ def test_select_bars_limits(spark):
     df = daily(spark, price_frame({"A": 20, "B": 20}))
     assert b.select_bars(df, "A").select("ticker").distinct().collect()[0][0] == "A"
     assert b.select_bars(df, ["A", "B"], "2001-03-07", "2001-03-08").count() == 4
-    with pytest.raises(ValueError):
-        b.select_bars(df, years=6)
+    assert b.select_bars(df, end="2012-03-07", years=11).count() == b.select_bars(df, start="2001-03-10").count()
 
 
 def test_append_scan_clone(spark, tmp_path):
@@ -38,6 +37,8 @@ def test_append_scan_clone(spark, tmp_path):
     tables.append_bars(df, path)
     tables.clone_table(spark, path, copy)
     assert tables.scan_table(spark, copy).count() == 24
+    plan = tables.scan_bars(spark, copy, "A", "2001-03-10", "2001-03-12")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Year" in plan
     tables.append_bars(df.limit(1), path)
     assert tables.duplicate_keys(tables.scan_table(spark, path), "Ticker", "Date").count() == 1
     with pytest.raises(ValueError):
@@ -66,7 +67,7 @@ def test_indicators_on_a_bucketed_table_need_no_shuffle(spark, tmp_path):
         spark.sql("DROP TABLE bucketed_bars")
 
 
-def test_work_folder_is_below_the_shared_folder():
+def test_work_folder_is_below_the_shared_folder(spark, tmp_path):
     class Conf:
         def __init__(self, value):
             self.value = value
@@ -74,12 +75,20 @@ def test_work_folder_is_below_the_shared_folder():
         def get(self, key, default=None):
             return self.value if key == "spark.checkpoint.dir" and self.value else default
 
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
     class Session:
-        def __init__(self, value):
-            self.conf = Conf(value)
+        _jvm, _jsc = spark._jvm, spark._jsc
 
-    assert tables.work_folder(Session("hdfs://shared/check/"), "x").startswith("hdfs://shared/check/x-")
-    assert "bourse-" in tables.work_folder(Session(None), "x")
+        def __init__(self, value, master):
+            self.conf, self.sparkContext = Conf(value), Context(master)
+
+    assert tables.work_folder(Session(f"file://{tmp_path}/", "yarn"), "x").startswith(f"file:{tmp_path}/x-")
+    assert "bourse-" in tables.work_folder(Session(None, "local[2]"), "x")
+    with pytest.raises(ValueError):
+        tables.work_folder(Session(None, "local-cluster[2,1,1024]"), "x")
 
 
 def test_thresholds_csv_keeps_codes_as_text(spark, tmp_path):

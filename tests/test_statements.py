@@ -61,10 +61,10 @@ def test_threshold_fallbacks(spark):
         return (code, code) + tuple(v for _ in METRICS)
     th = spark.createDataFrame([row("99", 1.0), row("7399", 2.0), row("05", 3.0), ("06", "06", None) + (4.0,) * 17],
                                "code string, name string, " + ", ".join(f"{m} double" for m in METRICS))
-    keys = spark.createDataFrame([("a", "05", "0511"), ("b", "06", "0611"), ("c", "07", "0711"), ("d", "73", "7312"), ("e", None, None)],
+    keys = spark.createDataFrame([("a", "05", "0511"), ("b", "06", "0611"), ("c", "07", "0711"), ("d", "73", "7312"), ("e", None, None), ("f", "73", None)],
                                  "ticker string, sic2 string, sic4 string")
-    got = {r.ticker: (r.t_free_cash_flow_per_share, r.t_current_ratio) for r in fo.attach_thresholds(keys.dropna(), th).collect()}
-    assert got == {"a": (3.0, 3.0), "b": (1.0, 4.0), "c": (1.0, 1.0), "d": (2.0, 2.0)}
+    got = {r.ticker: (r.t_free_cash_flow_per_share, r.t_current_ratio) for r in fo.attach_thresholds(keys, th).collect()}
+    assert got == {"a": (3.0, 3.0), "b": (1.0, 4.0), "c": (1.0, 1.0), "d": (2.0, 2.0), "e": (1.0, 1.0), "f": (2.0, 2.0)}
 
 
 def test_scores_stay_in_range_and_votes_add_up(snap):
