@@ -98,12 +98,12 @@ def score_model(df: DataFrame, features: list[str], window: int,
     `predict` gets an array [rows, window, features] and returns one number per
     row; it is called on Arrow batches, not row by row.
     """
-    seq = past_sequences(df, features, window).select("ticker", "date", "seq")
+    seq = past_sequences(df, features, window).select("ticker", "date", F.flatten("seq").alias("seq"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.array([[list(step) for step in row] for row in pdf["seq"]], dtype="float64")
+                x = np.concatenate(pdf["seq"].to_numpy()).reshape(len(pdf), window, len(features))
                 yield pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "predicted": np.asarray(predict(x), dtype="float64")})
 
     date = df.schema["date"].dataType.simpleString()

@@ -23,6 +23,8 @@ FEATURES = ["ret", "range", "volume"]
 # fixed value: names by rising mean return
 REGIMES = ["Bearish", "Neutral", "Bullish"]
 K, D = 3, 3
+#: rows of whole tickers that are worked on together
+BUCKET_ROWS = 200_000
 
 
 @dataclass
@@ -108,6 +110,72 @@ def viterbi(x: np.ndarray, m: Hmm) -> np.ndarray:
     return path
 
 
+def padded(pdf: pd.DataFrame, m: Hmm) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    """(features [tickers, longest, D], lengths, the rows by ticker and date): the sequences of many tickers side by side."""
+    pdf = pdf.sort_values(["ticker", "date"], ignore_index=True)
+    code, _ = pd.factorize(pdf["ticker"], use_na_sentinel=False)
+    length = np.bincount(code)
+    x = np.zeros((len(length), int(length.max(initial=0)), D))
+    x[code, _places(length)] = (pdf[FEATURES].to_numpy(dtype="float64") - m.shift) / m.scale
+    return x, length, pdf
+
+
+def _places(length: np.ndarray) -> np.ndarray:
+    """0, 1, 2, .. within each sequence"""
+    return np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+
+
+def _densities(x: np.ndarray, m: Hmm) -> np.ndarray:
+    return _log_density(x.reshape(-1, D), m).reshape(*x.shape[:2], K)
+
+
+def forward_backward_many(x: np.ndarray, length: np.ndarray, m: Hmm) -> tuple[float, np.ndarray, np.ndarray]:
+    """`forward_backward` of many sequences, stepped together; weights beyond a sequence's end are 0."""
+    logb = _densities(x, m)
+    top = logb.max(axis=2, keepdims=True)
+    b = np.exp(logb - top)
+    n, steps = x.shape[:2]
+    on = np.arange(steps)[None, :] < length[:, None]
+    alpha, scale = np.zeros((n, steps, K)), np.ones((n, steps))
+    for t in range(steps):
+        a = (alpha[:, t - 1] @ m.trans if t else m.start) * b[:, t]
+        scale[:, t] = np.where(on[:, t], a.sum(axis=1), 1.0)
+        alpha[:, t] = a / scale[:, t, None] * on[:, t, None]
+    beta, xi = np.ones((n, steps, K)), np.zeros((K, K))
+    for t in range(steps - 2, -1, -1):
+        live = on[:, t + 1, None]
+        w = b[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+        xi += m.trans * (alpha[:, t].T @ (w * live))
+        beta[:, t] = np.where(live, w @ m.trans.T, 1.0)
+    return float((np.log(scale) + top[:, :, 0])[on].sum()), alpha * beta, xi
+
+
+def viterbi_many(x: np.ndarray, length: np.ndarray, m: Hmm) -> np.ndarray:
+    """`viterbi` of many sequences: states [tickers, longest], of no meaning beyond a sequence's end."""
+    logb = _densities(x, m)
+    with np.errstate(divide="ignore"):
+        lt, ls = np.log(m.trans), np.log(m.start)
+    n, steps = x.shape[:2]
+    back, best = np.zeros((n, steps, K), dtype=int), ls + logb[:, 0]
+    for t in range(1, steps):
+        step = best[:, :, None] + lt
+        live = (t < length)[:, None]
+        back[:, t] = np.where(live, step.argmax(axis=1), np.arange(K))
+        best = np.where(live, step.max(axis=1) + logb[:, t], best)
+    path = np.zeros((n, steps), dtype=int)
+    path[:, -1] = best.argmax(axis=1)
+    for t in range(steps - 1, 0, -1):
+        path[:, t - 1] = np.take_along_axis(back[:, t], path[:, t, None], axis=1)[:, 0]
+    return path
+
+
+def _bucketed(feats: DataFrame, rows: int | None = None) -> DataFrame:
+    """Whole tickers dealt into buckets of about BUCKET_ROWS rows."""
+    cores = feats.sparkSession.sparkContext.defaultParallelism
+    n = max(cores, -(-(feats.count() if rows is None else rows) // BUCKET_ROWS))
+    return feats.withColumn("_bucket", F.pmod(F.xxhash64("ticker"), F.lit(n)).cast("int")).repartition(n, "_bucket")
+
+
 _STATS = ["loglik", "n", *[f"start{k}" for k in range(K)], *[f"w{k}" for k in range(K)],
           *[f"x{k}{i}" for k in range(K) for i in range(D)],
           *[f"xx{k}{i}{j}" for k in range(K) for i in range(D) for j in range(D)],
@@ -117,13 +185,14 @@ _STATS = ["loglik", "n", *[f"start{k}" for k in range(K)], *[f"w{k}" for k in ra
 def _expectation(feats: DataFrame, m: Hmm) -> dict[str, float]:
     """Expected counts and moments, added up over all tickers: one row per statistic."""
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = (pdf.sort_values("date")[FEATURES].to_numpy(dtype="float64") - m.shift) / m.scale
-        ll, g, xi = forward_backward(x, m)
-        values = [ll, float(len(x)), *g[0], *g.sum(axis=0), *(g.T @ x).ravel(),
-                  *np.einsum("tk,ti,tj->kij", g, x, x).ravel(), *xi.ravel()]
+        x, length, _ = padded(pdf, m)
+        ll, g, xi = forward_backward_many(x, length, m)
+        first, g, x = g[:, 0].sum(axis=0), g.reshape(-1, K), x.reshape(-1, D)
+        values = [ll, float(length.sum()), *first, *g.sum(axis=0), *(g.T @ x).ravel(),
+                  *np.einsum("tk,ti,tj->kij", g, x, x, optimize=True).ravel(), *xi.ravel()]
         return pd.DataFrame({"stat": np.arange(len(values), dtype="int32"), "value": values})
 
-    parts = feats.groupBy("ticker").applyInPandas(step, "stat int, value double")
+    parts = feats.groupBy("_bucket").applyInPandas(step, "stat int, value double")
     return {_STATS[r["stat"]]: r["value"] for r in parts.groupBy("stat").agg(F.sum("value").alias("value")).collect()}
 
 
@@ -143,14 +212,11 @@ def _maximisation(s: dict[str, float], m: Hmm, floor: float) -> Hmm:
 def fit(feats: DataFrame, max_rounds: int = 100, tol: float = 1e-2, floor: float = 1e-6) -> Hmm:
     """Expectation-maximisation from a deterministic start (terciles of the return).
 
-    Every round reads the feature table once, so it is kept, already grouped by
-    ticker: the rounds need no shuffle of the rows.  Lost blocks are recomputed
-    from the source.
+    Every round reads the feature table once, so it is kept, whole tickers in
+    buckets by size: the rounds need no shuffle of the rows, and the tickers of a
+    bucket are stepped together.  Lost blocks are recomputed from the source.
     """
-    # a fixed number of partitions: the rows are few but each costs much
-    # computing, so they must not be merged into one task
-    cores = feats.sparkSession.sparkContext.defaultParallelism
-    feats = require_daily(feats).repartition(cores, "ticker").persist()
+    feats = _bucketed(require_daily(feats)).persist()
     try:
         stats = feats.agg(*[f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in
                             (("avg", F.avg), ("sd", F.stddev_pop))]).first()
@@ -193,18 +259,31 @@ def model_table(spark, m: Hmm) -> DataFrame:
                                        "log_likelihood double, bic double, aic double, rounds int")
 
 
+def save_model(spark, m: Hmm, path: str, fmt: str = "parquet") -> None:
+    """All parameters as a table: one row per state."""
+    rows = [(k, float(m.start[k]), *([float(v) for v in a] for a in (m.trans[k], m.means[k], m.covs[k].ravel(), m.shift, m.scale))) for k in range(K)]
+    kinds = ", ".join(f"{c} array<double>" for c in ("trans", "mean", "cov", "shift", "scale"))
+    spark.createDataFrame(rows, f"state int, start double, {kinds}").coalesce(1).write.mode("errorifexists").format(fmt).save(path)
+
+
+def load_model(spark, path: str, fmt: str = "parquet") -> Hmm:
+    """A model stored by `save_model` (three rows)."""
+    rows = sorted(spark.read.format(fmt).load(path).collect(), key=lambda r: r["state"])
+    get = lambda c: np.array([r[c] for r in rows])
+    return Hmm(get("start"), get("trans"), get("mean"), get("cov").reshape(K, D, D), np.array(rows[0]["shift"]), np.array(rows[0]["scale"]))
+
+
 def decode(feats: DataFrame, m: Hmm) -> DataFrame:
     """Most likely state path of each ticker, with the regime name."""
     names = m.labels()
 
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x = (pdf[FEATURES].to_numpy(dtype="float64") - m.shift) / m.scale
-        states = viterbi(x, m)
+        x, length, pdf = padded(pdf, m)
+        states = viterbi_many(x, length, m)[np.repeat(np.arange(len(length)), length), _places(length)]
         return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "state": states,
                              "regime": [names[int(k)] for k in states]})
 
-    return require_daily(feats).groupBy("ticker").applyInPandas(path, "ticker string, date date, state int, regime string")
+    return _bucketed(require_daily(feats)).groupBy("_bucket").applyInPandas(path, "ticker string, date date, state int, regime string")
 
 
 def state_names(states: DataFrame) -> DataFrame:

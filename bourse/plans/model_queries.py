@@ -13,7 +13,8 @@ from bourse.operators import regimes, windows
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
 from bourse.plans.price_queries import W, sroll
-from bourse.plans.registry import out, query, sql
+from bourse.plans.registry import ORACLES, out, query, sql
+from bourse.sources import tables
 
 B = fx.BARS_CTE
 FEATS = ["z_score", "b_percent", "volume_momentum"]
@@ -200,6 +201,14 @@ def reg_decode_given(spark, d):
     return regimes.decode(regimes.features(fx.bars(spark, d)), _given_model())
 
 
+@query("reg_decode_stored", ORACLES["reg_decode_given"])
+def reg_decode_stored(spark, d):
+    """The same model stored as a table, read again and applied."""
+    path = tables.work_folder(spark, "regimes")
+    regimes.save_model(spark, _given_model(), path)
+    return regimes.decode(regimes.features(fx.bars(spark, d)), regimes.load_model(spark, path))
+
+
 @query("srt_state_order", sql([B, REG, LABELS], "SELECT state, mean_return, regime FROM nm", "mean_return"))
 def srt_state_order(spark, d):
     return out(regimes.state_names(states(spark, d)))

@@ -114,3 +114,21 @@ def test_fit_refuses_intraday_series(spark):
     feats = spark.createDataFrame(price_frame({"A": 5}, freq="h")).select("ticker", "date", F.lit(0.0).alias("ret"), F.lit(1.0).alias("range"), "volume")
     with pytest.raises(ValueError):
         rg.fit(feats)
+
+
+def test_sequences_stepped_together_equal_single_ones(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    m = rg.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]]), rng.normal(size=(3, 3)),
+               np.array([np.eye(3) * s for s in (0.5, 1.0, 2.0)]), np.zeros(3), np.ones(3))
+    length = np.array([40, 1, 7, 23])
+    x = rng.normal(size=(4, 40, 3))
+    ll, g, xi = rg.forward_backward_many(x, length, m)
+    path = rg.viterbi_many(x, length, m)
+    single = [rg.forward_backward(x[i, :n], m) for i, n in enumerate(length)]
+    assert np.isclose(ll, sum(s[0] for s in single)) and np.allclose(xi, sum(s[2] for s in single))
+    for i, n in enumerate(length):
+        assert np.allclose(g[i, :n], single[i][1]) and not g[i, n:].any()
+        assert (path[i, :n] == rg.viterbi(x[i, :n], m)).all()
+    rg.save_model(spark, m, str(tmp_path / "m"))
+    back = rg.load_model(spark, str(tmp_path / "m"))
+    assert all((getattr(back, f) == getattr(m, f)).all() for f in ("start", "trans", "means", "covs", "shift", "scale"))
