@@ -46,3 +46,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows (it is counted); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourse.llm.common import col, fresh, pieces, stored
+from bourse.llm.common import col, fresh, pieces, small, stored
 from bourse.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 SMALL, SURE, BLOCK = 32, 0.6, 4096
+#: up to this many ids (8 bytes each) are sent to all tasks
+FEW = 2_000_000
 #: a longer run without white space counts as several words
 CHUNK = 1 << 20
 #: ids of texts that occur only without an id start here
@@ -230,9 +232,9 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def candidates(members: DataFrame) -> DataFrame:
     """(a, b) with a < b: all pairs of small buckets, every text with the first one of larger ones."""
     ids = F.array_sort(F.collect_set("id"))
-    small = members.where(F.col("n") <= SMALL).groupBy("g").agg(ids.alias("ids"))
+    few = members.where(F.col("n") <= SMALL).groupBy("g").agg(ids.alias("ids"))
     pair = "flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as a, y as b))))"
-    within = small.select(F.explode(F.expr(pair)).alias("p")).select("p.a", "p.b")
+    within = few.select(F.explode(F.expr(pair)).alias("p")).select("p.a", "p.b")
     star = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
     return within.unionByName(star).distinct()
 
@@ -289,8 +291,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = banded.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
     members = stored(banded.join(buckets, "g"), "near-members")
     pairs = stored(candidates(members), "near-pairs")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(keyed.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    asked = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-asked")
+    # all texts would be shuffled to find a few
+    texts = stored(keyed.join(small(asked, FEW), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "near-texts")
 
     leading = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     labels = relabel(None, verified(leading, texts))
