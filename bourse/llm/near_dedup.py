@@ -14,14 +14,15 @@ shingle sets is 0.8 or more; classes are the connected components.
    texts every pair is a candidate; in larger ones every text against the bucket's first text.
 4. Candidates are verified exactly, in the order that settles most: first each text against its first partner,
    then all pairs whose ends are not in one class yet (the others cannot change a class).
-5. Larger buckets that still hold several classes are compared block by block: signatures of the texts outside
-   the first text's class against all of the bucket.  Pairs whose registers agree in SURE or more (five standard
-   errors below the threshold) are verified.
+5. Larger buckets that still hold several classes are compared block by block: the texts outside the first text's
+   class against all of the bucket.  Pairs whose registers agree in SURE or more (five standard errors below the
+   threshold) are verified on the spot, each pair in one bucket only; only links leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -169,8 +170,9 @@ def signatures(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, n: int) -> np
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, registers: bool = False) -> DataFrame:
-    """(id, k1, k2, bands) per row, or (id, registers); bands and registers are NULL for texts without words."""
+    """(id, k1, k2, bands) per row, or (id, shingles, registers); bands and registers are NULL for texts without words."""
     last = "registers" if registers else "bands"
+    lead = ["shingles"] if registers else ["k1", "k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -183,11 +185,24 @@ def signed(docs: DataFrame, id_col: str, text_col: str, registers: bool = False)
                 sig = mix(sig + np.arange(BANDS, dtype=np.uint64) * _MULT[1])
             have = np.bincount(doc, minlength=b.num_rows) > 0
             values = pa.array([x if ok else None for x, ok in zip(sig.view(np.int64), have, strict=True)], pa.list_(pa.int64()))
-            keys = [] if registers else [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *keys, values], ["id", *["k1", "k2"] * (not registers), last])
+            if registers:
+                at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                first = [pa.array([s[x:y].view(np.int64) for x, y in pairwise(at)], pa.list_(pa.int64()))]
+            else:
+                first = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *first, values], ["id", *lead, last])
 
     return docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")).mapInArrow(
-        run, "id bigint, " + "k1 bigint, k2 bigint, " * (not registers) + f"{last} array<bigint>")
+        run, "id bigint, " + ("shingles array<bigint>, " if registers else "k1 bigint, k2 bigint, ") + f"{last} array<bigint>")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted shingle sets have a Jaccard similarity of THRESHOLD or more."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) == 0 or len(small) < THRESHOLD * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,14 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 doc, s, *_ = shingles(unique.dictionary.to_pylist())
                 at = np.searchsorted(doc, np.arange(len(unique.dictionary) + 1))
                 sides.append([s[at[i]:at[i + 1]] for i in unique.indices.to_pylist()])
-            ok = []
-            for x, y in zip(*sides, strict=True):
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if small == 0 or small < THRESHOLD * large:
-                    ok.append(False)
-                    continue
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                ok.append(both >= THRESHOLD * (len(x) + len(y) - both))
+            ok = [alike(x, y) for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
@@ -239,8 +247,8 @@ def candidates(members: DataFrame) -> DataFrame:
     return within.unionByName(star).distinct()
 
 
-def block_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Further candidates of larger buckets that hold several classes; None where there are none."""
+def block_links(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Further links within larger buckets that hold several classes; None where there are no such buckets."""
     lab = labels.select("id", "label")
     big = (members.where(F.col("n") > SMALL).join(lab, "id", "left").withColumn("label", F.coalesce("label", "id"))
            .join(lab.select(F.col("id").alias("first"), F.col("label").alias("head")), "first", "left")
@@ -248,29 +256,35 @@ def block_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
     open_ = big.where("label <> head").groupBy("g").agg(F.count(F.lit(1)).alias("outside"))
     if open_.isEmpty():
         return None
-    big = big.join(open_, "g").withColumns({"outer": F.col("label") != F.col("head"),
-                                            "blocks": F.ceil(F.col("n") / BLOCK).cast("int"),
-                                            "rows": F.ceil(F.col("outside") / BLOCK).cast("int")})
-    some = texts.join(big.select("id").distinct(), "id", "left_semi")
-    big = stored(big.join(signed(some, "id", "text", registers=True), "id")
-                 .select("g", "id", "label", "outer", "blocks", "rows", "registers"), "near-blocks")
+    big = stored(big.join(open_, "g").select(
+        "g", "id", "label", (F.col("label") != F.col("head")).alias("outer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.col("outside") / BLOCK).cast("int").alias("rows")), "near-open")
+    # the (at most BANDS) open buckets of each text
+    own = big.groupBy("id").agg(F.array_sort(F.collect_set("g")).alias("gs"))
+    facts = stored(signed(texts.join(own.select("id"), "id", "left_semi"), "id", "text", registers=True).join(own, "id"), "near-facts")
     spot = F.xxhash64("id", F.lit(11))
-    left = big.where("outer").select("g", F.pmod(spot, F.col("rows")).cast("int").alias("i"),
-                                     F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "id", "label", "registers")
-    right = big.select("g", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"),
-                       F.pmod(spot, F.col("blocks")).cast("int").alias("j"), "id", "label", "registers")
+    told = ["id", "label", "gs", "shingles", "registers"]
+    left = big.where("outer").withColumns({"i": F.pmod(spot, F.col("rows")).cast("int"), "j": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    right = big.withColumns({"i": F.explode(F.expr("sequence(0, rows - 1)")), "j": F.pmod(spot, F.col("blocks")).cast("int")})
+    left, right = (x.select("g", "i", "j", "id", "label").join(facts, "id").select("g", "i", "j", *told).toDF("g", "i", "j", *told) for x in (left, right))
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         if len(x) and len(y):
-            ids, labs, sig = y["id"].to_numpy(), y["label"].to_numpy(), np.stack(y["registers"].to_numpy())
-            for i, lab_, regs in zip(x["id"], x["label"], x["registers"], strict=True):
-                hit = ids[(labs != lab_) & ((sig == regs).sum(1) >= SURE * REGISTERS)]
-                a += [i] * len(hit)
-                b += hit.tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(compare, "a bigint, b bigint").distinct()
+            ids, labs, sig, gs, sets = y["id"].to_numpy(), y["label"].to_numpy(), np.stack(y["registers"].to_numpy()), list(y["gs"]), list(y["shingles"])
+            sizes = np.array([len(s) for s in sets])
+            for i, lab_, mine, s, regs in zip(x["id"], x["label"], x["gs"], x["shingles"], x["registers"], strict=True):
+                fits = (labs != lab_) & (sizes >= THRESHOLD * len(s)) & (sizes * THRESHOLD <= len(s))
+                near = np.flatnonzero(fits)
+                near = near[(sig[near] == regs).sum(1) >= SURE * REGISTERS]
+                for k in near:
+                    # a pair is looked at in the first bucket that both are in
+                    if min(set(mine.tolist()).intersection(gs[k].tolist())) == key[0] and alike(s.view(np.uint64), sets[k].view(np.uint64)):
+                        a.append(i)
+                        b.append(ids[k])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(compare, "a bigint, b bigint")
 
 
 def node(docs: DataFrame, id_col: str, text_col: str):
@@ -299,8 +313,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = relabel(None, verified(leading, texts))
     rest = across(pairs.join(leading, ["a", "b"], "left_anti"), labels)
     labels = relabel(labels, verified(rest, texts))
-    if (more := block_pairs(members, labels, texts)) is not None:
-        labels = relabel(labels, verified(more, texts))
+    if (more := block_links(members, labels, texts)) is not None:
+        labels = relabel(labels, more)
     return copies.join(labels.withColumnsRenamed({"id": "first"}), "first", "left").select(
         "id", F.coalesce("label", "first").alias("class"))
 
