@@ -53,9 +53,9 @@ def bt_position(spark, d):
     return bt.position(bt.signals(predictions(spark, d), ENTRY, EXIT)).select("ticker", "date", "position", "opened", "closed")
 
 
-@query("bt_equity", sql(CURVE, "SELECT ticker, date, equity, ret FROM curve", "equity ret", 4))
+@query("bt_equity", sql(CURVE, "SELECT ticker, date, equity, ret FROM curve", "equity ret", 4, ret=8))
 def bt_equity(spark, d):
-    return out(curve(spark, d).select("ticker", "date", "equity", "ret"), 4)
+    return out(curve(spark, d).select("ticker", "date", "equity", "ret"), 4, ret=8)
 
 
 RUIN = "ruin AS (SELECT * REPLACE (CASE WHEN date >= DATE '1997-06-01' AND ticker LIKE '%2' THEN 0 ELSE close END AS close) FROM calm)"
@@ -111,11 +111,11 @@ def bt_exposure(spark, d):
     return bt.exposure(curve(spark, d))
 
 
-@query("bt_many", sql([fx.bars_cte(fine=True), fx.CALM_CTE, PREDS, SIG, FOLD], "SELECT ticker, date, ret, (equity / 1000 - 1) * 100 AS cumulative_return FROM curve", "ret cumulative_return", 4))
+@query("bt_many", sql([fx.bars_cte(fine=True), fx.CALM_CTE, PREDS, SIG, FOLD], "SELECT ticker, date, ret, (equity / 1000 - 1) * 100 AS cumulative_return FROM curve", "ret cumulative_return", 4, ret=8))
 def bt_many(spark, d):
     """All (up to 150) fine-grained tickers in one plan."""
     preds = bt.sma_predictions(fx.calm_bars(spark, d, fine=True))
-    return out(bt.cumulative(bt.run(preds, ENTRY, EXIT)), 4)
+    return out(bt.cumulative(bt.run(preds, ENTRY, EXIT)), 4, ret=8)
 
 
 FINALS = "finals AS (SELECT ticker, arg_max((equity / 1000 - 1) * 100, date) AS final_return FROM curve GROUP BY ticker)"

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from bourse.operators import aggregates as agg
 from bourse.operators import modelling as ml
 from bourse.operators import regimes, windows
+from bourse.operators.features import feature_table
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
-from bourse.plans.price_queries import W, sroll
+from bourse.plans.price_queries import DAILY, STOCH14, W, sroll
 from bourse.plans.registry import ORACLES, out, query, sql
+from bourse.sources import bars as bar_src
+from bourse.sources import news as news_src
 from bourse.sources import tables
+from bourse.sources.news import SENTIMENTS
 
 B = fx.BARS_CTE
 FEATS = ["z_score", "b_percent", "volume_momentum"]
@@ -224,6 +228,24 @@ def join_regime_label(spark, d):
     return regimes.label(states(spark, d)).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ml_feature_table", sql([fx.NEWS_CTE, DAILY, B, STOCH14, REG, LABELS.replace("st AS (", "sta AS (").replace("FROM st ", "FROM sta ")], f"""
+SELECT f.ticker, f.date, f.shifted_prices, f.z_score, f.close, {', '.join(f'coalesce(n.{s}, 0) AS {s}' for s in SENTIMENTS)},
+  s.state, s.regime, i.stoch_rsi14 AS index_stoch_rsi FROM (
+  SELECT ticker, date, close, lead(close, 5) {W} AS shifted_prices,
+         (close - ({sroll('avg', 'close', 50)})) / nullif({sroll('stddev_samp', 'close', 50)}, 0) AS z_score FROM bars) f
+LEFT JOIN (SELECT *, CAST(date - 8400 AS DATE) AS bar_date FROM daily) n ON n.ticker = f.ticker AND n.bar_date = f.date
+JOIN (SELECT sta.ticker, sta.date, sta.state, nm.regime FROM sta JOIN nm ON nm.state = sta.state) s ON s.ticker = f.ticker AND s.date = f.date
+JOIN stoch i ON i.ticker = 'Brand#13' AND i.date = f.date
+WHERE shifted_prices IS NOT NULL AND z_score IS NOT NULL AND i.stoch_rsi14 IS NOT NULL""", "shifted_prices z_score close index_stoch_rsi", 5))
+def ml_feature_table(spark, d):
+    """The whole training table: label, indicators, all sentiments, regime and a feature of the index."""
+    b = fx.bars(spark, d)
+    daily = news_src.daily_sentiment(fx.news(spark, d)).withColumn("date", F.date_sub("date", 8400))
+    index = add_indicators(bar_src.index_bars(b, "Brand#13"), ["stoch_rsi14"]).select("date", F.col("stoch_rsi14").alias("index_stoch_rsi"))
+    columns = ["z_score", "close", *SENTIMENTS, "state", "regime", "index_stoch_rsi"]
+    return out(feature_table(b, columns, daily, regimes.label(states(spark, d)), index_values=index), 5)
+
+
 @query("reg_summary", sql([B, REG, LABELS], """
 SELECT s.ticker, n.regime, count(*) AS bars, avg(ret) AS mean_return, min(close) AS low_close, max(close) AS high_close
 FROM st s JOIN nm n ON n.state = s.state GROUP BY s.ticker, n.regime""", "mean_return low_close high_close"))
