@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import safe_div
-from bourse.operators.series import is_daily, open_series, running
+from bourse.operators.series import is_daily, open_series, running, settled
 
 PERIODS = 252.0
 Z95 = 1.645
+VAR_SHARE = 0.05
 
 
 def bar_returns(curve: DataFrame, value: str = "equity", start: float | None = None) -> DataFrame:
@@ -59,18 +60,47 @@ def _return_aggregates(rf_pct: float) -> list[Column]:
         (F.stddev_samp(r) * root).alias("volatility"),
         (F.pow(1.0 + total, F.lit(365.25) / F.nullif(days, F.lit(0))) - 1.0).alias("cagr"),
         total.alias("cumulative_return"),
-        F.percentile(r, F.lit(0.05)).alias("var_hist"),
+        F.percentile(r, F.lit(VAR_SHARE)).alias("var_hist"),
         (F.avg(r) - Z95 * F.stddev_samp(r)).alias("var_normal")]
 
 
 def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
     """sharpe, sortino, volatility, cagr, cumulative return and VaR per ticker.
 
-    Plain aggregates: partial sums are made before the shuffle.
+    Plain aggregates: partial sums are made before the shuffle.  The quantile of
+    a daily series is taken over its (bounded) days; of a longer one only the
+    rows between two sketched values meet in a task.
     """
+    if not is_daily(returns, "date"):
+        kept = settled(returns.where(F.col("ret").isNotNull()).select("ticker", "date", "ret"))
+        rest = kept.groupBy("ticker").agg(*[c for c in _return_aggregates(rf_pct)[:-2]], _return_aggregates(rf_pct)[-1])
+        return rest.join(_long_quantile(kept), "ticker").select("ticker", *RETURN_METRICS)
     return returns.where(F.col("ret").isNotNull()).groupBy("ticker").agg(*_return_aggregates(rf_pct))
 
 
+RETURN_METRICS = ["n", "sharpe", "sortino", "volatility", "cagr", "cumulative_return", "var_hist", "var_normal"]
+
+
+def _long_quantile(returns: DataFrame, share: float = VAR_SHARE, margin: float = 0.0005) -> DataFrame:
+    """(ticker, var_hist), exact: a sketch with an error of a ten-thousandth of the rows brackets the quantile."""
+    r = F.col("ret")
+    ends = returns.groupBy("ticker").agg(
+        F.count(r).alias("_n"), F.percentile_approx(r, [max(share - margin, 0.0), share + margin], 10_000).alias("_e"))
+    both = returns.join(ends.select("ticker", "_n", F.col("_e")[0].alias("_a"), F.col("_e")[1].alias("_b")), "ticker")
+    # equal values are counted once each, so a value that holds many rows stays small; the next value above may be needed
+    values = both.groupBy("ticker", "_n", "_a", "_b").agg(
+        F.count_if(r < F.col("_a")).alias("_below"), F.min(F.when(r > F.col("_b"), r)).alias("_next"))
+    inside = both.where((r >= F.col("_a")) & (r <= F.col("_b"))).groupBy("ticker", "ret").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("ticker").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
+    at = inside.withColumn("_upto", F.sum("k").over(w)).join(values, "ticker")
+    rank = (F.col("_n") - 1) * share
+    last = F.col("_below") + F.col("_upto") - 1  # rank of the value's last row, from 0
+    low = F.min(F.when(last >= F.floor(rank), r))
+    high = F.coalesce(F.min(F.when(last >= F.ceil(rank), r)), F.min("_next"))
+    got = at.groupBy("ticker").agg(low.alias("_low"), high.alias("_high"), F.max(rank - F.floor(rank)).alias("_share"))
+    return got.select("ticker", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias("var_hist"))
+
+
 def drawdowns(returns: DataFrame) -> DataFrame:
     """Per bar: growth of 1, its running peak, and the drawdown (never positive)."""
     g = running(returns.where(F.col("ret").isNotNull()), {

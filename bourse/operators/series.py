@@ -12,6 +12,11 @@ at the type of the time column:
   with finite memory (rolling frames, lags, exponential averages) give the same
   values as over the whole series while every task stays small.
 
+Both the position of a row and a running total need the input twice (bucket
+totals, then rows), so a chain of operators would read its source 2, 4, 8, ...
+times.  The input of each such step is therefore stored (`settled`): a chain
+costs one write and two reads per step, however long it is.
+
 Running totals have unbounded memory and need no copies: `running` totals each
 chunk, carries the totals over the (few) chunks of a ticker and adds the carry
 to the totals inside the chunk.
@@ -25,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bourse.session import stored
+
 CHUNK_ROWS = 65_536
 #: a TIMESTAMP series is counted and summed by the hour: few rows per bucket, few buckets per ticker
 POSITION_BUCKET = "hour"
@@ -70,6 +77,11 @@ def require_daily(df: DataFrame, time: str = "date") -> DataFrame:
     return df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The input of a step that reads it twice, stored while the plan is built."""
+    return stored(df, "series")
+
+
 def with_position(df: DataFrame, key: str = "ticker", time: str = "date",
                   bucket: str = POSITION_BUCKET) -> DataFrame:
     """Add `_pos`, the 0-based index of each row in its series.
@@ -77,7 +89,7 @@ def with_position(df: DataFrame, key: str = "ticker", time: str = "date",
     Rows are counted per (key, time bucket) first; only those counts are summed
     over a whole series, so no task ever sees all rows of one ticker.
     """
-    b = df.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
+    b = settled(df.withColumn("_bucket", F.date_trunc(bucket, F.col(time))))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (b.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
                .select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
@@ -134,7 +146,7 @@ def running(df: DataFrame, cols: dict[str, tuple[str, Column]], key: str = "tick
         w = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: _LOCAL[k](e).over(w) for o, (k, e) in cols.items()})
     b = df.withColumn("_bucket", F.date_trunc(bucket or POSITION_BUCKET, F.col(time)))
-    b = b.withColumns({f"_in_{o}": e for o, (_, e) in cols.items()})
+    b = settled(b.withColumns({f"_in_{o}": e for o, (_, e) in cols.items()}))
 
     def end_of(o, k):
         v = F.col(f"_in_{o}")

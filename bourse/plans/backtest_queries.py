@@ -8,8 +8,10 @@ from bourse.operators import aggregates as agg
 from bourse.operators import backtest as bt
 from bourse.operators import joins, risk
 from bourse.plans import fixtures as fx
-from bourse.plans.price_queries import sroll
+from bourse.plans.price_queries import HOURLY, sroll
 from bourse.plans.registry import out, query, sql
+from bourse.session import stored
+from bourse.sources import bars as bar_src
 
 B = fx.BARS_CTE
 ENTRY, EXIT = 1.0, 0.5
@@ -162,6 +164,22 @@ def agg_metric_summary(spark, d):
                                          "var_hist": "Value-at-Risk (%)"}), 4)
 
 
+# ------------------------------------------------------------------ hourly bars: a TIMESTAMP series
+HOUR_CALM = "calm AS (SELECT ticker, date, 100 + close AS close FROM bars)"
+HOUR_CURVE = [fx.TICKS_CTE, HOURLY, HOUR_CALM, PREDS, SIG, FOLD]
+
+
+def hourly_curve(spark, d):
+    bars = bar_src.resample(fx.ticks(spark, d), "hour").withColumn("close", F.col("close") + 100)
+    return bt.run(bt.sma_predictions(bars), ENTRY, EXIT)
+
+
+@query("bt_hourly", sql(HOUR_CURVE, "SELECT ticker, date, position, opened, closed, ret, ln(equity) AS log_equity FROM curve", "ret log_equity"))
+def bt_hourly(spark, d):
+    c = hourly_curve(spark, d).select("ticker", F.col("date").cast("timestamp_ntz").alias("date"), "position", "opened", "closed", "ret", F.ln("equity").alias("log_equity"))
+    return out(c)
+
+
 # ------------------------------------------------------------------ risk
 RF = 4.0
 RFP = f"(pow(1 + {RF} / 100, 1.0 / 252) - 1)"
@@ -209,6 +227,17 @@ def risk_serenity(spark, d):
     return out(risk.serenity(curve(spark, d), RF), 4)
 
 
+@query("risk_hourly", sql([*HOUR_CURVE, DD, EPI.replace("max(date) - min(date) + 1", "date_diff('day', min(date), max(date)) + 1"), SER, f"""
+m AS (SELECT ticker, {SHARPE} AS sharpe, quantile_cont(ret, 0.05) AS var_hist, stddev_samp(ret) * sqrt(252) AS volatility FROM curve GROUP BY ticker)"""], """
+SELECT m.*, d.max_drawdown, d.avg_drawdown, s.serenity FROM m JOIN ddm d ON d.ticker = m.ticker JOIN ser s ON s.ticker = m.ticker""",
+                          "sharpe var_hist volatility max_drawdown avg_drawdown serenity", 4))
+def risk_hourly(spark, d):
+    """Backtest and risk measures of hourly bars in one chain."""
+    m = risk.return_metrics(c := stored(hourly_curve(spark, d).select("ticker", "date", "ret"), "curve"))
+    m = m.join(risk.drawdown_metrics(c), "ticker").join(risk.serenity(c, RF), "ticker")
+    return out(m.select("ticker", "sharpe", "var_hist", "volatility", "max_drawdown", "avg_drawdown", "serenity"), 4)
+
+
 # benchmark: the average close of all tickers by date
 BENCH = """bench AS (SELECT date, c / lag(c) OVER (ORDER BY date) - 1 AS bret FROM (SELECT date, avg(close) AS c FROM calm GROUP BY date) x)"""
 

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bourse.session import work_folder  # noqa: F401
 from bourse.sources.bars import to_engine_names, to_storage_names
 
 STORED = ["Date", "Ticker", "Open", "High", "Low", "Close", "Volume"]
-_local_base: str | None = None
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by `spark.checkpoint.dir`, removed when Spark ends.
-
-    Where that is unset a local master gets a temporary folder (all its tasks
-    share the machine); on a cluster it is an error, since executors would
-    write to their own disks.
-    """
-    global _local_base
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if _local_base is None:
-            _local_base = tempfile.mkdtemp(prefix="bourse-")
-        base = _local_base
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(top)
-    fs.deleteOnExit(top)
-    return f"{top.toString()}/table"
 
 
 def append_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -188,3 +188,18 @@ def test_sized_orders_without_bars_and_with_null_signals(spark):
     import datetime as dt
     df = spark.createDataFrame([("a", dt.date(2001, 1, 1), 10.0, None, None, None), ("a", dt.date(2001, 1, 2), 10.0, True, None, 1.0)], kind)
     assert [round(r.equity, 6) for r in bt.equity_sized(df, slippage=0.0, fees=0.0).orderBy("date").collect()] == [1000.0, 1000.0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 21, 4000])
+def test_quantile_of_a_long_series_is_exact(spark, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame(dict(ticker="A", date=pd.date_range("2001-01-01", periods=n, freq="h"), ret=np.where(rng.random(n) < 0.3, -0.02, rng.normal(size=n) / 50)))
+    got = risk.return_metrics(spark.createDataFrame(pdf)).first()
+    assert math.isclose(got.var_hist, np.quantile(pdf["ret"], 0.05), rel_tol=1e-12, abs_tol=1e-15) and got.n == n
+
+
+def test_a_chain_on_hourly_bars_does_not_multiply(spark):
+    df = spark.createDataFrame(price_frame({"A": 200, "B": 50}, freq="h"))
+    c = bt.run(bt.sma_predictions(df), E, X)
+    plan = risk.drawdowns(c.select("ticker", "date", "ret"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
