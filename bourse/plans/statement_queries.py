@@ -10,7 +10,7 @@ from bourse.operators import fundamentals as fund_ops
 from bourse.operators import joins, scorers
 from bourse.operators.scorers import snapshot as snaps
 from bourse.plans import fixtures as fx
-from bourse.plans.registry import out, query, sql
+from bourse.plans.registry import ORACLES, out, query, sql
 from bourse.sources import filings as fil
 from bourse.sources import news as news_src
 from bourse.sources import reference as ref
@@ -565,12 +565,12 @@ def score_fundamentals(spark, d):
     return out(scorers.score(snapshot(spark, d), "fundamentals"), 4)
 
 
-def long_sql(period: str = "Annual") -> list[str]:
+def long_sql(period: str = "Annual", snap: str | None = None) -> list[str]:
     arms = [f"SELECT ticker, '{k}' AS agent, signal, score, max_score, CAST(NULL AS DOUBLE) AS confidence FROM ({t}) x" for k, (t, _, _) in SCORER_SQL.items()]
     arms.append("SELECT ticker, 'valuation', signal, NULL, NULL, confidence FROM valuation WHERE signal IS NOT NULL")
     arms.append("SELECT ticker, 'fundamentals', signal, NULL, NULL, confidence FROM fundamentals")
     gap = GAP if period == "Annual" else GAP.replace(EV_SQL, EV_QUARTERLY)
-    return [FU, TH, snap_cte(period), gap, FUNDAMENTALS, "results AS MATERIALIZED (" + " UNION ALL ".join(arms) + ")"]
+    return [FU, TH, snap or snap_cte(period), gap, FUNDAMENTALS, "results AS MATERIALIZED (" + " UNION ALL ".join(arms) + ")"]
 
 
 EV_QUARTERLY = """CASE WHEN coalesce(enterprise_value[1], 0) = 0 OR coalesce(ebitda[1], 0) = 0 THEN 0
@@ -582,6 +582,23 @@ def score_all(spark, d):
     return out(scorers.score_all(snapshot(spark, d)).drop("parts", "company_name"), 4)
 
 
+HEADLINE_TICKER = "'S' || lpad(CAST(CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) + 1 AS {0}), 5, '0')"
+SIDE_SNAP = snap_cte().replace("5 AS insider_score, 2 AS insider_points, 5 AS sentiment_score FROM lists s", f"""
+  coalesce(i.score, 5) AS insider_score, coalesce(i.points, 2) AS insider_points, coalesce(h.score, 5) AS sentiment_score FROM lists s
+  LEFT JOIN ({ORACLES['agg_insider_ratio']}) i ON i.ticker = s.ticker
+  LEFT JOIN (SELECT ticker, CASE WHEN negative > 0.3 * n THEN 3 WHEN negative > 0 THEN 6 ELSE 8 END AS score FROM (
+    SELECT {HEADLINE_TICKER.format('VARCHAR')} AS ticker, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), 'secret|the the|mention|license')) AS negative
+    FROM documents GROUP BY 1) x) h ON h.ticker = s.ticker""")
+
+
+@query("score_side_inputs", sql(long_sql(snap=SIDE_SNAP), "SELECT * FROM results", "score max_score confidence", 4))
+def score_side_inputs(spark, d):
+    """All scorers with insider trades and headlines instead of the neutral values."""
+    titles = fx.table(spark, d, "documents").select(F.expr(HEADLINE_TICKER.format("STRING")).alias("ticker"), F.col("text").alias("title"))
+    snap = snaps.with_side_inputs(snapshot(spark, d), agg.insider_scores(fx.insider_trades(spark, d)), news_src.headline_scores(titles, WORDS))
+    return out(scorers.score_all(snap).drop("parts", "company_name"), 4)
+
+
 @query("score_all_quarterly", sql(long_sql("Quarterly"), "SELECT * FROM results", "score max_score confidence", 4))
 def score_all_quarterly(spark, d):
     return out(scorers.score_all(snapshot(spark, d, "Quarterly")).drop("parts", "company_name"), 4)
