@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourse.functions.rules import Rules
 from bourse.operators.scorers.snapshot import Snap
 
+#: block columns by scorer, per Spark application: they name columns only, so one set serves every snapshot
+_BUILT: dict[str, dict] = {}
+
+
+def _built() -> dict:
+    return _BUILT.setdefault(SparkContext.getOrCreate().applicationId, {})
+
+
 PartsFn = Callable[[Snap, bool], dict[str, Rules]]
 #: block and value names by scorer, filled when its columns are first built
 _NAMES: dict[str, tuple[list[str], list[str]]] = {}
@@ -34,14 +43,18 @@ class Scorer:
     confidence: Callable[[Callable[[str], Column]], Column] | None = None
 
     def part_columns(self, literal: bool, snap: Snap | None = None) -> dict[str, Column]:
-        s = snap or Snap()
+        memo = _built()
+        if (self.key, literal) in memo:
+            return memo[self.key, literal]
+        s = memo.setdefault("snap", snap or Snap())
         parts, values = self.parts(s, literal), self.values(s)
         _NAMES[self.key] = (list(parts), list(values))
         out = {}
         for name, rules in parts.items():
             raw = rules.raw()
             out[f"{self.key}_{name}"] = self.scale[name](raw) if name in self.scale else raw
-        return out | {f"{self.key}_{name}": col for name, col in values.items()}
+        memo[self.key, literal] = out | {f"{self.key}_{name}": col for name, col in values.items()}
+        return memo[self.key, literal]
 
     def reason_columns(self, literal: bool = True) -> dict[str, Column]:
         return {n: r.reasons() for n, r in self.parts(Snap(), literal).items()}
