@@ -99,7 +99,7 @@ _ITEMS = {
 _EBIT = "net + tax + interest"
 _FCF = "cf_operating - cf_investing"
 
-#: fundamentals column -> formula over the short names
+# fixed value: fundamentals column -> formula over the short names
 RATIOS = {
     "return_on_equity": "net / nullif(equity, 0)",
     "operating_margin": "op / nullif(rev, 0)",

@@ -31,7 +31,7 @@ def _parts(s, literal):
                    (high >= n * F.lit(0.5), 2, "high return on capital in half of the periods"),
                    (high > 0, 1, "high return on capital in some periods"),
                    (None, 0, "return on capital never high"))
-            .first(((n >= 3) & (rising >= n * F.lit(0.7)), 2, "pricing power: margins keep improving"),
+            .first(((n >= 3) & (rising >= n * F.lit(0.7)), 2, "gross margin went up most of the time"),
                    ((n >= 3) & (s.mean("gross_margin") > tgm), 1, "good average gross margin"),
                    (n >= 3, 0, "low or falling gross margin"),
                    (None, 0, "not enough gross margin history"))
@@ -48,16 +48,16 @@ def _parts(s, literal):
     sh0, shl = s.x("outstanding_shares"), s.oldest("outstanding_shares")
     owed = (de != 0)
     management = (Rules()
-                  .first((conversion > 1.1, 3, "excellent cash conversion"),
-                         (conversion > 0.9, 2, "good cash conversion"),
-                         (conversion > 0.7, 1, "moderate cash conversion"),
-                         (None, 0, "poor cash conversion"))
-                  .first((owed & (de < tde - tde * 0.4), 3, "conservative debt"),
-                         (owed & (de < tde * 0.4 + tde), 2, "prudent debt"),
-                         (owed & (de < tde * 2.0 + tde), 1, "moderate debt"),
+                  .first((conversion > 1.1, 3, "free cash flow well above net income"),
+                         (conversion > 0.9, 2, "free cash flow about as high as net income"),
+                         (conversion > 0.7, 1, "free cash flow somewhat below net income"),
+                         (None, 0, "free cash flow far below net income"))
+                  .first((owed & (de < tde - tde * 0.4), 3, "debt far below the sector level"),
+                         (owed & (de < tde * 0.4 + tde), 2, "debt near the sector level"),
+                         (owed & (de < tde * 2.0 + tde), 1, "debt above the sector level"),
                          (None, 0, "high or unknown debt"))
-                  .first((cash.between(0.1, 0.25), 2, "prudent cash"),
-                         (((cash >= 0.05) & (cash < 0.1)) | ((cash > 0.25) & (cash <= 0.4)), 1, "acceptable cash"),
+                  .first((cash.between(0.1, 0.25), 2, "cash reserve of a fitting size"),
+                         (((cash >= 0.05) & (cash < 0.1)) | ((cash > 0.25) & (cash <= 0.4)), 1, "cash reserve slightly off"),
                          (None, 0, "too much or too little cash"))
                   .first((None, F.col("insider_points"), "insider activity"))
                   .first(((n >= 3) & (sh0 < shl * 0.95), 2, "share count falling"),

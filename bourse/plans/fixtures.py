@@ -99,10 +99,9 @@ NEWS_CTE = f"""news AS (
 
 
 def articles(spark, sf_dir) -> DataFrame:
-    """Nested articles: the events of one user on one day are one article's insights.
+    """Nested articles, one per event, with two insights: the event's ticker and the market.
 
-    A user with only one event type that day still has insights; articles of
-    users whose id is divisible by 10 carry NULL insights.
+    Articles of users whose id is divisible by 10 carry NULL insights.
     """
     ev = table(spark, sf_dir, "events")
     sent = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in SENTIMENT_OF_EVENT.items()])

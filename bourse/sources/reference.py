@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: the numeric metrics of a sector threshold row
+# fixed value: the numeric metrics of a sector threshold row
 METRICS = [
     "free_cash_flow_per_share", "debt_to_equity", "current_ratio", "book_value_per_share",
     "gross_margin", "return_on_equity", "net_margin", "operating_margin", "price_to_fcf",
