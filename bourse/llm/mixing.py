@@ -15,6 +15,7 @@ sorting a leaf.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,9 +86,9 @@ def budgets(leaves: DataFrame, weights: tuple[Weights, Weights, Weights], share:
     # a node none of whose leaves may be used has no capacity
     usable = F.col("w_domain") * F.col("w_lang") * F.col("w_source") > 0
     tree = tree.withColumn("cap", F.when(usable, F.col("cap")).otherwise(F.lit(0)).cast("decimal(20,0)"))
-    total = leaves.agg(F.floor(F.sum(size) * share[0] / share[1]).cast("decimal(20,0)").alias("budget")).withColumn("root", F.lit(0))
-    # whole sums of families by windows; one row per node is kept on the way down
-    level = tree.withColumn("root", F.lit(0)).join(total, "root")
+    total = leaves.agg(F.sum(size)).first()[0] or 0
+    # one row per leaf all the way; every level shares out its parents' budgets
+    level = tree.withColumns({"root": F.lit(0), "budget": F.lit(Decimal(int(total) * share[0] // share[1])).cast("decimal(20,0)")})
     kept = level
     for depth, name in enumerate(LEVELS):
         parent = ["root", *LEVELS[:depth]]
