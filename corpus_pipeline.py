@@ -36,7 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) per row of the mix."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers of the earlier stages are still alive: a smaller memory of chunks
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=200_000)
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix", mix), ("encode", encode)]
