@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourse.sources.tables import work_folder
+from bourse.session import stored  # noqa: F401  (shared by the operators)
 
 #: rows turned into Python objects at a time, so that an Arrow batch of long texts is never held twice
 STEP = 256
@@ -41,13 +41,6 @@ def pieces(batches: Iterator[pa.RecordBatch], step: int = STEP) -> Iterator[pa.R
             yield b.slice(at, step)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df` marked for broadcast if it has at most `rows` rows (it is counted); else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df
