@@ -1,27 +1,28 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
 Words are runs of characters between ASCII white space, in lower case; a shingle is five words in a row (all
-words of a shorter text) and weighs 1 + ln(its count).  Two texts are linked when the Jaccard similarity of their
-shingle sets is 0.8 or more; classes are the connected components.
+words of a shorter text).  Two texts are linked when the Jaccard similarity of their shingle sets is 0.8 or more;
+classes are the connected components.  Every shingle weighs 1 in the signature, however often its text repeats it:
+then the probability Jaccard similarity that the registers estimate is the one that decides a link.
 
 1. One Arrow pass over the texts gives two 64-bit hashes of the word sequence and the ProbMinHash signature:
    every shingle is a Poisson process whose rate is its weight, arrivals fall on random registers, and each
    register keeps its earliest shingle.  Arrivals are made in rounds up to a time by which all registers are
    filled with high probability (then later ones cannot win, and generation stops); texts with an empty register
-   are repeated with twice the time.  Equal registers estimate the probability Jaccard similarity.
+   are repeated with twice the time.  Equal registers estimate the Jaccard similarity of the sets.
 2. Copies are combined: only the first text of a word sequence goes on.
 3. Texts that agree in all ROWS registers of one of the BANDS bands share a bucket.  In buckets of up to SMALL
    texts every pair is a candidate; in larger ones every text against the bucket's first text.
 4. Candidates are verified exactly, in the order that settles most: first each text against its first partner,
    then all pairs whose ends are not in one class yet (the others cannot change a class).
 5. Larger buckets that still hold several classes are compared block by block: the texts outside the first text's
-   class against all of the bucket.  Pairs whose registers agree in SURE or more (five standard errors below the
-   threshold) are verified on the spot, each pair in one bucket only; only links leave a task.
+   class against all of the bucket.  The comparison is exact: a text that shares none of its rarest shingles with
+   another's rarest can't be linked to it, for all others the common shingles are counted; only links leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -36,7 +37,7 @@ from bourse.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SMALL, SURE, BLOCK = 32, 0.6, 4096
+SMALL, BLOCK = 32, 4096
 #: up to this many ids (8 bytes each) are sent to all tasks
 FEW = 2_000_000
 #: a longer run without white space counts as several words
@@ -169,31 +170,37 @@ def signatures(doc: np.ndarray, s: np.ndarray, weight: np.ndarray, n: int) -> np
     return out
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, registers: bool = False) -> DataFrame:
-    """(id, k1, k2, bands) per row, or (id, shingles, registers); bands and registers are NULL for texts without words."""
-    last = "registers" if registers else "bands"
-    lead = ["shingles"] if registers else ["k1", "k2"]
+def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2, bands) per row; bands are NULL for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            doc, s, count, k1, k2 = shingles(b.column(1).to_pylist())
-            sig = signatures(doc, s, 1 + np.log(count), b.num_rows)
-            if not registers:
-                parts, sig = sig.reshape(b.num_rows, BANDS, ROWS), np.zeros((b.num_rows, BANDS), np.uint64)
-                for r in range(ROWS):
-                    sig = mix(sig * _MULT[0] + parts[:, :, r])
-                sig = mix(sig + np.arange(BANDS, dtype=np.uint64) * _MULT[1])
+            doc, s, _, k1, k2 = shingles(b.column(1).to_pylist())
+            parts = signatures(doc, s, np.ones(len(s)), b.num_rows).reshape(b.num_rows, BANDS, ROWS)
+            sig = np.zeros((b.num_rows, BANDS), np.uint64)
+            for r in range(ROWS):
+                sig = mix(sig * _MULT[0] + parts[:, :, r])
+            sig = mix(sig + np.arange(BANDS, dtype=np.uint64) * _MULT[1])
             have = np.bincount(doc, minlength=b.num_rows) > 0
             values = pa.array([x if ok else None for x, ok in zip(sig.view(np.int64), have, strict=True)], pa.list_(pa.int64()))
-            if registers:
-                at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                first = [pa.array([s[x:y].view(np.int64) for x, y in pairwise(at)], pa.list_(pa.int64()))]
-            else:
-                first = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *first, values], ["id", *lead, last])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), values],
+                                             ["id", "k1", "k2", "bands"])
 
     return docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")).mapInArrow(
-        run, "id bigint, " + ("shingles array<bigint>, " if registers else "k1 bigint, k2 bigint, ") + f"{last} array<bigint>")
+        run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) per row of (id, text)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            doc, s, *_ = shingles(b.column(1).to_pylist())
+            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            sets = pa.array([s[x:y].view(np.int64) for x, y in pairwise(at)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -205,6 +212,51 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+def owners(codes: np.ndarray, n: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the owners sorted by code, where each of the n codes starts and the end)"""
+    return owner[np.argsort(codes, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=n))))
+
+
+def links_between(xs: list[np.ndarray], ys: list[np.ndarray], may: Callable[[int], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j with may(i)[j] whose sets xs[i] and ys[j] are alike), where there are any.
+
+    Sets whose similarity is THRESHOLD or more have a common member among the first n - THRESHOLD n + 1 of each
+    in any one order; in the order used here, rarest first, what most texts share comes last.
+    """
+    sets = [*xs, *ys]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if not len(xs) or not len(ys) or not sizes.any():
+        return
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(values))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((rank[code], owner))
+    code = rank[code][order]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    lead = sizes - np.ceil(THRESHOLD * sizes - 1e-9).astype(np.int64) + 1
+    leading = np.arange(len(code)) - at[owner] < lead[owner]
+    right = owner >= len(xs)
+    mine = owner - len(xs)
+    head, head_at = owners(code[right & leading], len(values), mine[right & leading])
+    full, full_at = owners(code[right], len(values), mine[right])
+    size = sizes[len(xs):]
+    for i in range(len(xs)):
+        n, c = sizes[i], code[at[i]:at[i + 1]]
+        met = [head[head_at[k]:head_at[k + 1]] for k in c[:lead[i]] if head_at[k] < head_at[k + 1]]
+        if not met:
+            continue
+        fits = np.zeros(len(ys), bool)
+        fits[np.concatenate(met)] = True
+        fits &= may(i) & (size >= THRESHOLD * n) & (size * THRESHOLD <= n)
+        if fits.any():
+            both = np.zeros(len(ys), np.int64)
+            for k in c:
+                both[full[full_at[k]:full_at[k + 1]]] += 1
+            if len(near := np.flatnonzero(fits & (both >= THRESHOLD * (n + size - both)))):
+                yield i, near
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts have a Jaccard similarity of THRESHOLD or more."""
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -261,27 +313,23 @@ def block_links(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
         F.ceil(F.col("outside") / BLOCK).cast("int").alias("rows")), "near-open")
     # the (at most BANDS) open buckets of each text
     own = big.groupBy("id").agg(F.array_sort(F.collect_set("g")).alias("gs"))
-    facts = stored(signed(texts.join(own.select("id"), "id", "left_semi"), "id", "text", registers=True).join(own, "id"), "near-facts")
+    facts = stored(shingle_sets(texts.join(own.select("id"), "id", "left_semi")).join(own, "id"), "near-facts")
     spot = F.xxhash64("id", F.lit(11))
-    told = ["id", "label", "gs", "shingles", "registers"]
+    told = ["id", "label", "gs", "shingles"]
     left = big.where("outer").withColumns({"i": F.pmod(spot, F.col("rows")).cast("int"), "j": F.explode(F.expr("sequence(0, blocks - 1)"))})
     right = big.withColumns({"i": F.explode(F.expr("sequence(0, rows - 1)")), "j": F.pmod(spot, F.col("blocks")).cast("int")})
     left, right = (x.select("g", "i", "j", "id", "label").join(facts, "id").select("g", "i", "j", *told).toDF("g", "i", "j", *told) for x in (left, right))
 
     def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        if len(x) and len(y):
-            ids, labs, sig, gs, sets = y["id"].to_numpy(), y["label"].to_numpy(), np.stack(y["registers"].to_numpy()), list(y["gs"]), list(y["shingles"])
-            sizes = np.array([len(s) for s in sets])
-            for i, lab_, mine, s, regs in zip(x["id"], x["label"], x["gs"], x["shingles"], x["registers"], strict=True):
-                fits = (labs != lab_) & (sizes >= THRESHOLD * len(s)) & (sizes * THRESHOLD <= len(s))
-                near = np.flatnonzero(fits)
-                near = near[(sig[near] == regs).sum(1) >= SURE * REGISTERS]
-                for k in near:
-                    # a pair is looked at in the first bucket that both are in
-                    if min(set(mine.tolist()).intersection(gs[k].tolist())) == key[0] and alike(s.view(np.uint64), sets[k].view(np.uint64)):
-                        a.append(i)
-                        b.append(ids[k])
+        ids, labs, gs = y["id"].to_numpy(), y["label"].to_numpy(), list(y["gs"])
+        own, lab_, mine = x["id"].to_numpy(), x["label"].to_numpy(), list(x["gs"])
+        for i, near in links_between(list(x["shingles"]), list(y["shingles"]), lambda i: labs != lab_[i]):
+            for k in near:
+                # a pair is told in the first bucket that both are in
+                if min(set(mine[i].tolist()).intersection(gs[k].tolist())) == key[0]:
+                    a.append(own[i])
+                    b.append(ids[k])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(compare, "a bigint, b bigint")

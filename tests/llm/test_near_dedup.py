@@ -146,3 +146,44 @@ def test_blocks_find_what_the_first_text_does_not_link(spark, monkeypatch):
               if len(shingle_set(texts[a]) & shingle_set(texts[b])) >= 0.8 * len(shingle_set(texts[a]) | shingle_set(texts[b]))}
     # pairs within {1, 2, 3} are one class already
     assert got == {p for p in linked if not set(p) <= {1, 2, 3}} and len(got) > 40
+
+
+def repeated_lines(r, n, base=220, line=20, times=20):
+    """Texts with one half of plain words in common, and each with its own line many times."""
+    common = " ".join(f"c{r.randrange(10 ** 9)}" for _ in range(base))
+    return [common + "\n" + "\n".join([" ".join(f"l{r.randrange(10 ** 9)}" for _ in range(line))] * times) for _ in range(n)]
+
+
+@pytest.mark.parametrize("times", [5, 20])
+def test_changed_repeated_lines_equal_brute_force(spark, times):
+    """How often a differing shingle is repeated says nothing about the sets."""
+    r = random.Random(17)
+    texts = [t for _ in range(40) for t in repeated_lines(r, 2, times=times)]
+    data = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    assert len(set(brute(data))) == 40
+    got = nd.near_dedup(frame(spark, data)).collect()
+    assert sorted(str((x.doc_id, x.class_id, x.class_size)) for x in got) == expected(data)
+
+
+def test_blocks_link_changed_repeated_lines(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SMALL", 3)
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    r = random.Random(18)
+    texts = [" ".join(f"z{r.randrange(10 ** 9)}" for _ in range(100))] + repeated_lines(r, 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = spark.createDataFrame([(1, i, 0, len(texts)) for i in range(len(texts))], "g long, id long, first long, n long")
+    labels = components(spark.createDataFrame([(1, 2)], "a long, b long"))
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in nd.block_links(members, labels, df).collect()}
+    assert got == set(combinations(range(1, 13), 2)) - {(1, 2)}
+
+
+def test_block_links_are_all_alike_pairs():
+    r = np.random.default_rng(4)
+    common = r.integers(0, 1 << 62, 400)
+    sets = [np.unique(np.concatenate((r.choice(common, r.integers(0, 60), False), common[:r.integers(0, 300)]))).astype(np.int64) for _ in range(150)]
+    sets += [np.zeros(0, np.int64), common[:5].copy(), common[:4].copy()]
+    xs, ys = sets[:70] + sets[-3:], sets[50:]
+    may = np.arange(len(ys)) % 7 != 3
+    got = {(i, j) for i, near in nd.links_between(xs, ys, lambda i: may) for j in near.tolist()}
+    want = {(i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if may[j] and nd.alike(np.sort(x), np.sort(y))}
+    assert got == want and len(got) > 100
