@@ -40,8 +40,14 @@ HOLLOW = re.compile(r"(?i)(.)\1*|change.?me|example.*|your.*|todo|none|null|true
 
 SIGN = re.compile(r"(?<![=!<>:+*/|&^%~-])(?::=|=>|[:=])(?![=:/])")
 NAME = re.compile(r"""([A-Za-z_$][\w$.-]{0,80})["'`\]]{0,2}[ \t]*$""")
-TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|([^\s"'`,;#(){}\[\]+]+))""")
+#: a term: a PEM block, also over several lines and as a YAML block; a literal in quotes; a bare word
+TERM = re.compile(r"""[ \t]*(?:(?:[|>][+-]?[ \t]*\r?\n[ \t]*)?["'`]{0,3}(-----BEGIN[ ][A-Z0-9 ]+-----(?:(?!-----)[^"'`])+-----END[ ][A-Z0-9 ]+-----)(?:\\[nr]|\s)*["'`]{0,3}
+    |"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|([^\s"'`,;#(){}\[\]+]+))""", re.VERBOSE)
 JOIN = re.compile(r"""[ \t]*(?:\+|\.(?=[ \t]*["'`]))[ \t]*""")
+#: literals that hold a secret for all their blanks and '://': PEM blocks, URLs with user:password@, values of an Authorization header
+CERTAIN = re.compile(r"\A\s*-----BEGIN |\A(?:Bearer|Basic) +\S+\Z|://[^\s/:@]*:[^\s/@]+@")
+#: what a blank or '://' leaves of the look of other literals; a name that scores 0.8 or more can still reach THRESHOLD
+DAMPED = 0.65
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -64,8 +70,8 @@ def literal_score(value: str) -> float:
     seen, n = Counter(value[:512]), min(len(value), 512)
     bits = -sum(c / n * math.log2(c / n) for c in seen.values())
     look = min(1.0, bits / 3.0)
-    if " " in value or "://" in value:
-        look *= 0.4
+    if (" " in value or "://" in value) and not CERTAIN.search(value):
+        look *= DAMPED
     return look
 
 
@@ -79,7 +85,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         terms, at = [], sign.end()
         while term := TERM.match(text, at):
             group = term.lastindex
-            terms.append((*term.span(group), group < 4))
+            terms.append((*term.span(group), group < 5))
             at = term.end()
             if not (more := JOIN.match(text, at)):
                 break
