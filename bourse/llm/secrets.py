@@ -2,7 +2,8 @@
 
 The lexer reads source and configuration syntax as pairs of a name and an expression: `name = "x"`, `name: x`,
 `"name": "x"`, `name := "x"`, `export NAME=x`, `name => "x"`, where the expression is a chain of quoted literals,
-bare words and names joined by `+` or `.`.  Names used in an expression stand for all literals that were ever
+bare words and names joined by `+` or `.`; between bare words without blanks `+` is a character of the word unless
+a name stands beside it.  Names used in an expression stand for all literals that were ever
 assigned to them, directly or through other names (constant propagation).  A literal is scored by the sensitive
 words in the name it ends up in and by its own look; from THRESHOLD on it is a finding: kind `literal` where it is
 assigned directly, kind `constant` where it came through names.
@@ -38,16 +39,19 @@ KEY_OF = {"api", "access", "secret", "private", "signing", "encryption", "client
 ABOUT = {"id", "name", "url", "uri", "path", "file", "count", "max", "min", "length", "size", "type", "expires", "ttl", "limit", "field", "header"}
 HOLLOW = re.compile(r"(?i)(.)\1*|change.?me|example.*|your.*|todo|none|null|true|false|test|dummy|placeholder|\$\{.*|\$\(.*|<.*>|%.*%|\{\{.*")
 
-SIGN = re.compile(r"(?<![=!<>:+*/|&^%~-])(?::=|=>|[:=])(?![=:/])")
+SIGN = re.compile(r"(?<![=!<>:+*/|&^%~-])(?::=(?!=)|=>(?!=)|=(?!=)|:(?![:=]|//))")
 NAME = re.compile(r"""([A-Za-z_$][\w$.-]{0,80})["'`\]]{0,2}[ \t]*$""")
+#: a character of a bare word; '+' stands within or before a word, and behind it where no other term follows
+WORD = r"""[^\s"'`,;#(){}\[\]+]"""
 #: a term: a PEM block, also over several lines and as a YAML block; a literal in quotes; a bare word
 TERM = re.compile(r"""[ \t]*(?:(?:[|>][+-]?[ \t]*\r?\n[ \t]*)?["'`]{0,3}(-----BEGIN[ ][A-Z0-9 ]+-----(?:(?!-----)[^"'`])+-----END[ ][A-Z0-9 ]+-----)(?:\\[nr]|\s)*["'`]{0,3}
-    |"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|([^\s"'`,;#(){}\[\]+]+))""", re.VERBOSE)
+    |"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`|(\+*{W}+(?:\++{W}+)*(?:\++(?=[ \t]*(?:[\r\n,;#)}\]]|\Z)))?))""".replace("{W}", WORD), re.VERBOSE)
 JOIN = re.compile(r"""[ \t]*(?:\+|\.(?=[ \t]*["'`]))[ \t]*""")
 #: literals that hold a secret for all their blanks and '://': PEM blocks, URLs with user:password@, values of an Authorization header
 CERTAIN = re.compile(r"\A\s*-----BEGIN |\A(?:Bearer|Basic) +\S+\Z|://[^\s/:@]*:[^\s/@]+@")
 #: what a blank or '://' leaves of the look of other literals; a name that scores 0.8 or more can still reach THRESHOLD
 DAMPED = 0.65
+PLUSSED = re.compile(r"[^+]+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -94,6 +98,23 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
             yield name[1], terms
 
 
+def opened(text: str, terms: list[tuple[int, int, bool]], assigned: dict[str, list[int]]) -> Iterator[tuple[int, int, bool]]:
+    """The terms, bare words cut at every '+' that stands beside an assigned name."""
+    for start, end, quoted in terms:
+        if quoted or "+" not in text[start:end]:
+            yield start, end, quoted
+            continue
+        at, last, after_name = start, start, False
+        for part in PLUSSED.finditer(text, start, end):
+            name = part[0] in assigned
+            if name or after_name:
+                if last > at:
+                    yield at, last, False
+                at = part.start()
+            last, after_name = part.end(), name
+        yield at, last if after_name else end, False
+
+
 def lexed(text: str) -> set[Span]:
     """Findings of the lexer."""
     if "=" not in text and ":" not in text:
@@ -102,8 +123,9 @@ def lexed(text: str) -> set[Span]:
     assigned: dict[str, list[int]] = {}
     for i, (name, _) in enumerate(found):
         assigned.setdefault(name, []).append(i)
+    found = [(name, list(opened(text, terms, assigned))) for name, terms in found]
     out: set[Span] = set()
-    for i, (name, terms) in enumerate(found):
+    for i, (name, _) in enumerate(found):
         if not (weight := name_score(name)):
             continue
         # all literals that reach this name; every assignment is opened once
