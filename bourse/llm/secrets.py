@@ -40,7 +40,7 @@ ABOUT = {"id", "name", "url", "uri", "path", "file", "count", "max", "min", "len
 HOLLOW = re.compile(r"(?i)(.)\1*|change.?me|example.*|your.*|todo|none|null|true|false|test|dummy|placeholder|\$\{.*|\$\(.*|<.*>|%.*%|\{\{.*")
 
 SIGN = re.compile(r"(?<![=!<>:+*/|&^%~-])(?::=(?!=)|=>(?!=)|=(?!=)|:(?![:=]|//))")
-NAME = re.compile(r"""([A-Za-z_$][\w$.-]{0,80})["'`\]]{0,2}[ \t]*$""")
+FIRST = re.compile(r"[A-Za-z_$]")
 #: a character of a bare word; '+' stands within or before a word, and behind it where no other term follows
 WORD = r"""[^\s"'`,;#(){}\[\]+]"""
 #: a term: a PEM block, also over several lines and as a YAML block; a literal in quotes; a bare word
@@ -71,7 +71,7 @@ def literal_score(value: str) -> float:
     """1 for what looks random, less for words, blanks and placeholders."""
     if len(value) < 6 or HOLLOW.fullmatch(value):
         return 0.0
-    seen, n = Counter(value[:512]), min(len(value), 512)
+    seen, n = Counter(value), len(value)
     bits = -sum(c / n * math.log2(c / n) for c in seen.values())
     look = min(1.0, bits / 3.0)
     if (" " in value or "://" in value) and not CERTAIN.search(value):
@@ -79,11 +79,26 @@ def literal_score(value: str) -> float:
     return look
 
 
+def name_before(text: str, end: int) -> str | None:
+    """The name before a sign, blanks and closing quotes aside; no sign is passed, so all walks together are linear."""
+    if end and text[end - 1] == "\n":
+        end -= 1
+    while end and text[end - 1] in " \t":
+        end -= 1
+    for _ in range(2):
+        if end and text[end - 1] in "\"'`]":
+            end -= 1
+    start = end
+    while start and ((c := text[start - 1]).isalnum() or c in "_$.-"):
+        start -= 1
+    first = FIRST.search(text, start, end)
+    return text[first.start():end] if first else None
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
     """(name, terms) of every assignment; a term is (start, end, quoted)."""
     for sign in SIGN.finditer(text):
-        start = sign.start()
-        name = NAME.search(text, max(0, start - 96), start)
+        name = name_before(text, sign.start())
         if not name:
             continue
         terms, at = [], sign.end()
@@ -95,7 +110,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
                 break
             at = more.end()
         if terms:
-            yield name[1], terms
+            yield name, terms
 
 
 def opened(text: str, terms: list[tuple[int, int, bool]], assigned: dict[str, list[int]]) -> Iterator[tuple[int, int, bool]]:
@@ -124,6 +139,7 @@ def lexed(text: str) -> set[Span]:
     for i, (name, _) in enumerate(found):
         assigned.setdefault(name, []).append(i)
     found = [(name, list(opened(text, terms, assigned))) for name, terms in found]
+    looks: dict[tuple[int, int], float] = {}
     out: set[Span] = set()
     for i, (name, _) in enumerate(found):
         if not (weight := name_score(name)):
@@ -135,7 +151,9 @@ def lexed(text: str) -> set[Span]:
                 value = text[start:end]
                 # a bare word is a literal only if it can't be a name and has a digit
                 plain = quoted or (value not in assigned and any(c.isdigit() for c in value))
-                if plain and weight * literal_score(value) >= THRESHOLD:
+                if plain and (start, end) not in looks:
+                    looks[start, end] = literal_score(value)
+                if plain and weight * looks[start, end] >= THRESHOLD:
                     out.add(("literal" if direct else "constant", start, end))
             names = {text[a:b] for j in todo for a, b, quoted in found[j][1] if not quoted}
             todo = [j for n in names for j in assigned.get(n, ()) if j not in seen]

@@ -95,3 +95,19 @@ def test_literals_with_blanks_and_urls(text, want):
 ])
 def test_bare_base64(text, want):
     assert spans(text) == want
+
+
+def test_long_literals_names_and_gaps_are_seen_whole():
+    tail = "".join(random.Random(5).choices("abcdefghijkmnpqrstuvwxyz23456789", k=600))
+    blob, name = "A" * 512 + tail, "conf." + "section." * 20 + "key"
+    assert spans(f'secret = "{blob}"') == {("literal", blob)}
+    assert spans(f'{name} = "hunter2-Zq8"\npassword = {name}') == {("constant", "hunter2-Zq8")}
+    assert spans("password" + " " * 300 + '= "hunter2-Zq8"') == {("literal", "hunter2-Zq8")}
+
+
+def test_names_equal_the_plain_pattern():
+    r, name = random.Random(6), re.compile(r"""([A-Za-z_$][\w$.-]*)["'`\]]{0,2}[ \t]*$""")
+    for _ in range(20000):
+        t = "".join(r.choice("ab9_$.-é\"'`] \t\n,") for _ in range(r.randint(0, 9)))
+        m = name.search(t)
+        assert secrets.name_before(t, len(t)) == (m[1] if m else None), t
