@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from bourse.llm import bpe, exact_dedup, knn, mixing, near_dedup, quality, secrets, sharding, token_counts, warc
+from bourse.llm import (
+    bpe,
+    exact_dedup,
+    knn,
+    maxent_lm,
+    mixing,
+    near_dedup,
+    prefix_trie,
+    quality,
+    secrets,
+    sharding,
+    shared_ranking,
+    token_counts,
+    warc,
+)
 from bourse.llm.common import documents, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,4 +91,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_shared_ranking", shared_ranking.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_ranking.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_trie", prefix_trie.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
+@query("op13_lm_scores")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(documents(spark, sf_dir))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
