@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import safe_div
-from bourse.operators.series import open_series, require_daily, running
+from bourse.operators.scan import scanned
+from bourse.operators.series import open_series, running
 
 SLIPPAGE, FEES = 0.001, 0.0
 
@@ -92,29 +93,30 @@ def cumulative(curve: DataFrame, initial_cash: float = 1000.0) -> DataFrame:
     return curve.select("ticker", "date", "ret", ((F.col("equity") / initial_cash - 1.0) * 100.0).alias("cumulative_return"))
 
 
-def equity_sized(sig: DataFrame, initial_cash: float = 1000.0, slippage: float = SLIPPAGE, fees: float = FEES) -> DataFrame:
+def _after(first: dict, then: dict) -> dict:
+    """The matrix of two bars in a row."""
+    return {"_a": then["_a"] * first["_a"] + then["_b"] * first["_c"], "_b": then["_a"] * first["_b"] + then["_b"] * first["_d"],
+            "_c": then["_c"] * first["_a"] + then["_d"] * first["_c"], "_d": then["_c"] * first["_b"] + then["_d"] * first["_d"]}
+
+
+def equity_sized(sig: DataFrame, initial_cash: float = 1000.0, slippage: float = SLIPPAGE, fees: float = FEES,
+                 chunk: int | None = None) -> DataFrame:
     """Portfolio value when each signal trades only a `confidence` share.
 
     An entry spends that share of the cash, an exit sells that share of the
-    holding; the state depends on all earlier bars, so one ticker's daily bars
-    (a bounded group, see `series`) are folded in order by one expression.
+    holding.  Either is linear in (cash, shares), so a bar is a 2x2 matrix and the
+    state after it the product of all matrices up to it: a scan, on series of any
+    length.  A bar without a positive price trades nothing.
     """
     buy, sell = (1.0 + slippage) * (1.0 + fees), (1.0 - slippage) * (1.0 - fees)
-    bar = F.struct("date", "close", "entry_signal", "exit_signal", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    bars = require_daily(sig).groupBy("ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    state = "struct<date:date,cash:double,shares:double,equity:double>"
-
-    def step(done, b):
-        old = F.element_at(done, -1)
-        cash, shares, close, size = old["cash"], old["shares"], b["close"], b["confidence"]
-        enter = F.coalesce(b["entry_signal"], F.lit(False)) & ~F.coalesce(b["exit_signal"], F.lit(False))
-        leave = F.coalesce(b["exit_signal"], F.lit(False)) & ~F.coalesce(b["entry_signal"], F.lit(False))
-        cash_now = F.when(enter, cash - cash * size).when(leave, cash + shares * size * close * sell).otherwise(cash)
-        shares_now = F.when(enter, shares + cash * size / (close * buy)).when(leave, shares - shares * size).otherwise(shares)
-        return F.array_append(done, F.struct(b["date"].alias("date"), cash_now.alias("cash"), shares_now.alias("shares"),
-                                             (cash_now + shares_now * close).alias("equity")))
-
-    first = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(float(initial_cash)).alias("cash"),
-                             F.lit(0.0).alias("shares"), F.lit(None).cast("double").alias("equity")))
-    folded = bars.select("ticker", F.explode(F.slice(F.aggregate("bars", first.cast(f"array<{state}>"), step), 2, F.size("bars"))).alias("s"))
-    return folded.select("ticker", "s.*")
+    entry, leave = (F.coalesce(F.col(c), F.lit(False)) for c in ("entry_signal", "exit_signal"))
+    priced = F.coalesce(F.col("close") > 0, F.lit(False))
+    size, none = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0)
+    enters, leaves = entry & ~leave & priced, leave & ~entry & priced
+    close = F.col("close").cast("double")
+    bar = {"_a": F.when(enters, 1.0 - size).otherwise(1.0), "_b": F.when(leaves, size * close * sell).otherwise(none),
+           "_c": F.when(enters, safe_div(size, close * buy)).otherwise(none), "_d": F.when(leaves, 1.0 - size).otherwise(1.0)}
+    identity = {"_a": 1.0, "_b": 0.0, "_c": 0.0, "_d": 1.0}
+    done = scanned(sig.select("ticker", "date", "close", "entry_signal", "exit_signal", "confidence"), bar, _after, identity, chunk=chunk)
+    cash, shares = F.col("_a") * float(initial_cash), F.col("_c") * float(initial_cash)
+    return done.select("ticker", "date", cash.alias("cash"), shares.alias("shares"), (cash + shares * F.col("close")).alias("equity"))

@@ -191,6 +191,19 @@ INDICATORS: dict[str, Callable] = {
 def add_indicators(bars: DataFrame, names: Iterable[str], key: str = "ticker", time: str = "date",
                    chunk_rows: int | None = None) -> DataFrame:
     """Add the named indicator columns to a bar table."""
+    return add_to_series(lambda memory: open_series(bars, memory, key, time, chunk_rows), bars, names)
+
+
+def memory_of(names: Iterable[str]) -> int:
+    """How many rows the named indicators look back on."""
+    lv = Levels()
+    for n in dict.fromkeys(names):
+        INDICATORS[n](lv, n)
+    return lv.memory
+
+
+def add_to_series(opened: Callable[[int], Series], bars: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The same on a series that `opened` lays out, or has laid out, for a number of rows to look back on."""
     names = list(dict.fromkeys(names))
     unknown = [n for n in names if n not in INDICATORS]
     if unknown:
@@ -200,7 +213,7 @@ def add_indicators(bars: DataFrame, names: Iterable[str], key: str = "ticker", t
     lv = Levels()
     for n in names:
         INDICATORS[n](lv, n)
-    s = open_series(bars, lv.memory, key, time, chunk_rows)
+    s = opened(lv.memory)
     w = s.w()
     s = s.with_columns({n: F.lag(c).over(w) for n, c in lv.lag.items()})
     s = s.with_columns(lv.base)

@@ -81,7 +81,7 @@ def bt_equity_ruin(spark, d):
 CONF = "least(abs(coalesce(gap_pct, 0)) / 5, 1)"
 
 
-@query("bt_equity_sized", sql([B, fx.CALM_CTE, PREDS, SIG, f"""so AS MATERIALIZED (SELECT *, {CONF} AS c, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig),
+SIZED = f"""so AS MATERIALIZED (SELECT *, {CONF} AS c, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig),
 fold(ticker, date, rn, cash, shares, equity) AS (
   SELECT ticker, date, rn, CASE WHEN entry_signal THEN 1000 * (1 - c) ELSE CAST(1000 AS DOUBLE) END, CASE WHEN entry_signal THEN 1000 * c / (close * 1.001) ELSE CAST(0 AS DOUBLE) END,
     CASE WHEN entry_signal THEN 1000 * (1 - c) + 1000 * c / (close * 1.001) * close ELSE CAST(1000 AS DOUBLE) END FROM so WHERE rn = 1
@@ -90,8 +90,10 @@ fold(ticker, date, rn, cash, shares, equity) AS (
     SELECT s.ticker, s.date, s.rn, s.close,
       CASE WHEN s.entry_signal THEN f.cash * (1 - s.c) WHEN s.exit_signal THEN f.cash + f.shares * s.c * s.close * 0.999 ELSE f.cash END AS cash,
       CASE WHEN s.entry_signal THEN f.shares + f.cash * s.c / (s.close * 1.001) WHEN s.exit_signal THEN f.shares * (1 - s.c) ELSE f.shares END AS shares
-    FROM fold f JOIN so s ON s.ticker = f.ticker AND s.rn = f.rn + 1) x)"""],
-                              "SELECT ticker, date, cash, shares, equity FROM fold", "cash shares equity", 4))
+    FROM fold f JOIN so s ON s.ticker = f.ticker AND s.rn = f.rn + 1) x)"""
+
+
+@query("bt_equity_sized", sql([B, fx.CALM_CTE, PREDS, SIG, SIZED], "SELECT ticker, date, cash, shares, equity FROM fold", "cash shares equity", 4))
 def bt_equity_sized(spark, d):
     sig = bt.signals(predictions(spark, d), ENTRY, EXIT).withColumn("confidence", F.expr(CONF))
     return out(bt.equity_sized(sig), 4)
@@ -169,9 +171,12 @@ HOUR_CALM = "calm AS (SELECT ticker, date, 100 + close AS close FROM bars)"
 HOUR_CURVE = [fx.TICKS_CTE, HOURLY, HOUR_CALM, PREDS, SIG, FOLD]
 
 
+def hourly_predictions(spark, d):
+    return bt.sma_predictions(bar_src.resample(fx.ticks(spark, d), "hour").withColumn("close", F.col("close") + 100))
+
+
 def hourly_curve(spark, d):
-    bars = bar_src.resample(fx.ticks(spark, d), "hour").withColumn("close", F.col("close") + 100)
-    return bt.run(bt.sma_predictions(bars), ENTRY, EXIT)
+    return bt.run(hourly_predictions(spark, d), ENTRY, EXIT)
 
 
 @query("bt_hourly", sql(HOUR_CURVE, "SELECT ticker, date, position, opened, closed, ret, ln(equity) AS log_equity FROM curve", "ret log_equity"))
@@ -180,6 +185,15 @@ def bt_hourly(spark, d):
     return out(c)
 
 
+@query("bt_equity_sized_hourly", sql([fx.TICKS_CTE, HOURLY, HOUR_CALM, PREDS, SIG, SIZED],
+                                     "SELECT ticker, date, ln(equity) AS log_equity, cash / equity AS cash_share FROM fold", "log_equity cash_share"))
+def bt_equity_sized_hourly(spark, d):
+    """Sized orders on hourly bars, in chunks of 1,024 bars."""
+    sig = bt.signals(hourly_predictions(spark, d), ENTRY, EXIT).withColumn("confidence", F.expr(CONF))
+    e = bt.equity_sized(sig, chunk=1024)
+    return out(e.select("ticker", F.col("date").cast("timestamp_ntz").alias("date"), F.ln("equity").alias("log_equity"), (F.col("cash") / F.col("equity")).alias("cash_share")))
+
+
 # ------------------------------------------------------------------ risk
 RF = 4.0
 RFP = f"(pow(1 + {RF} / 100, 1.0 / 252) - 1)"

@@ -13,7 +13,7 @@ from bourse.operators import regimes, windows
 from bourse.operators.features import feature_table
 from bourse.operators.indicators import add_indicators
 from bourse.plans import fixtures as fx
-from bourse.plans.price_queries import DAILY, STOCH14, W, sroll
+from bourse.plans.price_queries import DAILY, HOURLY, STOCH14, W, sroll
 from bourse.plans.registry import ORACLES, out, query, sql
 from bourse.sources import bars as bar_src
 from bourse.sources import news as news_src
@@ -205,6 +205,73 @@ def reg_decode_given(spark, d):
     return regimes.decode(regimes.features(fx.bars(spark, d)), _given_model())
 
 
+@query("reg_decode_hourly", sql([fx.TICKS_CTE, HOURLY, REG, *_viterbi_sql()], """
+SELECT o.ticker, o.date, p.state, (['Bearish', 'Neutral', 'Bullish'])[p.state + 1] AS regime FROM path p JOIN obs o ON o.ticker = p.ticker AND o.rn = p.rn"""))
+def reg_decode_hourly(spark, d):
+    """The same model on hourly bars, in chunks of 50 bars whose products carry the path on."""
+    feats = regimes.features(bar_src.resample(fx.ticks(spark, d), "hour"))
+    return regimes.decode(feats, _given_model(), chunk=50).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+def _round_sql() -> list[str]:
+    """One round of expectation-maximisation from the given model, bar by bar."""
+    m = _given_model()
+    names, ks = ("ret", "rng", "volume"), range(3)
+    dens = lambda k: " + ".join(f"-0.5 * pow(({c} - {m.means[k][i]}) / {math.sqrt(m.covs[k][i][i])}, 2) - ln({math.sqrt(m.covs[k][i][i] * 2 * math.pi)!r})" for i, c in enumerate(names))
+    move = lambda k: " + ".join(f"f.a{j} * {m.trans[j][k]}" for j in ks)
+    back = lambda j: " + ".join(f"{m.trans[j][k]} * n.b{k} * w.e{k}" for k in ks)
+    per = lambda text: ", ".join(text.format(k=k) for k in ks)
+    scaled = lambda a: f"{', '.join(f'{a}{k} / ({a}0 + {a}1 + {a}2)' for k in ks)}"
+    means = ", ".join(f"sum(g{k} * {c}) / sum(g{k}) AS m{k}_{c}" for k in ks for c in names)
+    covs = lambda k: ", ".join(f"sum(g{k} * {a} * {b}) / sum(g{k}) - any_value(m{k}_{a}) * any_value(m{k}_{b}){' + 1e-6' if a == b else ''} AS cov_{a}_{b}"
+                               for i, a in enumerate(names) for b in names[:i + 1])
+    state = lambda k: (f"SELECT {k} AS state, sum(g{k}) FILTER (rn = 1) / count(*) FILTER (rn = 1) AS start, "
+                       + ", ".join(f"any_value(x{k}{j}) / any_value(x{k}0 + x{k}1 + x{k}2) AS to_{j}" for j in ks)
+                       + ", " + ", ".join(f"any_value(m{k}_{c}) AS mean_{c}" for c in names) + f", {covs(k)}, any_value(ll) AS log_likelihood FROM gam, mom, tra, lik")
+    return [f"""ob AS (SELECT ticker, date, ret, rng, volume, row_number() {W} AS rn, {', '.join(f'{dens(k)} AS d{k}' for k in ks)} FROM reg),
+wt AS MATERIALIZED (SELECT *, greatest(d0, d1, d2) AS top, {per('exp(d{k} - greatest(d0, d1, d2)) AS b{k}')} FROM ob),
+fw(ticker, rn, s, a0, a1, a2) AS (
+  SELECT ticker, rn, (b0 + b1 + b2) / 3, {scaled('b')} FROM wt WHERE rn = 1
+  UNION ALL SELECT ticker, rn, q0 + q1 + q2, {scaled('q')} FROM (
+    SELECT n.ticker, n.rn, {', '.join(f'({move(k)}) * n.b{k} AS q{k}' for k in ks)} FROM fw f JOIN wt n ON n.ticker = f.ticker AND n.rn = f.rn + 1) z),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bw(ticker, rn, e0, e1, e2) AS (
+  SELECT ticker, max(rn), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) FROM wt GROUP BY ticker
+  UNION ALL SELECT ticker, rn, {scaled('q')} FROM (
+    SELECT n.ticker, n.rn - 1 AS rn, {', '.join(f'{back(j)} AS q{j}' for j in ks)} FROM bw w JOIN wt n ON n.ticker = w.ticker AND n.rn = w.rn WHERE n.rn > 1) z),
+bm AS MATERIALIZED (SELECT * FROM bw),
+gam AS (SELECT o.*, {per('f.a{k} * w.e{k} / (f.a0 * w.e0 + f.a1 * w.e1 + f.a2 * w.e2) AS g{k}')}
+  FROM wt o JOIN fm f ON f.ticker = o.ticker AND f.rn = o.rn JOIN bm w ON w.ticker = o.ticker AND w.rn = o.rn),
+pairs AS (SELECT {', '.join(f'f.a{j} * {m.trans[j][k]} * n.b{k} * w.e{k} AS y{j}{k}' for j in ks for k in ks)}
+  FROM fm f JOIN wt n ON n.ticker = f.ticker AND n.rn = f.rn + 1 JOIN bm w ON w.ticker = n.ticker AND w.rn = n.rn),
+tra AS (SELECT {', '.join(f"sum(y{j}{k} / ({' + '.join(f'y{a}{b}' for a in ks for b in ks)})) AS x{j}{k}" for j in ks for k in ks)} FROM pairs),
+mom AS (SELECT {means} FROM gam),
+lik AS (SELECT sum(ln(f.s) + o.top) AS ll FROM fm f JOIN wt o ON o.ticker = f.ticker AND o.rn = f.rn)""", " UNION ALL ".join(state(k) for k in ks)]
+
+
+ROUND = _round_sql()
+ROUND_COLUMNS = "start to_0 to_1 to_2 mean_ret mean_rng mean_volume cov_ret_ret cov_rng_ret cov_rng_rng cov_volume_ret cov_volume_rng cov_volume_volume log_likelihood"
+
+
+ROUND_DIGITS = dict(cov_rng_rng=1, cov_volume_rng=2, mean_rng=4, cov_rng_ret=3, log_likelihood=3)
+
+
+def _round(spark, feats):
+    return out(regimes.parameter_table(spark, regimes.one_round(feats, _given_model())).toDF("state", *ROUND_COLUMNS.split()), 5, **ROUND_DIGITS)
+
+
+@query("reg_fit_round", sql([B, REG, ROUND[0]], ROUND[1], ROUND_COLUMNS, 5, **ROUND_DIGITS))
+def reg_fit_round(spark, d):
+    """One round of the fit from the given model, number by number."""
+    return _round(spark, regimes.features(fx.bars(spark, d)))
+
+
+@query("reg_fit_round_hourly", sql([fx.TICKS_CTE, HOURLY, REG, ROUND[0]], ROUND[1], ROUND_COLUMNS, 5, **ROUND_DIGITS))
+def reg_fit_round_hourly(spark, d):
+    """The same on hourly bars: runs of a ticker in tasks of their own."""
+    return _round(spark, regimes.features(bar_src.resample(fx.ticks(spark, d), "hour")))
+
+
 @query("reg_decode_stored", ORACLES["reg_decode_given"])
 def reg_decode_stored(spark, d):
     """The same model stored as a table, read again and applied."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import rnd
@@ -10,7 +12,7 @@ from bourse.operators import calendar as cal
 from bourse.operators import joins, windows
 from bourse.operators.backtest import sma_predictions
 from bourse.operators.features import feature_table
-from bourse.operators.indicators import INDICATORS, add_indicators
+from bourse.operators.indicators import INDICATORS, add_indicators, add_to_series, memory_of
 from bourse.plans import fixtures as fx
 from bourse.plans.registry import ORACLES, out, query, sql, sql_round
 from bourse.sources import bars as bar_src
@@ -135,6 +137,39 @@ def snk_table_append(spark, d):
             .agg(F.count(F.lit(1)).alias("n"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date")))
 
 
+HOURLY = """bars AS MATERIALIZED (
+  SELECT ticker, make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS date,
+         arg_min(px, struct_pack(a := ts, b := id)) AS open, max(px) AS high, min(px) AS low,
+         arg_max(px, struct_pack(a := ts, b := id)) AS close, sum(size) AS volume
+  FROM ticks GROUP BY ALL)"""
+
+LOADED = """SELECT CAST(year(date) AS INTEGER) AS "Year", ticker AS "Ticker", count(*) AS n, sum(close + CASE WHEN {late} THEN 1 ELSE 0 END) AS total
+FROM bars GROUP BY ALL"""
+
+
+def _load_twice(spark, d, replace):
+    """Three overlapping loads, the last one a repeat: prices of the later ones are higher by 1."""
+    path = tables.work_folder(spark, "loads")
+    b = fx.bars(spark, d)
+    late = b.where("date >= '1996-07-01'").withColumn("close", F.col("close") + 1)
+    tables.append_bars(b.where("date < '1998-01-01'"), path, replace=replace)
+    for _ in range(2):
+        tables.append_bars(late.unionByName(late.where("ticker = 'Brand#11'")), path, replace=replace)
+    return out(tables.scan_table(spark, path).groupBy("Year", "Ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("Close").alias("total")), 4)
+
+
+@query("snk_table_append_twice", sql(B, LOADED.format(late="date >= DATE '1998-01-01'"), "total", 4))
+def snk_table_append_twice(spark, d):
+    """A key that is stored keeps its row."""
+    return _load_twice(spark, d, False)
+
+
+@query("snk_table_replace", sql(B, LOADED.format(late="date >= DATE '1996-07-01'"), "total", 4))
+def snk_table_replace(spark, d):
+    """A key that is stored gets the new row."""
+    return _load_twice(spark, d, True)
+
+
 @query("src_table_scan", sql(B, STORED_SQL, "Open High Low Close Volume"))
 def src_table_scan(spark, d):
     path = tables.work_folder(spark, "scan")
@@ -142,6 +177,37 @@ def src_table_scan(spark, d):
     return out(tables.scan_table(spark, path).select(*tables.STORED))
 
 
+def bucketed(spark, bars, memory=0, chunk_rows=None):
+    """The name of a bucketed table of bars below the shared folder."""
+    name = f"bars_{uuid.uuid4().hex}"
+    tables.save_bucketed(bars, name, 16, tables.work_folder(spark, "bucketed"), memory, chunk_rows)
+    return name
+
+
+BUCKETED = ["z_score", "b_percent", "volume_momentum"]
+BUCKETED_SQL = f"""SELECT ticker, date, (close - ({sroll('avg', 'close', 50)})) / nullif({sroll('stddev_samp', 'close', 50)}, 0) AS z_score,
+    (close - (({sroll('avg', 'close', 20)}) - 2 * ({sroll('stddev_samp', 'close', 20)}))) / nullif(4 * ({sroll('stddev_samp', 'close', 20)}), 0) AS b_percent,
+    volume / nullif({sroll('avg', 'volume', 21)}, 0) AS volume_momentum FROM bars"""
+
+
+def on_bucketed(spark, name):
+    """Indicators of a bucketed table: no exchange, whatever its layout."""
+    s = tables.bucketed_series(spark, name)
+    return add_to_series(lambda memory: s, s.df, BUCKETED).select("ticker", "date", *BUCKETED)
+
+
+@query("src_table_bucketed", sql([B], BUCKETED_SQL, " ".join(BUCKETED), 4))
+def src_table_bucketed(spark, d):
+    return out(on_bucketed(spark, bucketed(spark, fx.bars(spark, d))), 4)
+
+
+@query("src_table_bucketed_hourly", sql([fx.TICKS_CTE, HOURLY], BUCKETED_SQL, " ".join(BUCKETED), 4))
+def src_table_bucketed_hourly(spark, d):
+    """Hourly bars in chunks of 200: the bars of one ticker lie in many buckets."""
+    name = bucketed(spark, bar_src.resample(fx.ticks(spark, d), "hour"), memory_of(BUCKETED), 200)
+    return out(on_bucketed(spark, name).withColumn("date", F.col("date").cast("timestamp_ntz")), 4)
+
+
 @query("snk_table_clone", sql(B, STORED_SQL, "Open High Low Close Volume"))
 def snk_table_clone(spark, d):
     source, target = tables.work_folder(spark, "source"), tables.work_folder(spark, "clone")
@@ -308,11 +374,6 @@ adj(ticker, date, rn, num, den) AS (
   SELECT o.ticker, o.date, o.rn, o.close + (1 - 2.0 / 21) * a.num, 1 + (1 - 2.0 / 21) * a.den
   FROM adj a JOIN ord o ON o.ticker = a.ticker AND o.rn = a.rn + 1)"""])
 
-HOURLY = """bars AS MATERIALIZED (
-  SELECT ticker, make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS date,
-         arg_min(px, struct_pack(a := ts, b := id)) AS open, max(px) AS high, min(px) AS low,
-         arg_max(px, struct_pack(a := ts, b := id)) AS close, sum(size) AS volume
-  FROM ticks GROUP BY ALL)"""
 
 
 @query("ind_intraday_chunked", sql([fx.TICKS_CTE, HOURLY, RET, ema_cte([20])], f"""

@@ -51,6 +51,34 @@ def src_filings_json(spark, d):
                                 *[F.col(f"`{c}`") for c in fil.value_columns(df)])), 4)
 
 
+def undeclared(spark, d):
+    """Filings with a section and an item that no schema declares, and some texts that cannot be parsed."""
+    f = fx.filings_json(spark, d)
+    body = F.expr("substring(financials, 2)")
+    more = F.concat(F.lit('{"comprehensive_income":{"other_income":{"value":'), (F.col("fiscal_year") * 2).cast("string"), F.lit(',"unit":"EUR"},"note":{"unit":"none"}},'), body)
+    return f.withColumn("financials", F.when(F.col("ticker") == "Brand#13", F.lit("{broken")).otherwise(more))
+
+
+ITEM_ROWS = " UNION ALL ".join(
+    [f"SELECT ticker, fiscal_year, fiscal_period, '{sec}' AS section, '{i}' AS item, {i} AS value, 'USD' AS unit FROM statements WHERE ticker <> 'Brand#13'"
+     for sec, items in fx.SECTIONS.items() for i in items]
+    + ["SELECT ticker, fiscal_year, fiscal_period, 'comprehensive_income', 'other_income', fiscal_year * 2, 'EUR' FROM statements WHERE ticker <> 'Brand#13'",
+       "SELECT ticker, fiscal_year, fiscal_period, 'comprehensive_income', 'note', NULL, 'none' FROM statements WHERE ticker <> 'Brand#13'"])
+
+
+@query("src_filings_items", sql(ST, ITEM_ROWS, "value", 4))
+def src_filings_items(spark, d):
+    """Every item of every filing, declared or not."""
+    return out(fil.filing_items(undeclared(spark, d)).select("ticker", "fiscal_year", "fiscal_period", "section", "item", "value", "unit"), 4)
+
+
+@query("src_filings_flat", sql(ST, f"SELECT ticker, fiscal_year, fiscal_period, CAST(fiscal_year * 2 AS DOUBLE) AS other_income, CAST(NULL AS DOUBLE) AS note, {', '.join(fx.ITEMS)} FROM statements WHERE ticker <> 'Brand#13'",
+                               ALL_ITEMS + " other_income", 4))
+def src_filings_flat(spark, d):
+    """The flat form with a column for every item that occurs."""
+    return out(_short(fil.flat_items(fil.filing_items(undeclared(spark, d)), ["ticker", "fiscal_year", "fiscal_period"])), 4)
+
+
 @query("join_flat_items", sql(ST, "SELECT ticker, cik, company_name, fiscal_year, fiscal_period, end_date, revenues, net_income_loss, assets FROM statements",
                               "revenues net_income_loss assets", 4))
 def join_flat_items(spark, d):

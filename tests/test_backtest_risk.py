@@ -64,10 +64,44 @@ def test_trades_account_for_the_whole_result(curve):
     assert (t[t.status == "Closed"].exit_date > t[t.status == "Closed"].entry_date).all()
 
 
-def test_sized_needs_daily_series(spark):
-    df = spark.createDataFrame(price_frame({"A": 5})).withColumns({"entry_signal": F.lit(False), "exit_signal": F.lit(False), "confidence": F.lit(1.0)})
-    with pytest.raises(ValueError):
-        bt.equity_sized(df)
+def sized_loop(pdf):
+    out = []
+    for t, g in pdf.sort_values("date").groupby("ticker"):
+        cash, shares = 500.0, 0.0
+        for r in g.itertuples():
+            if r.entry_signal and not r.exit_signal:
+                spent = cash * r.confidence
+                cash, shares = cash - spent, shares + spent / (r.close * (1 + SLIP) * (1 + FEE))
+            elif r.exit_signal and not r.entry_signal:
+                sold = shares * r.confidence
+                cash, shares = cash + sold * r.close * (1 - SLIP) * (1 - FEE), shares - sold
+            out.append((t, r.date, cash, shares, cash + shares * r.close))
+    return pd.DataFrame(out, columns=["ticker", "date", "cash", "shares", "equity"])
+
+
+@pytest.mark.parametrize("chunk", [None, 7, 50])
+@pytest.mark.parametrize("freq", ["D", "h"])
+def test_sized_equals_a_loop_on_any_series(spark, freq, chunk):
+    pdf = price_frame({"A": 300, "B": 60, "C": 1}, seed=5, freq=freq)
+    rng = np.random.default_rng(1)
+    pdf["entry_signal"], pdf["exit_signal"], pdf["confidence"] = rng.random(len(pdf)) < 0.4, rng.random(len(pdf)) < 0.4, rng.random(len(pdf))
+    df = daily(spark, pdf) if freq == "D" else spark.createDataFrame(pdf)
+    got, want = ordered(bt.equity_sized(df, 500.0, SLIP, FEE, chunk=chunk)), sized_loop(pdf).sort_values(["ticker", "date"], ignore_index=True)
+    for c in ("cash", "shares", "equity"):
+        close_to(got[c], want[c], 1e-9)
+
+
+def test_sized_folds_no_arrays(pred):
+    plan = bt.equity_sized(bt.signals(pred, E, X).withColumn("confidence", F.lit(0.5)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan
+
+
+def test_sized_orders_need_a_price(spark):
+    kind = "ticker string, date date, close double, entry_signal boolean, exit_signal boolean, confidence double"
+    import datetime as dt
+    df = spark.createDataFrame([("a", dt.date(2001, 1, i + 1), c, True, False, 0.5) for i, c in enumerate([0.0, None, 10.0])], kind)
+    got = bt.equity_sized(df, slippage=0.0, fees=0.0).orderBy("date").collect()
+    assert [(r.cash, r.shares, r.equity) for r in got] == [(1000.0, 0.0, 1000.0), (1000.0, 0.0, None), (500.0, 50.0, 1000.0)]
 
 
 def test_metrics_against_numpy(curve):

@@ -78,10 +78,10 @@ def _paths(x, m):
         yield path, p
 
 
-def test_forward_backward_and_viterbi_against_all_paths():
+def test_forward_backward_against_all_paths():
     m = _model()
     x = np.random.default_rng(1).normal(size=(6, 3))
-    ll, g, xi = rg.forward_backward(x, m)
+    ll, g, xi = rg.forward_backward(rg.Sequences(x, np.array([6]), np.array([True])), m)
     allp = list(_paths(x, m))
     total = np.logaddexp.reduce([p for _, p in allp])
     assert math.isclose(ll, total, rel_tol=1e-10)
@@ -95,7 +95,64 @@ def test_forward_backward_and_viterbi_against_all_paths():
             tr[a, b] += e
     close_to(g, w, 1e-9)
     close_to(xi, tr, 1e-9)
-    assert tuple(rg.viterbi(x, m)) == max(allp, key=lambda v: v[1])[0]
+
+
+def _bar_by_bar(x, m):
+    """(log-likelihood, state weights, transition weights) of one sequence, one bar after the other."""
+    logb = rg._log_density(x, m)
+    top = logb.max(axis=1, keepdims=True)
+    b, n = np.exp(logb - top), len(x)
+    alpha, scale, beta, xi = np.empty((n, 3)), np.empty(n), np.ones((n, 3)), np.zeros((3, 3))
+    for t in range(n):
+        a = (alpha[t - 1] @ m.trans if t else m.start) * b[t]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    for t in range(n - 2, -1, -1):
+        w = b[t + 1] * beta[t + 1] / scale[t + 1]
+        xi += m.trans * np.outer(alpha[t], w)
+        beta[t] = m.trans @ w
+    return np.log(scale).sum() + top.sum(), alpha * beta, xi
+
+
+def test_runs_of_one_series_carry_over():
+    """Runs with entry and leave weights give what the whole series gives."""
+    m, x = _model(4), np.random.default_rng(2).normal(size=(150, 3))
+    want = _bar_by_bar(x, m)
+    cut = rg.Sequences(x, np.array([40, 1, 64, 45]), np.array([True, False, False, False]))
+    p = rg.run_products(cut, m)
+    entry, leave = np.full((4, 3), 1 / 3), np.ones((4, 3))
+    for i in range(1, 4):
+        entry[i] = entry[i - 1] @ p[i - 1]
+    for i in (2, 1, 0):
+        leave[i] = p[i + 1] @ leave[i + 1]
+    ll, g, xi = rg.forward_backward(cut, m, entry, leave)
+    assert math.isclose(ll, want[0], rel_tol=1e-10)
+    close_to(g, want[1], 1e-9)
+    close_to(xi, want[2], 1e-9)
+
+
+def test_decoded_path_is_the_best_of_all(spark):
+    import datetime as dt
+    m = _model(3)
+    x = np.random.default_rng(5).normal(size=(13, 3))
+    best = lambda part: max(_paths(part, m), key=lambda v: v[1])[0]
+    want = {"A": best(x[:7]), "B": best(x[7:12]), "C": best(x[12:])}
+    rows, at = [], 0
+    for t, n in (("A", 7), ("B", 5), ("C", 1)):
+        rows += [(t, dt.datetime(2001, 1, 1, i), *map(float, x[at + i])) for i in range(n)]
+        at += n
+    hourly = spark.createDataFrame(rows, "ticker string, date timestamp, ret double, range double, volume double")
+    by_day = hourly.withColumn("date", F.expr("date_add(date'2001-01-01', hour(date))"))
+    for df, chunk in ((by_day, None), (by_day, 2), (hourly, None), (hourly, 3)):
+        got = rg.decode(df, m, chunk=chunk).orderBy("ticker", "date").collect()
+        assert {t: tuple(r.state for r in got if r.ticker == t) for t in want} == want
+        assert {r.regime for r in got if r.state == 0} <= {m.labels()[0]}
+
+
+def test_missing_features_fit_all_states_alike(spark):
+    import datetime as dt
+    df = spark.createDataFrame([("A", dt.date(2001, 1, 1), None, 1.0, 1.0)], "ticker string, date date, ret double, range double, volume double")
+    assert rg.decode(df, _model()).first().state == 0 and rg.decode(df.where("false"), _model()).count() == 0
 
 
 def test_fit_never_loses_likelihood_and_orders_regimes(spark):
@@ -110,25 +167,28 @@ def test_fit_never_loses_likelihood_and_orders_regimes(spark):
     assert d.count() == feats.count() and set(d.toPandas().regime) <= set(rg.REGIMES)
 
 
-def test_fit_refuses_intraday_series(spark):
-    feats = spark.createDataFrame(price_frame({"A": 5}, freq="h")).select("ticker", "date", F.lit(0.0).alias("ret"), F.lit(1.0).alias("range"), "volume")
-    with pytest.raises(ValueError):
-        rg.fit(feats)
+def test_hourly_series_are_fitted_alike(spark, monkeypatch):
+    """Cut into runs of 20 bars, hourly bars give the model of the same bars by day."""
+    monkeypatch.setattr(rg, "RUN", 20)
+    pdf = price_frame({"A": 150, "B": 80}, seed=9)
+    by_day = rg.features(daily(spark, pdf))
+    hourly = by_day.withColumn("date", F.expr("timestamp'2001-01-01 00:00:00' + make_interval(0, 0, 0, 0, datediff(date, date'2001-01-01'))"))
+    a, b = rg.fit(by_day, max_rounds=4), rg.fit(hourly, max_rounds=4)
+    for name in ("start", "trans", "means", "covs"):
+        close_to(getattr(a, name), getattr(b, name), 1e-6)
+    assert math.isclose(a.log_likelihood, b.log_likelihood, rel_tol=1e-9)
 
 
-def test_sequences_stepped_together_equal_single_ones(spark, tmp_path):
+def test_pieces_stepped_together_equal_single_bars(spark, tmp_path):
     rng = np.random.default_rng(3)
     m = rg.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]]), rng.normal(size=(3, 3)),
                np.array([np.eye(3) * s for s in (0.5, 1.0, 2.0)]), np.zeros(3), np.ones(3))
-    length = np.array([40, 1, 7, 23])
-    x = rng.normal(size=(4, 40, 3))
-    ll, g, xi = rg.forward_backward_many(x, length, m)
-    path = rg.viterbi_many(x, length, m)
-    single = [rg.forward_backward(x[i, :n], m) for i, n in enumerate(length)]
+    length = np.array([40, 1, 7, 23, 32, 33, 100])
+    x = rng.normal(size=(length.sum(), 3))
+    ll, g, xi = rg.forward_backward(rg.Sequences(x, length, np.ones(7, bool)), m)
+    single = [_bar_by_bar(p, m) for p in np.split(x, np.cumsum(length)[:-1])]
     assert np.isclose(ll, sum(s[0] for s in single)) and np.allclose(xi, sum(s[2] for s in single))
-    for i, n in enumerate(length):
-        assert np.allclose(g[i, :n], single[i][1]) and not g[i, n:].any()
-        assert (path[i, :n] == rg.viterbi(x[i, :n], m)).all()
+    assert np.allclose(g, np.concatenate([s[1] for s in single]))
     rg.save_model(spark, m, str(tmp_path / "m"))
     back = rg.load_model(spark, str(tmp_path / "m"))
     assert all((getattr(back, f) == getattr(m, f)).all() for f in ("start", "trans", "means", "covs", "shift", "scale"))

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from helpers import daily, price_frame
+from helpers import close_to, daily, ordered, price_frame
 from pyspark.sql import functions as F
 
 from bourse.operators import calendar as cal
@@ -40,6 +40,8 @@ def test_append_scan_clone(spark, tmp_path):
     plan = tables.scan_bars(spark, copy, "A", "2001-03-10", "2001-03-12")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Year" in plan
     tables.append_bars(df.limit(1), path)
+    assert tables.duplicate_keys(tables.scan_table(spark, path), "Ticker", "Date").isEmpty()
+    tables.scan_table(spark, path).limit(1).write.mode("append").partitionBy("Year").parquet(path)
     assert tables.duplicate_keys(tables.scan_table(spark, path), "Ticker", "Date").count() == 1
     with pytest.raises(ValueError):
         tables.clone_table(spark, path, str(tmp_path / "d"))
@@ -55,18 +57,74 @@ def test_stored_bars_prune_folders_columns_and_rows(spark, tmp_path):
     assert df.count() == 32
 
 
-def test_indicators_on_a_bucketed_table_need_no_shuffle(spark, tmp_path):
-    from bourse.operators.indicators import add_indicators
-    pdf = price_frame({"A": 60, "B": 60, "C": 30})
-    tables.save_bucketed(daily(spark, pdf), "bucketed_bars", 4, str(tmp_path / "b"))
+@pytest.mark.parametrize("replace", [False, True])
+def test_loads_can_be_repeated(spark, tmp_path, replace):
+    path = str(tmp_path / "t")
+    pdf = price_frame({"A": 400, "B": 10})
+    first, second = daily(spark, pdf[pdf.date < "2002-02-01"]), daily(spark, pdf[pdf.date > "2001-12-01"].assign(close=1.0))
+    tables.append_bars(first.where("false"), path, replace=replace)
+    assert not tables.has_table(spark, path)
+    for batch in (first, second, second.unionByName(second), first.where("false"), second):
+        tables.append_bars(batch, path, replace=replace)
+    got = tables.scan_table(spark, path)
+    assert got.count() == len(pdf) and tables.duplicate_keys(got, "Ticker", "Date").isEmpty()
+    assert got.where("Close = 1").count() == (pdf.date > ("2001-12-01" if replace else "2002-01-31")).sum()
+
+
+def test_a_load_leaves_other_years_alone(spark, tmp_path):
+    import glob
+    path = str(tmp_path / "t")
+    df = daily(spark, price_frame({"A": 700}))
+    tables.append_bars(df, path)
+    files = set(glob.glob(f"{path}/Year=2001/*.parquet"))
+    tables.append_bars(df.where("year(date) = 2002").withColumn("close", F.lit(2.0)), path, replace=True)
+    assert files == set(glob.glob(f"{path}/Year=2001/*.parquet"))
+    assert tables.scan_table(spark, path).where("Close = 2").count() == 365
+
+
+def test_equal_keys_of_a_batch_count_once_and_keys_are_needed(spark, tmp_path):
+    df = daily(spark, price_frame({"A": 3}))
+    both = df.unionByName(df.withColumn("open", F.lit(0.5)))
+    tables.append_bars(both, str(tmp_path / "t"))
+    assert [r.Open for r in tables.scan_table(spark, str(tmp_path / "t")).collect()] == [0.5] * 3
+    for c in ("ticker", "date"):
+        with pytest.raises(ValueError):
+            tables.append_bars(df.withColumn(c, F.lit(None).cast(df.schema[c].dataType)), str(tmp_path / "u"))
+
+
+@pytest.mark.parametrize("freq", ["D", "h"])
+def test_window_columns_on_a_bucketed_table_need_no_shuffle(spark, tmp_path, freq):
+    """A hot ticker's hourly bars lie in several buckets, with the rows they look back on."""
+    from bourse.operators.indicators import add_indicators, add_to_series, memory_of
+    names = ["z_score", "macd", "adx"] if freq == "D" else ["z_score", "b_percent"]
+    pdf = price_frame({"A": 400, "B": 60, "C": 30}, freq=freq)
+    df = daily(spark, pdf) if freq == "D" else spark.createDataFrame(pdf)
+    tables.save_bucketed(df, "bucketed_bars", 8, str(tmp_path / "b"), memory_of(names), None if freq == "D" else 64)
     try:
-        df = add_indicators(spark.table("bucketed_bars"), ["z_score", "macd", "adx"])
-        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-        assert df.count() == 150
+        s = tables.bucketed_series(spark, "bucketed_bars")
+        got = add_to_series(lambda memory: s, s.df, names)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = ordered(add_indicators(df, names))
+        for n in names:
+            close_to(ordered(got)[n], want[n])
+        if freq == "h":
+            files = spark.table("bucketed_bars").where("ticker = 'A'").select(F.input_file_name()).distinct().count()
+            assert files > 1
     finally:
         spark.sql("DROP TABLE bucketed_bars")
 
 
+def test_items_of_a_filing_follow_its_keys(spark):
+    rows = [("a", '{"x":{"p":{"value":1.5,"unit":"USD"},"q":{"value":"n/a"}},"y":{"p":{"unit":"EUR"}},"z":[1,2],"w":3}'), ("b", None), ("c", "{broken"), ("d", "{}"),
+            ("e", '{"x":{"p":{"value":null}}}')]
+    items = filings.filing_items(spark.createDataFrame(rows, "ticker string, financials string"))
+    got = sorted((r.ticker, r.section, r.item, r.value, r.unit) for r in items.collect())
+    assert got == [("a", "x", "p", 1.5, "USD"), ("a", "x", "q", None, None), ("a", "y", "p", None, "EUR"), ("e", "x", "p", None, None)]
+    assert filings.item_names(items) == {"x": ("p", "q"), "y": ("p",)}
+    flat = {r.ticker: r for r in filings.flat_items(items, ["ticker"]).collect()}
+    assert flat["a"]["x.p.value"] == 1.5 and flat["a"]["y.p.value"] is None and flat["e"]["x.p.value"] is None
+
+
 def test_work_folder_is_below_the_shared_folder(spark, tmp_path):
     class Conf:
         def __init__(self, value):
