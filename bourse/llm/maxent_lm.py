@@ -4,8 +4,8 @@
 
 The HEAD most frequent words are dealt to classes of SLOTS words that end alike; all other words fall into TAIL
 classes by their last two bytes.  Both factors are softmaxes over the sum of a bias (log frequency) and one row of
-weights per context feature; features are the word before, the two words before, and skips over one and
-two words, hashed to table rows (for the second factor together with the class).  In a tail class a word has
+weights per context feature; features are the word before, the two words before, and a skip over
+one word, hashed to table rows (for the second factor together with the class).  In a tail class a word has
 the weight of its count plus ADD, and one unknown word per class has the weight ADD, so all
 probabilities of a context add up to 1.
 
@@ -35,16 +35,16 @@ from bourse.llm.common import col, pieces
 from bourse.session import stored, work_folder
 
 ADD = 0.1
-HEAVY, LONG = 20, 64
+HEAVY, LONG = 21, 64
 SLOTS, TAIL, CLASSES = 64, 16, 64
 HEAD = SLOTS * (CLASSES - TAIL)
 #: ids of tail words: their class and SPREAD values of a hash; START stands before a text
 SPREAD, START = 3840, 65_535
 #: table rows per feature, features of the two factors
-ROWS, FEATURES, WORD_FEATURES = 4096, 4, 2
+ROWS, FEATURES, WORD_FEATURES = 4096, 3, 2
 ROUNDS, STEP, PRIOR, BATCH = 6, 1.2, 32.0, 4096
-#: table rows that are summed up together, distinct words a task counts before it sends them on
-BLOCK, HOLD = 32, 200_000
+#: table rows that are summed up together, words a task keeps in mind
+BLOCK, HOLD = 32, 300_000
 _WIDE = np.arange(CLASSES)
 
 
@@ -110,8 +110,8 @@ def lexicon(table: DataFrame) -> Lexicon:
     all_ = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tails = (table.groupBy((F.crc32(F.substring("word", -2, 2)) % TAIL).cast("int").alias("k"))
              .agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect())
-    rows = table.where((F.col("n") > F.lit(all_.n / (1 << HEAVY))) & (F.octet_length("word") <= LONG) | (F.octet_length("word") == 0)).collect()
-    known = {bytes(r.word): r.n for r in rows}
+    rows = table.where((F.col("n") > F.lit(all_.n / (1 << HEAVY))) & (F.octet_length("word") <= LONG) | (F.octet_length("word") == 0)).toArrow()
+    known = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
     known.setdefault(b"", 0)
     by_count = sorted(known, key=lambda w: (w != b"", -known[w], w))
     head = sorted(by_count[:HEAD], key=lambda w: w[::-1])
@@ -141,10 +141,20 @@ def tail_id(word: bytes) -> int:
 
 
 class Places(dict):
-    """Word to place; of a word without one minus its tail id."""
+    """Word to place; of a word without one minus its tail id.  HOLD of the latter are kept in mind."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.known, self.room = known, HOLD
 
     def __missing__(self, word: bytes) -> int:
-        return -tail_id(word)
+        if not self.room:
+            self.clear()
+            self.update(self.known)
+            self.room = HOLD
+        self.room -= 1
+        self[word] = -tail_id(word)
+        return self[word]
 
 
 def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
@@ -169,7 +179,7 @@ def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
                 inside = at >= 0
                 on = at[inside]
                 id_ = np.where(inside, ids[at], -at)
-                rare = Counter(found[i] for i in np.flatnonzero(~inside))
+                rare = Counter([found[i] for i in np.flatnonzero(~inside).tolist()])
                 values = log_count[on]
                 for c, v in zip(out, (id_.astype("<u2").tobytes(), len(at), int((values > -0.99).sum()), float(values.sum()),
                                       float(values[ids[on] >= HEAD].sum()), list(rare), list(rare.values())), strict=True):
@@ -186,16 +196,16 @@ def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
     return spark.read.schema(f"{schema}, slice int").parquet(path)
 
 
-def batches_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, id, and the ids one, two and three before) of BATCH tokens at a time."""
-    start = np.full(3, START, np.int64)
+def batches_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, id, and the ids one and two before) of BATCH tokens at a time."""
+    start = np.full(2, START, np.int64)
     ids = [np.frombuffer(t, "<u2").astype(np.int64) for t in texts]
     line = np.concatenate([x for own in ids for x in (start, own)]) if ids else start
-    text = np.repeat(np.arange(len(ids)), [len(x) + 3 for x in ids])
+    text = np.repeat(np.arange(len(ids)), [len(x) + 2 for x in ids])
     on = np.flatnonzero(line != START)
     for a in range(0, len(on), BATCH):
         at = on[a:a + BATCH]
-        yield text[at], line[at], line[at - 1], line[at - 2], line[at - 3]
+        yield text[at], line[at], line[at - 1], line[at - 2]
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -207,12 +217,12 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return (h % np.uint64(ROWS)).astype(np.int64)
 
 
-def class_rows(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[np.ndarray]:
+def class_rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     """Rows of the first factor: frequent words have rows of their own, pairs and other words share theirs."""
     def single(x: np.ndarray) -> np.ndarray:
         return np.where(x < HEAD, x, HEAD + x % (ROWS - HEAD))
 
-    return [single(one), ROWS + single(two), 2 * ROWS + single(three), 3 * ROWS + mixed(two, one)]
+    return [single(one), ROWS + single(two), 2 * ROWS + mixed(two, one)]
 
 
 def word_rows(classes: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
@@ -258,8 +268,8 @@ class Model:
     def scores(self, lex: Lexicon, texts: list[bytes], learn: tuple[Gradient, Gradient] | None = None) -> np.ndarray:
         """log10 probability of every text but for the counts of its tail words; with `learn` gradients are added up."""
         out = np.zeros(len(texts))
-        for text, ids, one, two, three in batches_of(texts):
-            rows, hit = class_rows(one, two, three), lex.class_of[ids]
+        for text, ids, one, two in batches_of(texts):
+            rows, hit = class_rows(one, two), lex.class_of[ids]
             p = softmax(lex.class_bias, self.classes, rows)
             took = np.log10(np.maximum(p[np.arange(len(ids)), hit], 1e-30))
             if learn:
@@ -276,9 +286,9 @@ class Model:
         return out
 
 
-def round_sums(rows: DataFrame, lex, model, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """(seen, expected) of both tables, one under the other, summed over all `rows` (ids)."""
-    height, width = (FEATURES + WORD_FEATURES) * ROWS, 2 * BLOCK * CLASSES
+def round_sums(rows: DataFrame, lex, model, tasks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, seen, expected) of BLOCK rows at a time of both tables, one under the other, summed over all `rows` (ids)."""
+    width = 2 * BLOCK * CLASSES
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = Gradient(FEATURES * ROWS), Gradient(WORD_FEATURES * ROWS)
@@ -293,38 +303,41 @@ def round_sums(rows: DataFrame, lex, model, tasks: int) -> tuple[np.ndarray, np.
                                               pa.array([both[i].tobytes() for i in on[a:a + 64]], pa.binary())], ["block", "task", "sums"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(block: int, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
+
         block, total = None, np.zeros(width)
         for b in pieces(batches):
-            done: list[tuple[int, bytes]] = []
             for own, sums in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if own != block:
                     if block is not None:
-                        done.append((block, total.tobytes()))
+                        yield row(block, total)
                     block, total = own, np.zeros(width)
                 total += np.frombuffer(sums, np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.binary())], ["block", "sums"])
         if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+            yield row(block, total)
 
     parts = rows.coalesce(tasks).mapInArrow(gradients, "block int, task int, sums binary")
-    got = parts.repartition("block").sortWithinPartitions("block", "task").mapInArrow(added, "block int, sums binary").collect()
-    out = np.zeros((height // BLOCK, width))
-    for r in got:
-        out[r.block] = np.frombuffer(r.sums, np.float64)
-    return tuple(x.reshape(height, CLASSES) for x in np.split(out, 2, axis=1))
+    got = parts.repartition("block").sortWithinPartitions("block", "task").mapInArrow(added, "block int, sums binary").toArrow()
+    for block, sums in zip(got.column("block").to_pylist(), got.column("sums"), strict=True):
+        seen, expected = np.frombuffer(sums.as_buffer(), np.float32).reshape(2, BLOCK, CLASSES)
+        yield block * BLOCK, seen, expected
 
 
 def train(spark: SparkSession, rows: DataFrame, lex) -> Model:
     """ROUNDS updates, each from the gradient over a slice of the training documents."""
     model = Model.flat()
-    tasks = max(1, spark.sparkContext.defaultParallelism)
+    tasks, split = max(1, spark.sparkContext.defaultParallelism), FEATURES * ROWS
     for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
-        seen, expected = round_sums(rows.where(F.col("slice") == number).select("ids"), lex, sent, tasks)
-        sent.unpersist()
-        scale = np.maximum(seen, expected) + PRIOR * np.maximum(expected.sum(1, keepdims=True) > 0, 0) / CLASSES
-        step = np.where(scale > 0, STEP * (seen - expected) / np.maximum(scale, 1e-9), 0).astype(np.float32)
-        model = Model(model.classes + step[:FEATURES * ROWS] / FEATURES, model.slots + step[FEATURES * ROWS:] / WORD_FEATURES)
+        for at, seen, expected in round_sums(rows.where(F.col("slice") == number).select("ids"), lex, sent, tasks):
+            scale = np.maximum(seen, expected) + PRIOR / CLASSES
+            step = STEP * (seen - expected) / scale
+            if at < split:
+                model.classes[at:at + BLOCK] += step / FEATURES
+            else:
+                model.slots[at - split:at - split + BLOCK] += step / WORD_FEATURES
+        sent.destroy()
     return model
 
 
