@@ -178,7 +178,8 @@ def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
                 at = np.append(at, end)
                 inside = at >= 0
                 on = at[inside]
-                id_ = np.where(inside, ids[at], -at)
+                id_ = -at
+                id_[inside] = ids[on]
                 rare = Counter([found[i] for i in np.flatnonzero(~inside).tolist()])
                 values = log_count[on]
                 for c, v in zip(out, (id_.astype("<u2").tobytes(), len(at), int((values > -0.99).sum()), float(values.sum()),
