@@ -35,7 +35,7 @@ from bourse.llm.common import col, pieces
 from bourse.session import stored, work_folder
 
 ADD = 0.1
-HEAVY, LONG = 21, 64
+HEAVY, LONG = 20, 64
 SLOTS, TAIL, CLASSES = 64, 16, 64
 HEAD = SLOTS * (CLASSES - TAIL)
 #: ids of tail words: their class and SPREAD values of a hash; START stands before a text
@@ -43,8 +43,8 @@ SPREAD, START = 3840, 65_535
 #: table rows per feature, features of the two factors
 ROWS, FEATURES, WORD_FEATURES = 4096, 3, 2
 ROUNDS, STEP, PRIOR, BATCH = 6, 1.2, 32.0, 4096
-#: table rows that are summed up together, words a task keeps in mind
-BLOCK, HOLD = 32, 300_000
+#: table rows that are summed up together, distinct words a task counts before it sends them on
+BLOCK, HOLD = 32, 200_000
 _WIDE = np.arange(CLASSES)
 
 
@@ -90,7 +90,7 @@ class Lexicon:
     total: int
     distinct: int
     #: word -> its place in `log_count` and `ids`
-    place: dict[bytes, int]
+    place: Places
     log_count: np.ndarray
     ids: np.ndarray
     class_of: np.ndarray
@@ -122,7 +122,7 @@ def lexicon(table: DataFrame) -> Lexicon:
         if known[w]:
             n_k[tail_class(w)] -= known[w]
             v_k[tail_class(w)] -= 1
-    place = {w: i for i, w in enumerate([*head, *by_count[HEAD:]])}
+    place = Places((w, i) for i, w in enumerate([*head, *by_count[HEAD:]]))
     log_count = np.log10(np.array([known[w] for w in place], float) + ADD)
     ids = np.array([i if i < len(head) else tail_id(w) for i, w in enumerate(place)], np.int64)
     # heads fill whole classes; as many as are needed are in use
@@ -137,24 +137,14 @@ def lexicon(table: DataFrame) -> Lexicon:
 
 
 def tail_id(word: bytes) -> int:
-    return HEAD + tail_class(word) * SPREAD + crc32(word) % SPREAD
+    return HEAD + crc32(word[-2:]) % TAIL * SPREAD + crc32(word) % SPREAD
 
 
 class Places(dict):
-    """Word to place; of a word without one minus its tail id.  HOLD of the latter are kept in mind."""
-
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.known, self.room = known, HOLD
+    """Word to place; of a word without one minus its tail id."""
 
     def __missing__(self, word: bytes) -> int:
-        if not self.room:
-            self.clear()
-            self.update(self.known)
-            self.room = HOLD
-        self.room -= 1
-        self[word] = -tail_id(word)
-        return self[word]
+        return -tail_id(word)
 
 
 def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
@@ -168,7 +158,7 @@ def coded(spark: SparkSession, docs: DataFrame, lex) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lex.value
-        places, log_count, ids = Places(own.place), own.log_count, own.ids
+        places, log_count, ids = own.place, own.log_count, own.ids
         end = places[b""]
         for b in pieces(batches):
             out: list[list] = [[] for _ in range(7)]

@@ -72,7 +72,7 @@ def test_probabilities_add_up_to_one(spark):
     assert len(count) > lm.HEAD
     rng = np.random.default_rng(0)
     m = lm.Model(rng.normal(size=(lm.FEATURES * lm.ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=(lm.WORD_FEATURES * lm.ROWS, lm.SLOTS)).astype(np.float32))
-    places = lm.Places(lex.place)
+    places = lex.place
     for before in ([], [b"ax1"], [words[3].encode(), b"never seen"]):
         ctx = [lex.ids[places[w]] if places[w] >= 0 else -places[w] for w in before]
         start = m.scores(lex, [np.array(ctx, "<u2").tobytes()])[0]
@@ -89,7 +89,7 @@ def test_gradient_is_the_slope_of_the_log_likelihood(spark):
     _, lex = _lexicon(spark, ["a b c a b d", "b a c c", "d d a b"] * 5)
     rng = np.random.default_rng(2)
     m = lm.Model(rng.normal(size=(lm.FEATURES * lm.ROWS, lm.CLASSES)).astype(np.float64), rng.normal(size=(lm.WORD_FEATURES * lm.ROWS, lm.SLOTS)).astype(np.float64))
-    places = lm.Places(lex.place)
+    places = lex.place
     text = [lex.ids[[places[w] for w in b"a b d c a a b".split()] + [places[b""]]].astype("<u2").tobytes()]
     m32 = lm.Model(m.classes.astype(np.float32), m.slots.astype(np.float32))
     learn = lm.Gradient(lm.FEATURES * lm.ROWS), lm.Gradient(lm.WORD_FEATURES * lm.ROWS)
@@ -110,10 +110,3 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     rows = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
     assert gain * math.log2(10) > 0.5 and sum(r.score > r.base_score for r in rows) > 0.9 * len(rows)
-
-
-def test_words_kept_in_mind_are_forgotten_again(monkeypatch):
-    monkeypatch.setattr(lm, "HOLD", 3)
-    p = lm.Places({b"a": 0, b"b": 1})
-    for w in (b"x", b"a", b"y", b"z", b"v", b"x", b"b"):
-        assert p[w] == {b"a": 0, b"b": 1}.get(w, -lm.tail_id(w)) and len(p) <= 5
