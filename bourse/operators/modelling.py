@@ -75,14 +75,24 @@ def window_means(df: DataFrame, features: list[str], window: int) -> DataFrame:
 
 
 def fit_linear(df: DataFrame, features: list[str], label: str = "shifted_prices") -> dict:
-    """Least squares on the train rows; returns intercept and coefficients by feature."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = df.where(F.col("split") == "train").select(label, *features).dropna()
-    vec = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
-    model = LinearRegression(featuresCol="_x", labelCol=label, solver="normal", regParam=0.0).fit(vec)
-    return {"intercept": float(model.intercept), "coefficients": dict(zip(features, map(float, model.coefficients)))}
+    """Least squares on the train rows with a label and all features; returns intercept and coefficients by feature.
+
+    One aggregation gives the means and the (centred) Gram matrix of features and label; its equations
+    are solved on the driver, on the scale of correlations.  Features that others determine get the shortest solution.
+    """
+    columns = [*features, label]
+    rows = df.where(F.col("split") == "train").select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    k = len(columns)
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)],
+                    *[F.covar_pop(f"c{i}", f"c{j}").alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
+    if not sums["n"]:
+        raise ValueError("no train rows with a label and all features")
+    gram = np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
+    mean = np.array([sums[f"m{i}"] for i in range(k)])
+    size = np.sqrt(np.diag(gram)[:-1])
+    size[size == 0] = 1.0
+    found = np.linalg.lstsq(gram[:-1, :-1] / np.outer(size, size), gram[:-1, -1] / size, rcond=1e-12)[0] / size
+    return {"intercept": float(mean[-1] - found @ mean[:-1]), "coefficients": dict(zip(features, map(float, found)))}
 
 
 def score_linear(df: DataFrame, model: dict, name: str = "predicted") -> DataFrame:

@@ -68,8 +68,8 @@ def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
     """sharpe, sortino, volatility, cagr, cumulative return and VaR per ticker.
 
     Plain aggregates: partial sums are made before the shuffle.  The quantile of
-    a daily series is taken over its (bounded) days; of a longer one only the
-    rows between two sketched values meet in a task.
+    a daily series is taken over its (bounded) days; that of a longer one is
+    searched for (`_long_quantile`).
     """
     if not is_daily(returns, "date"):
         kept = settled(returns.where(F.col("ret").isNotNull()).select("ticker", "date", "ret"))
@@ -81,19 +81,46 @@ def return_metrics(returns: DataFrame, rf_pct: float = 0.0) -> DataFrame:
 RETURN_METRICS = ["n", "sharpe", "sortino", "volatility", "cagr", "cumulative_return", "var_hist", "var_normal"]
 
 
-def _long_quantile(returns: DataFrame, share: float = VAR_SHARE, margin: float = 0.0005) -> DataFrame:
-    """(ticker, var_hist), exact: a sketch with an error of a ten-thousandth of the rows brackets the quantile."""
+#: percentages a sketch is asked for, and the most rows of a ticker that meet in one task
+GRID, MEET = 1000, 65_536
+
+
+def _long_quantile(returns: DataFrame, share: float = VAR_SHARE, meet: int = MEET) -> DataFrame:
+    """(ticker, var_hist), exact: the range of values that holds the quantile is narrowed until few rows are left.
+
+    A round sketches the values inside every ticker's range, takes the two neighbours of the wanted rank on the
+    grid as the next range, and counts the rows below and inside it, all by partial aggregates.  A range keeps a few
+    thousandths of its rows, so even a ticker with a third of the table needs few rounds; then at
+    most `meet` rows strictly inside a range are ordered.  Equal values count as one row there.
+    """
     r = F.col("ret")
-    ends = returns.groupBy("ticker").agg(
-        F.count(r).alias("_n"), F.percentile_approx(r, [max(share - margin, 0.0), share + margin], 10_000).alias("_e"))
-    both = returns.join(ends.select("ticker", "_n", F.col("_e")[0].alias("_a"), F.col("_e")[1].alias("_b")), "ticker")
-    # equal values are counted once each, so a value that holds many rows stays small; the next value above may be needed
-    values = both.groupBy("ticker", "_n", "_a", "_b").agg(
-        F.count_if(r < F.col("_a")).alias("_below"), F.min(F.when(r > F.col("_b"), r)).alias("_next"))
-    inside = both.where((r >= F.col("_a")) & (r <= F.col("_b"))).groupBy("ticker", "ret").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("ticker").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
-    at = inside.withColumn("_upto", F.sum("k").over(w)).join(values, "ticker")
+    floats = [i / GRID for i in range(GRID + 1)]
     rank = (F.col("_n") - 1) * share
+
+    def bracket(inside: DataFrame, below: Column, rows: Column) -> DataFrame:
+        """The next range of each ticker: `inside` holds the rows of its present one."""
+        # the share of rows up to the rank: a grid point below it and one above lie on either side of the value
+        at = F.least(F.floor((F.floor(rank) - below + 1) / rows * GRID), F.lit(GRID)).cast("int")
+        e = inside.groupBy("ticker").agg(F.max("_n").alias("_n"), F.max("_below").alias("_below"), F.max("_in").alias("_in"),
+                                         F.percentile_approx(r, floats, 10_000).alias("_e"))
+        return e.select("ticker", "_n", F.element_at("_e", F.greatest(at - 1, F.lit(0)) + 1).alias("_a"),
+                        F.element_at("_e", F.least(at + 2, F.lit(GRID)) + 1).alias("_b"))
+
+    def counted(ranges: DataFrame) -> DataFrame:
+        both = returns.join(ranges, "ticker")
+        return settled(both.groupBy("ticker", "_n", "_a", "_b").agg(
+            F.count_if(r < F.col("_a")).alias("_below"), F.count_if((r >= F.col("_a")) & (r <= F.col("_b"))).alias("_in"),
+            F.count_if((r > F.col("_a")) & (r < F.col("_b"))).alias("_between"), F.min(F.when(r > F.col("_b"), r)).alias("_next")))
+
+    sizes = returns.groupBy("ticker").agg(F.count(r).alias("_n")).withColumns({"_below": F.lit(0).cast("bigint"), "_in": F.col("_n")})
+    state = counted(bracket(returns.join(sizes, "ticker"), F.col("_below"), F.col("_in")))
+    while not (wide := state.where(F.col("_between") > meet)).isEmpty():
+        inside = returns.join(wide.select("ticker", "_n", "_a", "_b", "_below", "_in"), "ticker").where(r.between(F.col("_a"), F.col("_b")))
+        state = settled(state.where(F.col("_between") <= meet).unionByName(counted(bracket(inside, F.col("_below"), F.col("_in")))))
+    inside = (returns.join(state, "ticker").where(r.between(F.col("_a"), F.col("_b")))
+              .groupBy("ticker", "ret").agg(F.count(F.lit(1)).alias("k")))
+    w = Window.partitionBy("ticker").orderBy("ret").rowsBetween(Window.unboundedPreceding, 0)
+    at = inside.withColumn("_upto", F.sum("k").over(w)).join(state.select("ticker", "_n", "_below", "_next"), "ticker")
     last = F.col("_below") + F.col("_upto") - 1  # rank of the value's last row, from 0
     low = F.min(F.when(last >= F.floor(rank), r))
     high = F.coalesce(F.min(F.when(last >= F.ceil(rank), r)), F.min("_next"))

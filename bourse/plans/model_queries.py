@@ -102,11 +102,11 @@ sol AS (SELECT {_det('r', 'm2', 'm3')} / {_det('m1', 'm2', 'm3')} AS b1, {_det('
 
 @query("ml_fit_baseline", sql([B, FEAT_SQL, SPLIT, CLEAN, OLS], " UNION ALL ".join(
     ["SELECT 'intercept' AS feature, ay - b1 * a1 - b2 * a2 - b3 * a3 AS coefficient FROM sol"]
-    + [f"SELECT '{c}_mean', b{i + 1} FROM sol" for i, c in enumerate(FEATS)]), "coefficient", 2))
+    + [f"SELECT '{c}_mean', b{i + 1} FROM sol" for i, c in enumerate(FEATS)]), "coefficient", 6))
 def ml_fit_baseline(spark, d):
     _, model, _ = fitted(spark, d)
     rows = [("intercept", model["intercept"])] + list(model["coefficients"].items())
-    return out(spark.createDataFrame(rows, "feature string, coefficient double"), 2)
+    return out(spark.createDataFrame(rows, "feature string, coefficient double"))
 
 
 LINEAR = {"intercept": 10.0, "coefficients": {"close_mean": 0.9, "high_mean": 0.05, "low_mean": 0.04}}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,15 @@ def resample(trades: DataFrame, timespan: str = "day", multiplier: int = 1, key:
 
     Trades with the same time are ordered by `tie`.  One aggregation with
     map-side partials: a heavily traded ticker is reduced before the shuffle.
+    Time and an integer `tie` make up one number of fixed width, so the first and
+    the last price are kept by hash aggregation; other ties are compared as they are.
     """
-    order = F.struct(F.col(ts), F.col(tie))
+    if isinstance(trades.schema[tie].dataType, T.IntegralType):
+        wide = "decimal(38,0)"
+        order = (F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(19,0)") * F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+                 + F.col(tie).cast("decimal(19,0)")).cast(wide)
+    else:
+        order = F.struct(F.col(ts), F.col(tie))
     return (trades.groupBy(key, bar_time(F.col(ts), timespan, multiplier).alias("date"))
             .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"),
                  F.min(price).alias("low"), F.max_by(price, order).alias("close"),

@@ -232,6 +232,20 @@ def test_quantile_of_a_long_series_is_exact(spark, n):
     assert math.isclose(got.var_hist, np.quantile(pdf["ret"], 0.05), rel_tol=1e-12, abs_tol=1e-15) and got.n == n
 
 
+@pytest.mark.parametrize("meet", [3, 60, risk.MEET])
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 1.0])
+def test_quantiles_by_ticker_with_a_hot_ticker(spark, meet, share):
+    """However few values may meet in a task; ties, one-row tickers and a value that holds many rows."""
+    rng = np.random.default_rng(7)
+    data = {"hot": rng.normal(size=6000), "tied": rng.integers(-3, 3, 900) / 100.0, "one": np.array([0.25]), "two": np.array([0.5, -0.5]),
+            "lump": np.where(rng.random(2000) < 0.4, -0.02, rng.normal(size=2000) / 50), "same": np.full(50, 0.1)}
+    rows = [(t, float(x)) for t, v in data.items() for x in v]
+    got = {r.ticker: r.var_hist for r in risk._long_quantile(spark.createDataFrame(rows, "ticker string, ret double"), share, meet).collect()}
+    assert got.keys() == data.keys()
+    for t, v in data.items():
+        assert math.isclose(got[t], np.quantile(v, share), rel_tol=1e-12, abs_tol=1e-15), t
+
+
 def test_a_chain_on_hourly_bars_does_not_multiply(spark):
     df = spark.createDataFrame(price_frame({"A": 200, "B": 50}, freq="h"))
     c = bt.run(bt.sma_predictions(df), E, X)

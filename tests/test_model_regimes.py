@@ -48,6 +48,23 @@ def test_linear_fit_finds_the_coefficients(table):
     assert p < 1e-6
 
 
+def test_linear_fit_equals_least_squares(table):
+    """Also with a feature that others determine, missing values, and no usable row."""
+    df = table.withColumns({"y": F.col("close") * 1.5 + F.sin("volume") * 3, "double": F.col("close") * 2, "gap": F.when(F.col("volume") > 20, F.col("open"))})
+    pdf = df.where("split = 'train'").toPandas()
+    use = pdf.dropna(subset=["gap"])
+    a = np.column_stack([np.ones(len(use)), use[["close", "volume", "gap"]]])
+    want = np.linalg.lstsq(a, use["y"], rcond=None)[0]
+    m = ml.fit_linear(df, ["close", "volume", "gap"], "y")
+    close_to([m["intercept"], *m["coefficients"].values()], want, 1e-6)
+    twin = ml.fit_linear(df, ["close", "double", "volume"], "y")
+    p = ml.score_linear(df, twin).where("split = 'train'").toPandas()
+    b = np.column_stack([np.ones(len(pdf)), pdf[["close", "volume"]]])
+    close_to(np.sort(p["predicted"]), np.sort(b @ np.linalg.lstsq(b, pdf["y"], rcond=None)[0]), 1e-6)
+    with pytest.raises(ValueError):
+        ml.fit_linear(df.where("false"), ["close"], "y")
+
+
 def test_model_hook_gets_past_windows(table):
     got = ordered(ml.score_model(table, ["close"], 3, lambda x: x[:, -1, 0]))
     src = ordered(table)

@@ -24,6 +24,17 @@ def test_bar_time(spark, span, n, want):
     assert str(df.select(b.bar_time(F.col("ts"), span, n).cast("string")).first()[0]) == want
 
 
+@pytest.mark.parametrize("tie", ["bigint", "string"])
+def test_first_and_last_price_by_time_and_tie(spark, tie):
+    """Integer ties hash, also with times before 1970 and ids of any size; others are compared as they are."""
+    rows = [("A", t, i, float(p)) for p, (t, i) in enumerate([("1969-12-31 10:00:00", 5), ("1969-12-31 10:00:00", -3), ("1969-12-31 12:00:00", 2 ** 62), ("1969-12-31 12:00:00", 7),
+                                                             ("2001-01-01 00:00:00", 1), ("2001-01-01 23:59:59.999999", 1), ("2001-01-01 23:59:59.999998", 9)])]
+    df = spark.createDataFrame(rows, "ticker string, ts string, id bigint, px double").selectExpr("ticker", "CAST(ts AS timestamp) ts", f"CAST(id AS {tie}) id", "px", "1.0D AS size")
+    got = b.resample(df)
+    assert [(str(r.date), r.open, r.close) for r in got.orderBy("date").collect()] == [("1969-12-31", 1.0, 2.0 if tie == "bigint" else 3.0), ("2001-01-01", 4.0, 5.0)]
+    assert ("SortAggregate" in got._jdf.queryExecution().executedPlan().toString()) == (tie == "string")
+
+
 def test_select_bars_limits(spark):
     df = daily(spark, price_frame({"A": 20, "B": 20}))
     assert b.select_bars(df, "A").select("ticker").distinct().collect()[0][0] == "A"
