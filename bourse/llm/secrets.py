@@ -130,6 +130,30 @@ def opened(text: str, terms: list[tuple[int, int, bool]], assigned: dict[str, li
         yield at, last if after_name else end, False
 
 
+def reached(uses: list[set[str]], weights: list[float], assigned: dict[str, list[int]]) -> list[float]:
+    """The highest weight of a name that each assignment's value ends up in through other names; 0 for none.
+
+    Names are gone through by falling weight, so every assignment and every name is opened once, by the
+    highest weight that gets there: work in proportion to the text, whatever its assignments look like.
+    """
+    out, opened_, passed = [0.0] * len(uses), [False] * len(uses), set()
+    for i in sorted(range(len(uses)), key=lambda i: -weights[i]):
+        weight, todo = weights[i], [i]
+        if not weight:
+            break
+        while todo:
+            j = todo.pop()
+            if opened_[j]:
+                continue
+            opened_[j] = True
+            for name in uses[j] - passed:
+                passed.add(name)
+                for k in assigned[name]:
+                    out[k] = weight
+                    todo.append(k)
+    return out
+
+
 def lexed(text: str) -> set[Span]:
     """Findings of the lexer."""
     if "=" not in text and ":" not in text:
@@ -139,28 +163,23 @@ def lexed(text: str) -> set[Span]:
     for i, (name, _) in enumerate(found):
         assigned.setdefault(name, []).append(i)
     found = [(name, list(opened(text, terms, assigned))) for name, terms in found]
-    looks: dict[tuple[int, int], float] = {}
+    uses = [{text[a:b] for a, b, quoted in terms if not quoted} & assigned.keys() for _, terms in found]
+    direct = [name_score(name) for name, _ in found]
     out: set[Span] = set()
-    for i, (name, _) in enumerate(found):
-        if not (weight := name_score(name)):
+    for (_, terms), own, carried in zip(found, direct, reached(uses, direct, assigned), strict=True):
+        if not own and not carried:
             continue
-        # all literals that reach this name; every assignment is opened once
-        todo, seen, direct = [i], {i}, True
-        while todo:
-            for start, end, quoted in (t for j in todo for t in found[j][1]):
-                value = text[start:end]
-                # a bare word is a literal only if it can't be a name and has a digit
-                plain = quoted or (value not in assigned and any(c.isdigit() for c in value))
-                if plain and (start, end) not in looks:
-                    looks[start, end] = literal_score(value)
-                if plain and weight * looks[start, end] >= THRESHOLD:
-                    out.add(("literal" if direct else "constant", start, end))
-            names = {text[a:b] for j in todo for a, b, quoted in found[j][1] if not quoted}
-            todo = [j for n in names for j in assigned.get(n, ()) if j not in seen]
-            seen.update(todo)
-            direct = False
-    direct = {s[1:] for s in out if s[0] == "literal"}
-    return {s for s in out if s[0] == "literal" or s[1:] not in direct}
+        for start, end, quoted in terms:
+            value = text[start:end]
+            # a bare word is a literal only if it can't be a name and has a digit
+            if not quoted and (value in assigned or not any(c.isdigit() for c in value)):
+                continue
+            look = literal_score(value)
+            if own * look >= THRESHOLD:
+                out.add(("literal", start, end))
+            elif carried * look >= THRESHOLD:
+                out.add(("constant", start, end))
+    return out
 
 
 def base(text: str) -> list[Span]:

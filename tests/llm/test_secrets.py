@@ -111,3 +111,47 @@ def test_names_equal_the_plain_pattern():
         t = "".join(r.choice("ab9_$.-é\"'`] \t\n,") for _ in range(r.randint(0, 9)))
         m = name.search(t)
         assert secrets.name_before(t, len(t)) == (m[1] if m else None), t
+
+
+@pytest.mark.parametrize("text, n", [
+    ("token = a\n" * 20_000 + "a = b1c2d3e4\n" * 20_000, 20_000),
+    ("token = a0\n" + "".join(f"a{i} = a{i + 1}\n" for i in range(20_000)) + "a20000 = b1c2d3e4f5\n", 1),
+    ("".join(f"token{i} = a{i}\na{i} = a{i + 1}\n" for i in range(10_000)) + "a10000 = b1c2d3e4f5\n", 1),
+])
+def test_many_names_over_many_constants_take_linear_time(text, n):
+    import time
+    start = time.process_time()
+    assert len(secrets.lexed(text)) == n and time.process_time() - start < 4
+
+
+def plain_walk(text):
+    """Findings by a walk of its own from every sensitive name."""
+    found = list(secrets.pairs(text))
+    assigned = {}
+    for i, (name, _) in enumerate(found):
+        assigned.setdefault(name, []).append(i)
+    terms = [list(secrets.opened(text, t, assigned)) for _, t in found]
+    direct, carried = set(), set()
+    for i, (name, _) in enumerate(found):
+        todo, seen = [i], {i}
+        while todo:
+            j = todo.pop()
+            for a, b, quoted in terms[j]:
+                value = text[a:b]
+                if not quoted and value in assigned:
+                    todo += [k for k in assigned[value] if k not in seen]
+                    seen.update(assigned[value])
+                elif (quoted or any(c.isdigit() for c in value)) and secrets.name_score(name) * secrets.literal_score(value) >= secrets.THRESHOLD:
+                    (direct if i == j else carried).add((a, b))
+    return {("literal", *s) for s in direct} | {("constant", *s) for s in carried - direct}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_findings_equal_a_walk_from_every_name(seed):
+    import random
+    names = ["password", "x", "y", "api_key", "cfg", "token", "auth", "a1", "privateKey", "z", "count", "secret_id"]
+    values = ['"b1c2d3e4f5"', "x", "y", "cfg", "z", "a1", "9f8e7d6c5b", "'hunter2 pass'", "x+y", '"k9"+z+\'q8w7e6r5\'', "token", "1234567", "password"]
+    r = random.Random(seed)
+    for _ in range(200):
+        text = "\n".join(f"{r.choice(names)}{r.choice([' = ', ': ', '=', ' := '])}{r.choice(values)}" for _ in range(r.randint(1, 12)))
+        assert secrets.lexed(text) == plain_walk(text), text
