@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over KD-trees, one per shard.
 
-Vectors are dealt to shards of about SHARD_ROWS rows by a hash of their id.  A shard's tree halves its points at
+Vectors are dealt to shards of about SHARD_ROWS rows by a hash of id and vector.  A shard's tree halves its points at
 the median of the widest dimension down to leaves; every node keeps the tight bounding box of its points.  For a
 query q the best inner product inside a box is at most the sum of max(q * low, q * high), so the search opens nodes
 best bound first and stops when the next bound is below the k-th score found.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -97,32 +98,27 @@ class Tree:
             yield [(-s, i) for s, i in best]
 
 
-def unique(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors): of rows that share an id the one whose vector comes first"""
-    ids, v = pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.int64)
-    if len(np.unique(ids)) < len(ids):
-        order = np.lexsort((*v.T[::-1], ids))
-        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
-        ids, v = ids[order], v[order]
-    return ids, v
+def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors)"""
+    return pdf["id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.int64)
 
 
 def build(rows: DataFrame, shards: int) -> DataFrame:
     """(dim, shard, ids, points, low, high, links): a tree per shard and dimension"""
-    def tree(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[key[0], key[1], *Tree(*unique(pdf)).pack()]], columns=["dim", "shard", *Tree.FIELDS])
+    def tree(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], key[1], *Tree(*arrays(pdf)).pack()]], columns=["dim", "shard", *Tree.FIELDS])
 
-    dealt = rows.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")})
+    dealt = rows.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")})
     return dealt.groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, " + ", ".join(f"{f} binary" for f in Tree.FIELDS))
 
 
 def blocks(rows: DataFrame, n: int) -> DataFrame:
     """(dim, block, qids, qs): queries packed into `n` blocks for each dimension"""
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, v = unique(pdf)
+    def pack(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, v = arrays(pdf)
         return pd.DataFrame([[key[0], key[1], ids.tobytes(), v.tobytes()]], columns=["dim", "block", "qids", "qs"])
 
-    dealt = rows.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")})
+    dealt = rows.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(n)).cast("int")})
     return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, qs binary")
 
 
@@ -150,11 +146,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Scores are inner products of floor(256 * x), and must fit in 64 bits.  Vectors
     that are NULL, empty, or hold NULL or non-finite components, and rows without an
-    id, take no part.  Vectors of different lengths are not compared.  Rows that
-    share an id count once, with the vector that comes first.
+    id, take no part.  Vectors of different lengths are not compared.  Every row is a
+    candidate, so an id may be found once for each of its rows, but not by
+    rows with its own id; rows that share a query's id ask together and get one ranking.
+    Of equal rows no more than `k` can rank, so they are counted before they are dealt out.
     """
-    rows = stored(vectors.select(col(id_col).cast("bigint").alias("id"), whole(col(vector_col)).alias("v"))
-                  .where("id is not null and v is not null"), "knn-rows")
+    valid = (vectors.select(col(id_col).cast("bigint").alias("id"), whole(col(vector_col)).alias("v"))
+             .where("id is not null and v is not null"))
+    rows = stored(valid.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+                  .select("id", "v", F.explode(F.sequence(F.lit(1), F.col("n")))).select("id", "v"), "knn-rows")
     asking = rows.where(F.col("id") % every == 0)
     shards, n = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asking.count() // BLOCK_ROWS))
     index = stored(build(rows, shards), "knn-index")

@@ -13,18 +13,15 @@ KIND = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, k, every):
-    use = {}
+    use = []
     for i, v, _ in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(256 * float(np.float32(x))) for x in v]
-        use[i] = min(v, use.get(i, v))
-    out = []
-    for q in use:
+        if i is not None and v and not any(x is None or not math.isfinite(x) for x in v):
+            use.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
+    found = {}
+    for q, a in use:
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(use[q], v, strict=True)), i) for i, v in use.items() if i != q and len(v) == len(use[q]))
-            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
-    return sorted(out)
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in use if i != q and len(a) == len(b))
+    return sorted((q, r + 1, i, -s) for q, hits in found.items() for r, (s, i) in enumerate(sorted(hits)[:k]))
 
 
 def vectors(n, dim, seed, spread=1.0):
@@ -38,7 +35,8 @@ AWKWARD = [(None, [1.0, 2.0], 1), (200, None, 1), (201, [], 1), (250, [1.0, None
 
 
 @pytest.mark.parametrize("rows,k", [(vectors(400, 6, 1), 5), (AWKWARD, 5), (AWKWARD + vectors(60, 2, 2), 3), (vectors(3, 4, 3), 5), ([], 5),
-                                    ([(i, [0.25, -0.5], 0) for i in range(300)], 5), (vectors(200, 3, 4, 1e6), 5)])
+                                    ([(i, [0.25, -0.5], 0) for i in range(300)], 5), ([(50, [1.0], 0), (1, [0.5], 0), (1, [0.9], 0), (2, [0.6], 0)], 5),
+                                    ([(7, [0.25], 0)] * 400 + [(50, [1.0], 0)] * 9 + [(100, [0.5], 0), (100, [-0.5], 0), (8, [0.2], 0)], 5), (vectors(200, 3, 4, 1e6), 5)])
 def test_equals_brute_force(spark, monkeypatch, rows, k):
     for name, value in (("SHARD_ROWS", 64), ("LEAF_ROWS", 8), ("BLOCK_ROWS", 3)):
         monkeypatch.setattr(knn, name, value)
