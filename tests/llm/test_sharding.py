@@ -44,3 +44,20 @@ def test_placement_takes_the_highest_dot_product():
         want[i] = max(range(2), key=lambda s: (float(residual[s] @ (sharding.WEIGHTS * items[i] / total)), -s))
         residual[want[i]] -= items[i] / total
     assert sharding.place(items, 2).tolist() == [want[i] for i in range(5)]
+
+
+def test_rows_without_an_id_and_repeated_rows_are_spread(spark):
+    """A third of all rows is one text without ids, or one row repeated."""
+    hot = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot " * 20)).otherwise(F.concat(F.lit("cold "), F.col("id").cast("string"))).alias("text"))
+    for same in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        df = hot.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, same).otherwise(F.col("doc_id")))
+        got = sharding.shard(df, shards=8).toPandas()
+        sums = got.groupby("shard")["size"].sum()
+        assert len(sums) == 8 and sums.max() <= 1.05 * sums.min()
+        assert all(sorted(v) == list(range(len(v))) for _, v in got.groupby("shard")["slot"])
+
+
+def test_a_very_long_text(spark):
+    rows = [(i, "x y " * 10 ** 6 if i == 3 else f"t{i}") for i in range(50)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    assert sorted(r.size for r in got)[-1] == 4 * 10 ** 6 + 16 and len(got) == 50
