@@ -82,7 +82,12 @@ MARGIN = 0.0005
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[str, float | None]:
-    """Exact interpolated quantile of each column over the whole table.
+    """Exact interpolated quantile of each column over the whole table."""
+    return {c: v[0] for c, v in exact_quantile_lists(df, columns, [q]).items()}
+
+
+def exact_quantile_lists(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Several exact interpolated quantiles of each column, found together.
 
     A quantile lies between the values at two ranks.  Each is searched by the
     same steps at every size: a mergeable sketch proposes two values around the
@@ -96,10 +101,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5) -> dict[s
     kept = df.select(*columns).persist()
     try:
         n = kept.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        asked = {c: q * (k - 1) for c, k in zip(columns, n, strict=True) if k}
-        wanted = sorted({(c, r) for c, x in asked.items() for r in (math.floor(x), math.ceil(x))})
+        asked = {(c, q): q * (k - 1) for c, k in zip(columns, n, strict=True) if k for q in shares}
+        wanted = sorted({(c, r) for (c, _), x in asked.items() for r in (math.floor(x), math.ceil(x))})
         at = _order_statistics(kept, wanted, dict(zip(columns, n, strict=True)))
-        return {c: _between(at[c, math.floor(asked[c])], at[c, math.ceil(asked[c])], asked[c] % 1) if c in asked else None for c in columns}
+
+        def value(c, q):
+            x = asked.get((c, q))
+            return None if x is None else _between(at[c, math.floor(x)], at[c, math.ceil(x)], x % 1)
+
+        return {c: [value(c, q) for q in shares] for c in columns}
     finally:
         kept.unpersist()
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bourse.operators.series import running
+from bourse.operators.series import is_daily, running
 
 
 def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "ticker",
@@ -17,7 +17,12 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "ticke
     At equal times the right row counts as known.  A DATE asked of TIMESTAMP
     rows covers the whole day: its last row counts.  Of several right rows at
     one time the one with the largest values counts.
+
+    Daily rows of a key are bounded, so one window carries them to the (distinct) times asked for; a longer
+    series is first reduced to one row per time and then carried over time buckets.
     """
+    if is_daily(left, left_time) and is_daily(right, right_time):
+        return _asof_daily(left, right, values, key, left_time, right_time)
     t = left.schema[left_time].dataType
     rest = [c for c in left.columns if c not in (key, left_time)]
     value = F.struct(*[F.col(v) for v in values])
@@ -32,6 +37,21 @@ def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "ticke
     return out.select(key, left_time, *rest, *[F.col(f"_known.{v}").alias(v) for v in values])
 
 
+def _asof_daily(left: DataFrame, right: DataFrame, values: list[str], key: str, left_time: str, right_time: str) -> DataFrame:
+    rest = [c for c in left.columns if c not in (key, left_time)]
+    value = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    known = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(False).alias("_asked"), value.alias("_v"))
+    asks = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t")).distinct()
+    both = known.unionByName(asks.withColumns({"_asked": F.lit(True), "_v": F.lit(None).cast(known.schema["_v"].dataType)}))
+    upto = (Window.partitionBy("_k").orderBy("_t", "_asked", *[f"_v.v{i}" for i in range(len(values))])
+            .rowsBetween(Window.unboundedPreceding, 0))
+    # a row without a time is known at no time
+    seen = F.last(F.when(F.col("_t").isNotNull(), F.col("_v")), ignorenulls=True).over(upto)
+    found = both.withColumn("_known", seen).where("_asked").select(F.col("_k").alias(key), F.col("_t").alias(left_time), "_known")
+    out = left.join(found, [key, left_time], "left")
+    return out.select(key, left_time, *rest, *[F.col(f"_known.v{i}").alias(v) for i, v in enumerate(values)])
+
+
 def predictions_with_prices(predictions: DataFrame, bars: DataFrame) -> DataFrame:
     """Predictions beside the bars of their date; dates without a bar stay NULL."""
     return predictions.join(bars, ["ticker", "date"], "left")

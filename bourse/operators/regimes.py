@@ -9,6 +9,7 @@ a long series is spread over many tasks.  The best path is found by scans over r
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.columns import total
-from bourse.operators.aggregates import exact_quantiles
+from bourse.operators.aggregates import exact_quantile_lists
 from bourse.operators.scan import scanned
 from bourse.operators.series import is_daily, with_position
 from bourse.operators.windows import returns_and_range
@@ -238,19 +239,22 @@ _STATS = ["loglik", "n", *[f"start{k}" for k in range(K)], *[f"w{k}" for k in ra
           *[f"t{k}{j}" for k in range(K) for j in range(K)]]
 
 
+def _sums(seq: Sequences, m: Hmm, *sides: np.ndarray) -> list[float]:
+    """Expected counts and moments of some runs, in the order of _STATS."""
+    ll, g, xi = forward_backward(seq, m, *sides)
+    first = g[(np.cumsum(seq.length) - seq.length)[seq.heads]].sum(axis=0)
+    return [ll, float(len(seq.x)), *first, *g.sum(axis=0), *(g.T @ seq.x).ravel(),
+            *np.einsum("tk,ti,tj->kij", g, seq.x, seq.x, optimize=True).ravel(), *xi.ravel()]
+
+
 def _expectation(packed: DataFrame, m: Hmm, long: bool) -> dict[str, float]:
-    """Expected counts and moments, added up over all tickers: one row per statistic."""
+    """The sums over all tickers: one row per statistic."""
     def step(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            seq = _sequences(batch)
-            sides = [np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("entry", "leave")] if long else []
-            ll, g, xi = forward_backward(seq, m, *sides)
-            first = g[(np.cumsum(seq.length) - seq.length)[seq.heads]].sum(axis=0)
-            values = [ll, float(len(seq.x)), *first, *g.sum(axis=0), *(g.T @ seq.x).ravel(),
-                      *np.einsum("tk,ti,tj->kij", g, seq.x, seq.x, optimize=True).ravel(), *xi.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float64())], ["stat", "value"])
+            if batch.num_rows:
+                sides = [np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("entry", "leave")] if long else []
+                values = _sums(_sequences(batch), m, *sides)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float64())], ["stat", "value"])
 
     rows = packed.join(_carried(packed, m), ["ticker", "run"]) if long else packed
     parts = rows.mapInArrow(step, "stat int, value double")
@@ -295,28 +299,93 @@ def _bound(v: np.ndarray, m: Hmm) -> Hmm:
     return Hmm(start / start.sum(), trans / trans.sum(axis=1, keepdims=True), means.reshape(K, D), low @ low.transpose(0, 2, 1), m.shift, m.scale)
 
 
-def _leap(a: Hmm, b: Hmm, c: Hmm) -> Hmm:
-    """Where three models, each one round after the last, are heading (squared extrapolation)."""
+#: how many times the last direction a leap may go at most
+FARTHEST = 16.0
+
+
+def _leap(a: Hmm, b: Hmm, c: Hmm, floor: float) -> Hmm:
+    """Where three models, each one round after the last, are heading (squared extrapolation); the last one if that is no model."""
     x, y, z = _free(a), _free(b), _free(c)
     r, v = y - x, z - 2 * y + x
     if not v.any():
         return c
-    length = min(-1.0, -float(np.linalg.norm(r) / np.linalg.norm(v)))
-    return _bound(x - 2 * length * r + length * length * v, a)
+    length = -min(max(float(np.linalg.norm(r) / np.linalg.norm(v)), 1.0), FARTHEST)
+    out = _bound(x - 2 * length * r + length * length * v, a)
+    try:
+        sound = np.isfinite(np.linalg.cholesky(out.covs)).all() and (np.linalg.eigvalsh(out.covs) > floor / 2).all()
+    except np.linalg.LinAlgError:
+        sound = False
+    return out if sound else c
+
+
+def _climb(sums: Callable[[Hmm], dict[str, float]], m: Hmm, max_rounds: int, tol: float, floor: float) -> Hmm:
+    """Rounds from `m` until the likelihood rises by less than `tol`.
+
+    Two rounds give a direction in which the third starts further on; a start that turns out less likely is taken back.
+    """
+    history: list[float] = []
+    trail, safe, converged, rounds, rows = [m], None, False, 0, 0
+    while rounds < max_rounds:
+        s = sums(m)
+        rounds, rows = rounds + 1, int(s["n"])
+        if safe is not None and not (math.isfinite(s["loglik"]) and s["loglik"] >= history[-1]):
+            m, safe, trail = safe, None, [safe]
+            continue
+        leapt, safe = safe is not None, None
+        history.append(s["loglik"])
+        if len(history) > 1 and not leapt and history[-1] - history[-2] < tol:
+            converged = True
+            break
+        m = _maximisation(s, m, floor)
+        trail.append(m)
+        if len(trail) == 3:
+            leap = _leap(*trail, floor)
+            safe, m = (m, leap) if leap is not m else (None, m)
+            trail = [m]
+    if safe is not None:
+        m = safe  # a last leap that no round has tried
+    m.converged, m.log_likelihood, m.rounds, m.rows, m.history = converged, history[-1], rounds, rows, history
+    return m
+
+
+_PARTS = ("start", "trans", "means", "covs")
+
+
+def _climb_in_one_task(packed: DataFrame, *options) -> Hmm:
+    """All rounds in one task, for a table that is no larger than what tasks work on at a time."""
+    m = options[0]
+
+    def run(batches):
+        table = pa.Table.from_batches(batches)
+        seq = _sequences(table.combine_chunks().to_batches()[0])
+        got = _climb(lambda own: dict(zip(_STATS, _sums(seq, own), strict=True)), *options)
+        yield pa.RecordBatch.from_pylist([{"converged": got.converged, "rounds": got.rounds, "history": got.history, **{n: getattr(got, n).ravel().tolist() for n in _PARTS}}])
+
+    r = packed.coalesce(1).mapInArrow(run, "converged boolean, rounds bigint, history array<double>, " + ", ".join(f"{n} array<double>" for n in _PARTS)).first()
+    start, trans, means, covs = (np.array(r[n]).reshape(getattr(m, n).shape) for n in _PARTS)
+    return Hmm(start, trans, means, covs, m.shift, m.scale, r["converged"], r["history"][-1], r["rounds"], 0, list(r["history"]))
 
 
 def fit(feats: DataFrame, max_rounds: int = 100, tol: float = 1e-2, floor: float = 1e-6) -> Hmm:
     """Expectation-maximisation from a deterministic start (terciles of the return).
 
-    Runs of bars are packed once and kept (lost blocks are recomputed), so a round moves
-    no bars but sums.  Two rounds give a direction in which the third starts further on; a start that
-    turns out less likely is taken back.
+    The features are kept for the passes of the start (lost blocks are recomputed).  Runs of bars are packed
+    once and kept, so a round moves no bars but sums.  A daily table of up to BUCKET_ROWS bars is what one
+    task works on anyway and spends all its rounds there.
     """
+    feats = feats.select("ticker", "date", *FEATURES).persist()
+    try:
+        return _fitted(feats, max_rounds, tol, floor)
+    finally:
+        feats.unpersist()
+
+
+def _fitted(feats: DataFrame, max_rounds: int, tol: float, floor: float) -> Hmm:
     stats = feats.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in
                       (("avg", F.avg), ("sd", F.stddev_pop))]).first()
     shift = np.array([stats[f"avg_{c}"] for c in FEATURES])
     scale = np.array([stats[f"sd_{c}"] or 1.0 for c in FEATURES])
-    low, high = (exact_quantiles(feats, ["ret"], q)["ret"] for q in (1 / 3, 2 / 3))
+    low, high = exact_quantile_lists(feats, ["ret"], [1 / 3, 2 / 3])["ret"]
     z = [(F.col(c) - float(shift[i])) / float(scale[i]) for i, c in enumerate(FEATURES)]
     state = F.when(F.col("ret") <= low, 0).when(F.col("ret") <= high, 1).otherwise(2)
     rows = {r["s"]: r for r in feats.groupBy(state.alias("s")).agg(
@@ -325,30 +394,15 @@ def fit(feats: DataFrame, max_rounds: int = 100, tol: float = 1e-2, floor: float
     means = np.array([[rows[k][f"m{i}"] for i in range(D)] for k in range(K)])
     covs = np.array([[[rows[k][f"c{i}{j}"] for j in range(D)] for i in range(D)] for k in range(K)]) + np.eye(D) * floor
     long = not is_daily(feats, "date")
-    packed = _packed(feats, shift, scale, stats["n"]).persist()
-    try:
-        m = Hmm(np.full(K, 1 / K), np.full((K, K), 0.1) + np.eye(K) * 0.7, means, covs, shift, scale)
-        history: list[float] = []
-        trail, safe, converged, rounds = [m], None, False, 0
-        while rounds < max_rounds:
-            s = _expectation(packed, m, long)
-            rounds += 1
-            if safe is not None and not (math.isfinite(s["loglik"]) and s["loglik"] >= history[-1]):
-                m, safe, trail = safe, None, [safe]
-                continue
-            leapt, safe = safe is not None, None
-            history.append(s["loglik"])
-            if len(history) > 1 and not leapt and history[-1] - history[-2] < tol:
-                converged = True
-                break
-            m = _maximisation(s, m, floor)
-            trail.append(m)
-            if len(trail) == 3:
-                safe, m = m, _leap(*trail)
-                trail = [m]
-        m.converged, m.log_likelihood, m.rounds, m.rows = converged, history[-1], rounds, int(s["n"])
-        m.history = history
+    packed = _packed(feats, shift, scale, stats["n"])
+    first = Hmm(np.full(K, 1 / K), np.full((K, K), 0.1) + np.eye(K) * 0.7, means, covs, shift, scale)
+    if stats["n"] <= BUCKET_ROWS and not long:
+        m = _climb_in_one_task(packed, first, max_rounds, tol, floor)
+        m.rows = stats["n"]
         return m
+    packed = packed.persist()
+    try:
+        return _climb(lambda own: _expectation(packed, own, long), first, max_rounds, tol, floor)
     finally:
         packed.unpersist()
 

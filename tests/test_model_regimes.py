@@ -196,6 +196,25 @@ def test_hourly_series_are_fitted_alike(spark, monkeypatch):
     assert math.isclose(a.log_likelihood, b.log_likelihood, rel_tol=1e-9)
 
 
+def test_one_task_and_many_give_the_same_model(spark, monkeypatch):
+    feats = rg.features(daily(spark, price_frame({"A": 150, "B": 80, "C": 3}, seed=9)))
+    a = rg.fit(feats, max_rounds=9)
+    monkeypatch.setattr(rg, "BUCKET_ROWS", 50)
+    b = rg.fit(feats, max_rounds=9)
+    for name in ("start", "trans", "means", "covs", "history"):
+        close_to(getattr(a, name), getattr(b, name), 1e-7)
+    assert (a.rounds, a.converged, a.rows) == (b.rounds, b.converged, b.rows)
+
+
+def test_leaps_end_where_plain_rounds_do(spark, monkeypatch):
+    feats = rg.features(daily(spark, price_frame({"A": 200, "B": 120}, seed=4)))
+    fast = rg.fit(feats, max_rounds=300, tol=1e-6)
+    monkeypatch.setattr(rg, "_leap", lambda a, b, c, floor: c)
+    plain = rg.fit(feats, max_rounds=2000, tol=1e-6)
+    assert fast.log_likelihood > plain.log_likelihood - 0.5
+    assert fast.rounds < plain.rounds
+
+
 def test_pieces_stepped_together_equal_single_bars(spark, tmp_path):
     rng = np.random.default_rng(3)
     m = rg.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.15, 0.8]]), rng.normal(size=(3, 3)),
