@@ -115,6 +115,27 @@ def src_sample_tickers(spark, d):
     return ref.sample_tickers(fx.table(spark, d, "part").select(F.col("p_brand").alias("ticker")), 10, 42)
 
 
+LANDED = "SELECT ticker, date, open, high, low, close, volume FROM bars WHERE date >= DATE '1997-01-01'"
+
+
+def landed(spark, d, fmt, **options):
+    """Bars written as text files and read back with the declared schema."""
+    path = tables.work_folder(spark, fmt)
+    rows = fx.bars(spark, d).where("date >= '1997-01-01'").select("ticker", "date", *bar_src.OHLCV)
+    rows.write.format(fmt).options(**options).save(path)
+    return out(bar_src.read_bars(spark, path, fmt, **options))
+
+
+@query("src_bars_csv", sql(B, LANDED, "open high low close volume"))
+def src_bars_csv(spark, d):
+    return landed(spark, d, "csv", header="true")
+
+
+@query("src_bars_json", sql(B, LANDED, "open high low close volume"))
+def src_bars_json(spark, d):
+    return landed(spark, d, "json")
+
+
 STORED_SQL = "SELECT date AS \"Date\", ticker AS \"Ticker\", open AS \"Open\", high AS \"High\", low AS \"Low\", close AS \"Close\", volume AS \"Volume\" FROM bars"
 
 
