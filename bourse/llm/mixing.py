@@ -99,9 +99,13 @@ def budgets(leaves: DataFrame, weights: tuple[Weights, Weights, Weights], share:
     return kept.select(*LEVELS, "tokens", F.col("budget").cast("bigint").alias("budget"))
 
 
-def sort_key(epoch: Column, id_: Column, seed: str) -> Column:
-    """The place of a document in an epoch's order; rows with one id share a place."""
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary"))
+def sort_key(epoch: Column, id_: Column, text_md5: Column, seed: str) -> Column:
+    """The place of a document in an epoch's order; only rows with one id and one text share a place."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("null")), text_md5).cast("binary"))
+
+
+def md5_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def plan(docs: DataFrame, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), share: tuple[int, int] = SHARE, epochs: int = EPOCHS,
@@ -111,18 +115,18 @@ def plan(docs: DataFrame, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
 
     NULL languages and sources count as `unknown`.  Texts without bytes have no
     tokens: they are placed like others and taken where they fall.  Rows that
-    share an id within a leaf are taken together.
+    share an id and a text within a leaf are taken together.
     """
     source = F.coalesce(col(source_col), F.lit("unknown"))
     leaf = {"domain": domain_of(col(source_col)), "lang": F.coalesce(col(lang_col), F.lit("unknown")), "source": source, "tokens": tokens_of(col(text_col))}
-    narrow = docs.select(col(id_col).alias("id"), *[c.alias(n) for n, c in leaf.items()])
+    narrow = docs.select(col(id_col).alias("id"), md5_of(col(text_col)).alias("text_md5"), *[c.alias(n) for n, c in leaf.items()])
     leaves = stored(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     shares = stored(budgets(leaves, weights, share, epochs).withColumns({
         "full": F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)),
         "part": F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0))}).withColumnRenamed("tokens", "all"), "mix-shares")
     few = shares.count() <= LEAVES
     near = F.broadcast if few else (lambda df: df)
-    keyed = narrow.join(near(shares.select(*LEVELS, "full", "part")), list(LEVELS)).withColumn("key", sort_key(F.col("full"), F.col("id"), seed))
+    keyed = narrow.join(near(shares.select(*LEVELS, "full", "part")), list(LEVELS)).withColumn("key", sort_key(F.col("full"), F.col("id"), F.col("text_md5"), seed))
     keyed = keyed.where("part > 0").withColumn("range", F.substring("key", 1, 3))
     ranges = keyed.groupBy(*LEVELS, "range", "part").agg(F.sum("tokens").alias("tokens"))
     upto = W.partitionBy(*LEVELS).orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -136,7 +140,7 @@ def plan(docs: DataFrame, weights=(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
     keys = dict(zip(LEVELS, fresh(docs, "__domain", "__lang", "__source"), strict=True))
     rows = docs.withColumns({keys[n]: leaf[n] for n in LEVELS})
     rows = rows.join(near(ends.withColumnsRenamed(keys | own)), list(keys.values()))
-    more = F.coalesce((sort_key(F.col(own["full"]), col(id_col), seed) <= F.col(own["cut"])).cast("int"), F.lit(0))
+    more = F.coalesce((sort_key(F.col(own["full"]), col(id_col), md5_of(col(text_col)), seed) <= F.col(own["cut"])).cast("int"), F.lit(0))
     made = (*(F.col(keys[n]) for n in LEVELS), tokens_of(col(text_col)), F.col(own["budget"]), (F.col(own["full"]) + more).cast("int"))
     return rows.select(*[col(c) for c in docs.columns if c not in names], *[c.alias(n) for n, c in zip(names, made, strict=True)])
 
@@ -173,14 +177,14 @@ SQL = f"""
 WITH d AS (
     SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
         coalesce('domain' || (try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INT) % 4), 'other') AS domain,
-        (coalesce(strlen(text), 0) + 3) // 4 AS tokens
+        (coalesce(strlen(text), 0) + 3) // 4 AS tokens, md5(coalesce(text, '')) AS text_md5
     FROM documents),
 kept AS (SELECT 0 AS root, domain, lang, source, sum(tokens) AS tokens, {_case('domain', DOMAIN_WEIGHTS)} AS w_domain,
         {_case('lang', LANG_WEIGHTS)} AS w_lang, {_case('source', SOURCE_WEIGHTS)} AS w_source,
         sum(tokens) * {EPOCHS} AS cap, (SELECT sum(tokens) * {SHARE[0]} // {SHARE[1]} FROM d) AS budget FROM d GROUP BY ALL),
 {_share_sql('domain', '')}{_share_sql('lang', 'domain')}{_share_sql('source', 'lang')}
 s AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part FROM kept_source),
-k AS (SELECT d.*, s.budget, s.whole, s.part, md5('{SEED}:' || s.whole || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key
+k AS (SELECT d.*, s.budget, s.whole, s.part, md5('{SEED}:' || s.whole || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_md5) AS key
     FROM d JOIN s USING (domain, lang, source)),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) - sum(tokens) OVER (PARTITION BY domain, lang, source, key) AS start FROM k)
 SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, budget::BIGINT AS budget, (whole + (start < part)::INT)::INT AS copies FROM c

@@ -76,7 +76,7 @@ def test_prefixes_equal_brute_force(spark):
     for r in data:
         total, b = leaves[leaf(r)], budgets[leaf(r)]
         full, part = divmod(b, total) if total else (0, 0)
-        key = lambda x: md5(f"{mixing.SEED}:{full}:{'null' if x[0] is None else x[0]}".encode()).hexdigest()  # noqa: B023, E731
+        key = lambda x: md5(f"{mixing.SEED}:{full}:{'null' if x[0] is None else x[0]}:{md5((x[1] or '').encode()).hexdigest()}".encode()).hexdigest()  # noqa: B023, E731
         start = sum(tokens(x) for x in data if leaf(x) == leaf(r) and key(x) < key(r))
         want.append((r[0], *leaf(r), tokens(r), b, full + (start < part)))
     assert sorted(map(str, got)) == sorted(map(str, want))
@@ -96,3 +96,18 @@ def test_mix_meets_its_weights(spark):
                                     F.when(F.col("id") % 3 == 0, "src0").otherwise(F.concat(F.lit("src"), F.col("id") % 8)).alias("source"))
     rows = mixing.plan(df, share=(1, 4)).where("copies > 0").groupBy("domain", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("budget").alias("b")).collect()
     assert all(0 <= r.t - r.b < 10 for r in rows) and sum(r.b for r in rows) == 50_000
+
+
+def test_rows_without_ids_do_not_overrun_a_budget(spark):
+    """Half the ids are missing: rows are told apart by their texts."""
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.format_string("%040d", "id").alias("text"),
+                                  F.lit("en").alias("lang"), F.lit("src0").alias("source"))
+    for seed in "abcd":
+        r = mixing.plan(df, share=(1, 4), seed=seed).agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("budget").alias("b")).first()
+        assert r.b == 10_000 and 0 <= r.t - r.b < 10
+
+
+def test_a_very_long_text_is_one_document(spark):
+    rows = [(i, "x" * (10 ** 6 if i == 5 else 40), "en", "src0") for i in range(30)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.tokens for r in got)[-2:] == [10, 250_000] and len(got) == 30
