@@ -34,12 +34,15 @@ def _columns(names: list[str], tag: str = "") -> State:
 def _doubled(df: DataFrame, names: list[str], combine: Callable[[State, State], State], identity: dict, keys: list[str], order: Column, rows: int) -> DataFrame:
     """Every row combined with all rows before it in its partition of at most `rows` rows."""
     window, stride = W.partitionBy(*keys).orderBy(order), 1
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
     while stride < rows:
-        lags = [f"__{j}" for j in range(1, RADIX)]
-        df = df.withColumns({n + t: F.lag(n, stride * j, identity[n]).over(window) for j, t in enumerate(lags, 1) for n in names})
-        for t in lags:
-            df = df.withColumns(combine(_columns(names, t), _columns(names)))
-        df = df.drop(*[n + t for t in lags for n in names])
+        # three strides back, in two halves that are combined at once
+        back = [F.lag(n, stride * j, identity[n]).over(window).alias(f"{n}__{j}") for j in range(1, RADIX) for n in names]
+        df = df.select("*", *back)
+        early, late = combine(_columns(names, "__3"), _columns(names, "__2")), combine(_columns(names, "__1"), _columns(names))
+        df = df.select(*rest, *[c.alias(f"{n}__e") for n, c in early.items()], *[c.alias(f"{n}__l") for n, c in late.items()])
+        both = combine(_columns(names, "__e"), _columns(names, "__l"))
+        df = df.select(*rest, *[c.alias(n) for n, c in both.items()])
         stride *= RADIX
     return df
 
