@@ -112,3 +112,19 @@ def test_asof_against_merge_asof(spark, kind):
     got = joins.asof(sl, sr, ["close"]).toPandas().sort_values("k")
     want = pd.merge_asof(left.sort_values("asof"), right.rename(columns={"date": "asof"}).sort_values("asof"), on="asof", by="ticker").sort_values("k")
     close_to(got["close"], want["close"])
+
+
+def test_asof_of_daily_rows_equals_that_of_times(spark):
+    """Ties, missing values, keys and times, repeated asks; days as such and as midnights give the same."""
+    import datetime as dt
+    day = lambda i: dt.date(2020, 1, i)
+    left = [("A", day(1), 0), ("A", day(5), 1), ("A", day(5), 2), ("A", None, 3), (None, day(9), 4), ("B", day(2), 5), ("C", day(2), 6), ("A", day(31), 7)]
+    right = [("A", day(3), 1.0, "x"), ("A", day(5), 2.0, "a"), ("A", day(5), 2.0, "b"), ("A", day(5), None, "z"), ("A", day(7), None, None), ("B", day(2), 5.0, "y"), ("B", day(3), 6.0, "y"), ("A", None, 9.0, "n")]
+    sl = spark.createDataFrame(left, "ticker string, asof date, k int")
+    sr = spark.createDataFrame(right, "ticker string, date date, close double, v string")
+    got = {r.k: (r.close, r.v) for r in joins.asof(sl, sr, ["close", "v"]).collect()}
+    assert got == {0: (None, None), 1: (2.0, "b"), 2: (2.0, "b"), 3: (None, None), 4: (None, None), 5: (5.0, "y"), 6: (None, None), 7: (None, None)}
+    times = joins.asof(sl.withColumn("asof", F.col("asof").cast("timestamp")), sr.withColumn("date", F.col("date").cast("timestamp")), ["close", "v"])
+    assert {r.k: (r.close, r.v) for r in times.collect()} == got
+    plan = joins.asof(sl, sr, ["close", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") <= 4
